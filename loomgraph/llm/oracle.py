@@ -18,7 +18,31 @@ common AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.
            FROM words a JOIN words b ON a.word = b.word AND a.id < b.id AND a.n * 10 >= b.n * 7 AND b.n * 10 >= a.n * 7 GROUP BY 1, 2)
 """
 
+_NAMES = ("sim_score", "bm25_score", "frequency_score", "recency_score")
+_CANDIDATES = f"""
+WITH c AS (SELECT query_id, node_id, {", ".join(f"max(CASE WHEN NOT isnan({s}) THEN {s} END) AS {s}" for s in _NAMES)}
+           FROM scored_nodes GROUP BY query_id, node_id)
+"""
+
+
+def _wins(x: str, y: str) -> str:
+    return " + ".join(f"({x}.{s} IS NOT NULL AND ({y}.{s} IS NULL OR {x}.{s} > {y}.{s}))::INT" for s in _NAMES)
+
+
+_RANKS = _CANDIDATES + f""",
+r AS (SELECT query_id, node_id, {", ".join(f"count(*) OVER (PARTITION BY query_id ORDER BY {s} DESC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::DOUBLE / count(*) OVER (PARTITION BY query_id) AS r_{s}" for s in _NAMES)} FROM c),
+o AS (SELECT *, list_sort([{", ".join(f"r_{s}" for s in _NAMES)}]) AS s FROM r),
+p AS (SELECT query_id, node_id, (s[1] + s[2] + s[3] + s[4]) / 4 AS mean_rank,
+             least(1 - (1 - s[1]) ** 4,
+                   6 * s[2] ** 2 * (1 - s[2]) ** 2 + 4 * s[2] ** 3 * (1 - s[2]) + s[2] ** 4,
+                   4 * s[3] ** 3 * (1 - s[3]) + s[3] ** 4,
+                   s[4] ** 4) * 4 AS tail FROM o),
+q AS (SELECT query_id, node_id, least(1.0, round(tail, 12)) AS rho, round(mean_rank, 12) AS mean_rank FROM p)
+"""
+
 ORACLE = {
+    "p4_found": _CANDIDATES + f"SELECT query_id, node_id FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.query_id IS NOT DISTINCT FROM x.query_id AND y.node_id IS DISTINCT FROM x.node_id AND {_wins('x', 'y')} < 3)",
+    "p4_ranking": _RANKS + "SELECT query_id, node_id, round(rho, 9) AS rho, round(mean_rank, 9) AS mean_rank, row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, node_id NULLS FIRST) AS place FROM q",
     "p3_found": _VECTORS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE place <= 10",
     "p3_nearest": _VECTORS + "SELECT id, other, round(cosine, 5) AS cosine, place::INTEGER AS place FROM ranked WHERE place <= 10",
     "p6_found": _WORDS + "SELECT id_a, id_b FROM common WHERE c * 10 >= 7 * (na + nb - c)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import near, vectors
+from loomgraph.llm import near, ranking, vectors
 from loomgraph.session import table
 
 
@@ -17,6 +17,15 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(table(spark, d, "nodes")).withColumn("cosine", F.round("cosine", 5))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.dominant(table(spark, d, "scored_nodes"))
+
+
+def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
+    ranked = ranking.aggregate_ranks(table(spark, d, "scored_nodes"))
+    return ranked.select("query_id", "node_id", F.round("rho", 9).alias("rho"), F.round("mean_rank", 9).alias("mean_rank"), "place")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_pairs(table(spark, d, "nodes"))
 
@@ -25,4 +34,4 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(table(spark, d, "nodes"), near.NearSpec(numerator=8))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p6_found, p6_groups)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups)}
