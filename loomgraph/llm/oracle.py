@@ -45,5 +45,10 @@ ORACLE = {
     "p4_ranking": _RANKS + "SELECT query_id, node_id, round(rho, 9) AS rho, round(mean_rank, 9) AS mean_rank, row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, node_id NULLS FIRST) AS place FROM q",
     "p3_found": _VECTORS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE place <= 10",
     "p3_nearest": _VECTORS + "SELECT id, other, round(cosine, 5) AS cosine, place::INTEGER AS place FROM ranked WHERE place <= 10",
+    # Sizes in characters stand for tokens: no source is near enough to its limit for the unit to matter.
+    "p8_found": """
+WITH s AS (SELECT lower(trim(coalesce(source, ''))) AS source, sum(length(text)) AS size FROM documents GROUP BY 1),
+t AS (SELECT lower(trim(source)) AS source, target_weight / (SELECT sum(target_weight) FROM mixture_targets) AS share, max_repeats FROM mixture_targets)
+SELECT t.source FROM t LEFT JOIN s ON t.source = s.source WHERE coalesce(s.size, 0) * t.max_repeats < t.share * (SELECT sum(size) FROM s)""",
     "p6_found": _WORDS + "SELECT id_a, id_b FROM common WHERE c * 10 >= 7 * (na + nb - c)",
 }

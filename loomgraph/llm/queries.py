@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import near, ranking, vectors
+from loomgraph.llm import leakage, mixing, near, ranking, vectors
 from loomgraph.session import table
 
 
@@ -34,4 +34,27 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(table(spark, d, "nodes"), near.NearSpec(numerator=8))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps of at least twelve words with up to two substitutions in a row and four fifths of the words equal."""
+    found = leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where((F.col("overlap_words") >= 12) & (F.col("equal_words") * 5 >= F.col("overlap_words") * 4))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+    return report.where(~F.col("reachable")).select("source")
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares)}
