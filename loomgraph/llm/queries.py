@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import leakage, mixing, near, ranking, vectors
+from loomgraph.llm import langid, leakage, mixing, near, ranking, vectors
 from loomgraph.session import table
 
 
@@ -57,4 +57,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(table(spark, d, "documents"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(table(spark, d, "documents"))
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.segments(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
