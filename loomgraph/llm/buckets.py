@@ -21,11 +21,12 @@ from loomgraph.llm.staging import stage
 CHUNK = 400_000
 PAIR_SCHEMA = "a long, b long, part int, key long"
 
-Keep = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Takes (sig, sig2, size) of the first and of the second documents, gives which pairs to keep.
+Keep = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
 
 
-def pair_runs(doc: np.ndarray, key: np.ndarray, sig: np.ndarray, size: np.ndarray, keep: Keep) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within runs of equal keys that ``keep(sig_a, sig_b, size_a, size_b)`` passes, smaller document first."""
+def pair_runs(doc: np.ndarray, key: np.ndarray, extra: list[np.ndarray], keep: Keep) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within runs of equal keys that ``keep`` passes, smaller document first."""
     at = np.arange(len(key))
     step = 0
     while len(at):
@@ -33,7 +34,7 @@ def pair_runs(doc: np.ndarray, key: np.ndarray, sig: np.ndarray, size: np.ndarra
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
         to = at + step
-        ok = keep(sig[at], sig[to], size[at], size[to]) & (doc[at] != doc[to])
+        ok = keep([x[at] for x in extra], [x[to] for x in extra]) & (doc[at] != doc[to])
         if ok.any():
             x, y = doc[at[ok]], doc[to[ok]]
             yield np.minimum(x, y), np.maximum(x, y)
@@ -47,7 +48,7 @@ def _runs(batches: Iterable[pa.RecordBatch], keep: Keep, hot: int | None) -> Ite
         return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), pa.nulls(len(a), pa.int32()) if part is None else pa.array(part), none if key is None else pa.array(key)], schema=schema)
 
     def finish(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        doc, part, key, sig, size = cols
+        doc, part, key, *extra = cols
         if not len(key):
             return
         if hot:
@@ -56,14 +57,14 @@ def _runs(batches: Iterable[pa.RecordBatch], keep: Keep, hot: int | None) -> Ite
             crowded = np.repeat(length > hot, length)
             if crowded.any():
                 yield batch(doc[crowded], None, part[crowded], key[crowded])
-                doc, key, sig, size = (x[~crowded] for x in (doc, key, sig, size))
-        for a, b in pair_runs(doc, key, sig, size, keep):
+                doc, key, *extra = (x[~crowded] for x in (doc, key, *extra))
+        for a, b in pair_runs(doc, key, extra, keep):
             yield batch(a, b, None, None)
 
     held: list[np.ndarray] | None = None
     flowing: int | None = None  # key of a run that is known to be hot and flows through
     for rb in batches:
-        cols = [rb.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        cols = [rb.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         if flowing is not None:
             n = int(np.searchsorted(cols[2], flowing, side="right"))
             if n:
@@ -87,14 +88,14 @@ def _runs(batches: Iterable[pa.RecordBatch], keep: Keep, hot: int | None) -> Ite
 
 def bucket_pass(keys: DataFrame, keep: Keep, hot: int | None) -> DataFrame:
     """(a, b, null, null) pairs and, for crowded buckets, (document, null, part, key) rows."""
-    rows = keys.select("doc", "part", "key", "sig", "size").repartition("key").sortWithinPartitions("key")
+    rows = keys.select("doc", "part", "key", "sig", "sig2", "size").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(lambda batches: _runs(batches, keep, hot), PAIR_SCHEMA)
 
 
 def candidate_pairs(keys_of: Callable[[DataFrame | None], DataFrame], keep: Keep, hot: int = 256, depth: int = 3) -> DataFrame:
     """Distinct (a, b) with a < b that share a bucket and pass ``keep``.
 
-    ``keys_of(None)`` gives the index rows (doc, part, key, sig, size) of all documents, ``keys_of(docs)`` those of
+    ``keys_of(None)`` gives the index rows (doc, part, key, sig, sig2, size) of all documents, ``keys_of(docs)`` those of
     the given (doc) rows only. Documents are 64-bit numbers.
     """
     done = stage(bucket_pass(keys_of(None), keep, hot), "buckets")
@@ -105,7 +106,7 @@ def candidate_pairs(keys_of: Callable[[DataFrame | None], DataFrame], keep: Keep
             break
         others = keys_of(crowded.select("doc").distinct())
         # Parts already used lie below the new one, so each combination of parts is made once.
-        finer = crowded.join(others, "doc").where(F.col("part") > F.col("hot_part")).select("doc", "part", F.xxhash64("hot_key", "key").alias("key"), "sig", "size")
+        finer = crowded.join(others, "doc").where(F.col("part") > F.col("hot_part")).select("doc", "part", F.xxhash64("hot_key", "key").alias("key"), "sig", "sig2", "size")
         done = stage(bucket_pass(finer, keep, hot if level < depth else None), f"buckets{level}")
         pairs.append(done.where(F.col("b").isNotNull()).select("a", "b"))
     out = pairs[0]

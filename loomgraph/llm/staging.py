@@ -21,6 +21,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`stage`, with the rows bucketed by ``key``: later joins on it need no shuffle of them.
+
+    ``df`` should be grouped by ``key`` already, so that each task writes its own buckets only.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"stage_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}"
+    df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
+    _WRITTEN.append((spark, path))
+    return spark.table(label)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
