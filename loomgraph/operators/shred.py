@@ -125,7 +125,7 @@ def shred(docs: DataFrame, doc_id: str, document: str, spec: NestedSpec, plan: T
             out: list[tuple] = []
             for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
                 out.extend((key, *r) for r in shred_document(text, tables, entries, guarded))
-                if len(out) > 50_000:
+                if len(out) > 10_000:
                     yield pd.DataFrame(out, columns=names)
                     out = []
             yield pd.DataFrame(out, columns=names)
@@ -145,16 +145,22 @@ LIST_NAMES = {"trajectory": "trajectory", "sensorycontext": "sensory_context", "
 
 
 def found_elements(rows: DataFrame) -> DataFrame:
-    """(trace_id, list_name, pos, payload_key): every element of the three lists and every payload key, once."""
+    """(trace_id, list_name, pos, payload_key): every element of the three lists and every payload key, once.
+
+    One pass: the shredded rows are filtered and projected, never scanned twice.
+    """
     names = F.create_map(*[F.lit(x) for pair in LIST_NAMES.items() for x in pair])
-    elements = rows.where(F.col("table_name").isin(*LIST_NAMES) & (F.col("guards") == 0)).select(
-        F.col("doc_id").alias("trace_id"), names[F.col("table_name")].alias("list_name"), "pos", F.lit("").alias("payload_key")
-    )
+    element = F.col("table_name").isin(*LIST_NAMES) & (F.col("guards") == 0)
     # An action's own payload: a direct field (nothing inlined between) of an action that lies in no other list.
-    keys = rows.where((F.col("table_name") == "payload") & (F.col("parent_table") == "candidateactions") & (F.col("guards") == 1) & (F.col("via") == "")).select(
-        F.col("doc_id").alias("trace_id"),
-        F.lit("candidate_actions").alias("list_name"),
-        F.regexp_extract("parent_row", r"\[(\d+)\]$", 1).cast("long").alias("pos"),
-        F.col("columns")["key"].alias("payload_key"),
+    key = (F.col("table_name") == "payload") & (F.col("parent_table") == "candidateactions") & (F.col("guards") == 1) & (F.col("via") == "")
+    of_action = F.regexp_extract("parent_row", r"\[(\d+)\]$", 1).cast("long")
+    return (
+        rows.where(element | key)
+        .select(
+            F.col("doc_id").alias("trace_id"),
+            F.when(element, names[F.col("table_name")]).otherwise("candidate_actions").alias("list_name"),
+            F.when(element, F.col("pos")).otherwise(of_action).alias("pos"),
+            F.when(element, "").otherwise(F.col("columns")["key"]).alias("payload_key"),
+        )
+        .distinct()
     )
-    return elements.unionByName(keys).distinct()
