@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import general
+from loomgraph.plans import general, graph, graph_sql
 
-FLAGSHIP = "p5_source_stats"
+FLAGSHIP = "recall_batch_rank"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(general.QUERIES)
+    return {**general.QUERIES, **graph.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(general.ORACLE)
+    return {**general.ORACLE, **graph_sql.ORACLE}
