@@ -50,7 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there: no lineage, survives lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    return out.select(*[out[f"`{c}`"].alias(c) for c in out.columns])  # new attributes, so it can be joined with ``df``'s source
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
