@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,6 @@ def canonical(df: DataFrame, name: str) -> DataFrame:
 
 def unpack_vectors(column):  # noqa: ANN001, ANN201
     """Little-endian float32 blobs to arrays; null for a length that isn't a multiple of four."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
@@ -95,9 +94,6 @@ def unpack_vectors(column):  # noqa: ANN001, ANN201
 
 def pack_vectors(column):  # noqa: ANN001, ANN201
     """Arrays to little-endian float32 blobs."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
