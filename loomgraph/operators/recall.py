@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from loomgraph.config import RecallConfig, RecallRequest, ResolvedRequest
 from loomgraph.functions.text import tokens
-from loomgraph.operators.graph import active_headers
+from loomgraph.operators.graph import active_headers, incident_edges
+from loomgraph.session import cut
 
 K1, B = 1.2, 0.75
 TECHNICAL = "_-.:0123456789"
@@ -50,31 +51,33 @@ def length_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("sum_len"), F.avg("doc_len").alias("avg_len"))
 
 
+def term_counts(terms: list[str]) -> Column:
+    """A node's tf of each term: 2 for one of the label, 1 for one of the summary, 3 for both."""
+    listed = F.array(*[F.lit(t) for t in terms])
+    return F.transform(listed, lambda t: F.when(F.array_contains("label_tokens", t), 2.0).otherwise(0.0) + F.when(F.array_contains("summary_tokens", t), 1.0).otherwise(0.0))
+
+
 def term_weights(index: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
     """(idf times the boost of technical terms for each term that occurs, average length): one pass, one row to the driver."""
-    both = F.array_union("label_tokens", "summary_tokens")
-    row = index.agg(F.count(F.lit(1)), F.avg("doc_len"), *[F.count_if(F.array_contains(both, t)) for t in terms]).first()
+    row = index.select("doc_len", term_counts(terms).alias("tf")).agg(F.count(F.lit(1)), F.avg("doc_len"), *[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).first()
     n, avg = row[0], row[1] or 1.0
     found = {t: c for t, c in zip(terms, row[2:]) if c}
     return {t: max(0.1, float(np.log((n - c + 0.5) / (c + 0.5) + 1.0))) * (2.5 if any(x in TECHNICAL for x in t) else 1.0) for t, c in found.items()}, avg
 
 
-def bm25(req: ResolvedRequest, weights: dict[str, float], avg_len: float) -> Column:
-    """Share of the best possible score that a node reaches, in [0, 1]."""
-    known = [t for t in req.tokens if t in weights]
-    best = sum(weights[t] * (K1 + 1.0) for t in known)
-    if best <= 0:
-        return F.lit(0.0)
-    k = K1 * (1.0 - B + B * F.col("doc_len") / F.lit(avg_len))
-    raw: Column = F.lit(0.0)
-    for t in known:
-        tf = F.when(F.array_contains("label_tokens", t), 2.0).otherwise(0.0) + F.when(F.array_contains("summary_tokens", t), 1.0).otherwise(0.0)
-        raw = raw + F.lit(weights[t]) * (tf * (K1 + 1.0)) / (tf + k)
-    if len(req.tokens) > 1:
-        phrase = " ".join(req.tokens)
-        bonus = F.when(F.col("low_label").contains(phrase), 0.35 * best).when(F.col("low_summary").contains(phrase), 0.15 * best).otherwise(0.0)
-        raw = F.when(raw > 0, raw + bonus).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / best))
+def lexical_shares(tf: np.ndarray, doc_len: np.ndarray, phrases: np.ndarray, terms: list[str], requests: list[ResolvedRequest], weights: dict[str, float], avg_len: float) -> np.ndarray:
+    """(nodes, requests): share of the best possible BM25 score that a node reaches, in [0, 1].
+
+    ``phrases`` is 2 where the label holds the request's phrase, 1 where only the summary does.
+    """
+    k = K1 * (1.0 - B + B * doc_len / avg_len)
+    each = np.array([weights.get(t, 0.0) for t in terms]) * tf * (K1 + 1.0) / (tf + k[:, None])
+    uses = np.array([[t in r.tokens and t in weights for r in requests] for t in terms], np.float64)
+    raw = each @ uses
+    best = np.array([sum(weights.get(t, 0.0) * (K1 + 1.0) for t in r.tokens) for r in requests])
+    bonus = np.choose(phrases.astype(np.int64), [0.0, 0.15, 0.35]) * best
+    raw = np.where(raw > 0, raw + bonus, 0.0)
+    return np.clip(raw / np.where(best > 0, best, 1.0), 0.0, 1.0)
 
 
 def dense_scores(index: DataFrame, requests: list[ResolvedRequest]) -> DataFrame:
@@ -82,13 +85,7 @@ def dense_scores(index: DataFrame, requests: list[ResolvedRequest]) -> DataFrame
 
     One matrix product per batch of nodes and vector length.
     """
-    by_dim: dict[int, tuple[list[int], np.ndarray]] = {}
-    for i, r in enumerate(requests):
-        if r.embedding:
-            v = np.array(r.embedding, np.float64)
-            n = np.linalg.norm(v)
-            rows, m = by_dim.get(len(v), ([], np.zeros((0, len(v)))))
-            by_dim[len(v)] = ([*rows, i], np.vstack([m, v / n if n else v]))
+    by_dim = query_vectors(requests)
     if not by_dim:
         return index.withColumn("dense", F.array_repeat(F.lit(0.0), len(requests)))
     names = index.columns
@@ -96,47 +93,90 @@ def dense_scores(index: DataFrame, requests: list[ResolvedRequest]) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros((b.num_rows, len(requests)))
-            column = b.column(at)
-            sizes = np.diff(column.offsets.to_numpy())
-            flat = column.values.to_numpy(zero_copy_only=False)
-            start = column.offsets.to_numpy()
-            for dim, (rows, m) in by_dim.items():
-                pick = np.flatnonzero((sizes == dim) & column.is_valid().to_numpy(zero_copy_only=False))
-                if not len(pick):
-                    continue
-                x = flat[start[pick][:, None] + np.arange(dim)].astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                out[np.ix_(pick, rows)] = np.clip(np.nan_to_num((x / np.where(n > 0, n, 1.0)) @ m.T), 0.0, 1.0)
+            out = dot_scores(b.column(at), by_dim, len(requests))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(requests), pa.int32()), pa.array(out.ravel()))], names=[*names, "dense"])
 
     return index.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("dense", T.ArrayType(T.DoubleType()))]))
 
 
-def scored(index: DataFrame, requests: list[ResolvedRequest], now: datetime, cfg: RecallConfig = RecallConfig()) -> DataFrame:
-    """(query_no, id and all scores) of every candidate of every request."""
+SCORE_SCHEMA = "query_no int, id string, sim_score double, dense_score double, bm25_score double, frequency_score double, recency_score double, importance_score double, anchor_score double, base_score double, total_score double, w_anchor double"
+
+
+def dot_scores(column: pa.Array, by_dim: dict[int, tuple[list[int], np.ndarray]], n_requests: int) -> np.ndarray:
+    """(nodes, requests) cosines clamped to [0, 1]; 0 where there is no vector or lengths differ."""
+    out = np.zeros((len(column), n_requests))
+    start = column.offsets.to_numpy()
+    sizes, flat = np.diff(start), column.values.to_numpy(zero_copy_only=False)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    for dim, (rows, m) in by_dim.items():
+        pick = np.flatnonzero((sizes == dim) & there)
+        if len(pick):
+            x = flat[start[pick][:, None] + np.arange(dim)].astype(np.float64)
+            n = np.linalg.norm(x, axis=1, keepdims=True)
+            out[np.ix_(pick, rows)] = np.clip(np.nan_to_num((x / np.where(n > 0, n, 1.0)) @ m.T), 0.0, 1.0)
+    return out
+
+
+def query_vectors(requests: list[ResolvedRequest]) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Requests and their unit vectors by vector length."""
+    out: dict[int, tuple[list[int], np.ndarray]] = {}
+    for i, r in enumerate(requests):
+        if r.embedding:
+            v = np.array(r.embedding, np.float64)
+            n = np.linalg.norm(v)
+            rows, m = out.get(len(v), ([], np.zeros((0, len(v)))))
+            out[len(v)] = ([*rows, i], np.vstack([m, v / n if n else v]))
+    return out
+
+
+def scored(index: DataFrame, requests: list[ResolvedRequest], now: datetime, cfg: RecallConfig = RecallConfig(), weights: tuple[dict[str, float], float] | None = None, keep: int | None = None) -> DataFrame:
+    """All scores of the candidates of every request (see SCORE_SCHEMA).
+
+    Term counts are built-in expressions; lexical shares, vectors and the mixing of scores are matrices per batch.
+    With ``keep`` each batch hands on only what can be among the ``keep`` best of a request. ``weights`` are those of
+    the whole index, where ``index`` is a part of it.
+    """
     terms = sorted({t for r in requests for t in r.tokens})
-    weights, avg_len = term_weights(index, terms) if terms else ({}, 1.0)
+    known, avg_len = weights or (term_weights(index, terms) if terms else ({}, 1.0))
     ts = F.lit(now).cast("timestamp")
     idle = (F.unix_micros(ts) - F.unix_micros("last_accessed_at")) / 1e6
     freq = F.when(F.col("access_count") > 0, F.least(F.lit(1.0), F.log1p(F.col("access_count").cast("double")) / float(np.log(1.0 + cfg.max_frequency)))).otherwise(0.0)
     rec = F.when(idle > 0, F.exp(-idle / cfg.tau.total_seconds())).otherwise(1.0)
     imp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance_score")))
     stable = F.when((F.col("stability_score") > 0) & (F.col("stability_score") != 1.0), 0.8 + 0.2 * F.col("stability_score")).otherwise(1.0)
-    base = dense_scores(index, requests).withColumn("freq", freq).withColumn("rec", rec).withColumn("imp", imp).withColumn("stable", stable)
-    each = []
-    for i, r in enumerate(requests):
-        hit = F.col("id") == r.entity_id if r.entity_id else F.lit(False)
-        dense = F.when(hit, 1.0).otherwise(F.col("dense")[i])
-        lexical = F.when(hit, 1.0).otherwise(bm25(r, weights, avg_len))
-        anchor = F.when(F.arrays_overlap("anchors", F.array(*map(F.lit, r.anchors))), 1.0).otherwise(0.0) if r.anchors else F.lit(0.0)
-        each.append(F.struct(F.lit(i).alias("query_no"), dense.alias("dense_score"), lexical.alias("bm25_score"), anchor.alias("anchor_score"), *[F.lit(float(x)).alias(n) for n, x in (("alpha", r.alpha), ("w_sim", r.w_sim), ("w_freq", r.w_freq), ("w_rec", r.w_rec), ("w_imp", r.w_imp), ("w_anchor", r.w_anchor))], F.lit(r.filter_anchors).alias("strict")))
-    rows = base.select("id", "freq", "rec", "imp", "stable", F.explode(F.array(*each)).alias("q")).where(~F.col("q.strict") | (F.col("q.anchor_score") > 0))
-    rows = rows.select("id", "freq", "rec", "imp", "stable", "q.*").withColumn("sim_score", F.col("alpha") * F.col("dense_score") + (1.0 - F.col("alpha")) * F.col("bm25_score"))
-    score = (F.col("w_sim") * F.col("sim_score") + F.col("w_rec") * F.col("rec") + F.col("w_imp") * F.col("imp") + F.col("w_freq") * F.col("freq")) * F.col("stable")
-    return rows.withColumn("base_score", score).withColumn("total_score", score + F.col("w_anchor") * F.col("anchor_score")).select(
-        "query_no", "id", "sim_score", "dense_score", "bm25_score", F.col("freq").alias("frequency_score"), F.col("rec").alias("recency_score"), F.col("imp").alias("importance_score"), "anchor_score", "base_score", "total_score", "w_anchor"
-    )
+    anchor = [F.when(F.arrays_overlap("anchors", F.array(*map(F.lit, r.anchors))), 1.0).otherwise(0.0) if r.anchors else F.lit(0.0) for r in requests]
+    # A request of one token has no phrase.
+    phrases = F.transform(F.array(*[F.lit(" ".join(r.tokens) if len(r.tokens) > 1 else None).cast("string") for r in requests]), lambda p: F.when(F.col("low_label").contains(p), 2).when(F.col("low_summary").contains(p), 1).otherwise(0))
+    counts = term_counts(terms) if terms else F.array(F.lit(0.0))
+    slim = index.select("id", "embedding", counts.alias("tf"), F.array(*anchor).alias("tagged"), freq.alias("freq"), rec.alias("rec"), imp.alias("imp"), stable.alias("stable"), "doc_len", phrases.alias("phrases"))
+    by_dim, n = query_vectors(requests), len(requests)
+    alpha, w_sim, w_freq, w_rec, w_imp, w_anchor = (np.array([getattr(r, c) for r in requests], np.float64) for c in ("alpha", "w_sim", "w_freq", "w_rec", "w_imp", "w_anchor"))
+    entity, strict = [r.entity_id for r in requests], np.array([r.filter_anchors for r in requests])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            dense = dot_scores(b.column(1), by_dim, n)
+            tf, tagged, phrase = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in (2, 3, 9))
+            lexical = lexical_shares(tf, b.column(8).to_numpy(), phrase, terms, requests, known, avg_len) if terms else np.zeros((b.num_rows, n))
+            for q, e in enumerate(entity):
+                if e:
+                    at = np.flatnonzero(np.array(ids.to_pylist(), object) == e)
+                    dense[at, q] = lexical[at, q] = 1.0
+            f, r, m, st = (b.column(i).to_numpy(zero_copy_only=False)[:, None] for i in (4, 5, 6, 7))
+            sim = alpha * dense + (1.0 - alpha) * lexical
+            base = (w_sim * sim + w_rec * r + w_imp * m + w_freq * f) * st
+            total = base + w_anchor * tagged
+            wanted = ~strict | (tagged > 0)
+            if keep is not None and len(ids) > keep:
+                ranked = np.where(wanted, total, -np.inf)
+                wanted &= ranked >= np.partition(ranked, -keep, axis=0)[-keep] - 1e-8  # ties stay
+            row, q = np.nonzero(wanted)
+            columns = [pa.array(q, pa.int32()), ids.take(pa.array(row))]
+            columns += [pa.array(x[row, q]) for x in (sim, dense, lexical)] + [pa.array(x[row, 0]) for x in (f, r, m)] + [pa.array(x[row, q]) for x in (tagged, base, total)] + [pa.array(w_anchor[q])]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
+
+    return slim.mapInArrow(run, SCORE_SCHEMA)
 
 
 def best(scores: DataFrame, k: int, by: str = "total_score") -> DataFrame:
@@ -145,30 +185,42 @@ def best(scores: DataFrame, k: int, by: str = "total_score") -> DataFrame:
     return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def expand(scores: DataFrame, edges: DataFrame, req: ResolvedRequest, cfg: RecallConfig = RecallConfig()) -> tuple[DataFrame, DataFrame]:
-    """(scores with neighbours' boosts and hop_distance, edges used). ``scores`` and ``req`` are of one gating setting.
+def gate(edges: DataFrame, req: ResolvedRequest) -> DataFrame:
+    """Edges that a request may follow: no self-loops, heavy enough, of an allowed relation."""
+    gated = edges.where((F.col("source_id") != F.col("target_id")) & (F.col("weight") >= req.min_edge_weight))
+    return gated.where(F.col("relation_type").isin(req.relations)) if req.relations else gated
+
+
+def expand(index: DataFrame, edges: DataFrame, requests: list[ResolvedRequest], now: datetime, k: int, cfg: RecallConfig = RecallConfig()) -> tuple[DataFrame, DataFrame]:
+    """(candidates with neighbours' boosts and hop_distance, edges used): all that can be among the k best.
 
-    Seeds and the top score are those before any boost, so the order of edges can't matter: a neighbour gets the
-    best of what its edges give.
+    The nodes are scored once for the best of each request; beside these only the neighbours of the seeds can rise,
+    and only they are scored again. Seeds and the top score are those before any boost, so the order of edges can't
+    matter: a neighbour gets the best of what its edges give. The requests agree in their gate.
     """
-    seeds = best(scores, cfg.pool).select("query_no", F.col("id").alias("seed"), F.col("total_score").alias("seed_score"), F.max("total_score").over(Window.partitionBy("query_no")).alias("top"))
-    gated = edges.where((F.col("source_id") != F.col("target_id")) & (F.col("weight") >= req.min_edge_weight))
-    if req.relations:
-        gated = gated.where(F.col("relation_type").isin(req.relations))
+    req = requests[0]
+    index = index.persist()
+    terms = sorted({t for r in requests for t in r.tokens})
+    weights = term_weights(index, terms) if terms else ({}, 1.0)
+    many = max(cfg.pool, k)
+    top = cut(best(scored(index, requests, now, cfg, weights, many), many))
+    seeds = top.where(F.col("place") <= cfg.pool).select("query_no", F.col("id").alias("seed"), F.col("total_score").alias("seed_score"), F.max("total_score").over(Window.partitionBy("query_no")).alias("top"))
+    gated = gate(edges, req)
     # Each edge in both directions: an equi-join on the seed instead of a disjunction of two.
     oriented = gated.select(F.explode(F.array(F.struct(F.col("source_id").alias("seed"), F.col("target_id").alias("id")), F.struct(F.col("target_id").alias("seed"), F.col("source_id").alias("id")))).alias("o"), "weight").select("o.*", "weight")
     met = oriented.join(F.broadcast(seeds), "seed")  # at most requests x pool rows
-    lifts = met.groupBy("query_no", "id", "seed").agg(F.max("seed_score").alias("seed_score"), F.max("top").alias("top"), F.max(F.least(F.lit(1.0), F.col("weight"))).alias("pull"))
-    found = lifts.join(scores, ["query_no", "id"]).where(F.col("seed_score") > F.col("base_score"))
+    lifts = cut(met.groupBy("query_no", "id", "seed").agg(F.max("seed_score").alias("seed_score"), F.max("top").alias("top"), F.max(F.least(F.lit(1.0), F.col("weight"))).alias("pull")))
+    near = scored(index.join(lifts.select("id").distinct(), "id", "left_semi"), requests, now, cfg, weights)
+    found = lifts.join(near, ["query_no", "id"]).where(F.col("seed_score") > F.col("base_score"))
     new = F.col("base_score") + req.boost * F.col("pull") * F.col("seed_score") + F.col("w_anchor") * F.col("anchor_score")
     limit = F.least("seed_score", "top")
     new = F.when(F.col("sim_score") < 0.5, F.least(new, 0.85 * limit)).when(((F.col("base_score") < F.col("seed_score")) | (F.col("base_score") < F.col("top"))) & ((new >= F.col("seed_score")) | (new >= F.col("top"))), 0.95 * F.when(F.col("top") > 0, limit).otherwise(F.col("seed_score"))).otherwise(new)
-    lifted = found.withColumn("lifted", new).groupBy("query_no", "id").agg(F.max("lifted").alias("lifted"))
-    out = scores.join(lifted, ["query_no", "id"], "left")
-    up = F.coalesce(F.col("lifted") > F.col("total_score"), F.lit(False))
-    out = out.withColumn("hop_distance", F.when(up, 1).otherwise(0)).withColumn("total_score", F.when(up, F.col("lifted")).otherwise(F.col("total_score"))).drop("lifted")
-    used = gated.join(F.broadcast(seeds.select(F.col("seed").alias("s")).distinct()), (F.col("source_id") == F.col("s")) | (F.col("target_id") == F.col("s")), "left_semi")
-    return out, used
+    scores = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
+    lifted = found.withColumn("lifted", new).where(F.col("lifted") > F.col("total_score")).groupBy("query_no", "id").agg(F.max("lifted").alias("total_score"), *[F.first(c).alias(c) for c in scores if c not in ("query_no", "id", "total_score")])
+    lifted = cut(lifted.select(*scores, F.lit(1).alias("hop_distance")))
+    rest = top.select(*scores, F.lit(0).alias("hop_distance")).join(lifted.select("query_no", "id"), ["query_no", "id"], "left_anti")
+    used = incident_edges(gated, seeds.select(F.col("seed").alias("id")))
+    return rest.select(*scores, "hop_distance").unionByName(lifted), used
 
 
 def present(top: DataFrame, nodes: DataFrame, req: ResolvedRequest) -> DataFrame:
@@ -202,11 +254,12 @@ def recall(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, requests: lis
     Requests that expand must agree in their gate; requests are answered together in one plan.
     """
     resolved = [r.resolved(cfg) for r in requests]
-    scores = scored(build_index(nodes, anchors), resolved, now, cfg)
+    index = build_index(nodes, anchors)
+    most = max(r.top_k for r in resolved)
     if any(r.expand for r in resolved):
-        scores, _ = expand(scores, edges, resolved[0], cfg)
+        scores, _ = expand(index, edges, resolved, now, most, cfg)
     else:
-        scores = scores.withColumn("hop_distance", F.lit(0))
+        scores = scored(index, resolved, now, cfg, keep=most).withColumn("hop_distance", F.lit(0))
     limits = F.array(*[F.lit(r.top_k) for r in resolved])
-    top = best(scores, max(r.top_k for r in resolved)).where(F.col("place") <= limits[F.col("query_no")])
+    top = best(scores, most).where(F.col("place") <= limits[F.col("query_no")])
     return present(top.drop("w_anchor"), nodes, resolved[0])

@@ -251,18 +251,16 @@ def recall_full_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_batch_rank(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(R.scored(_index(spark, d), with_vectors(spark, d, REQUESTS), NOW), 20)
+    return _ranked(R.scored(_index(spark, d), with_vectors(spark, d, REQUESTS), NOW, keep=20), 20)
 
 
 def recall_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
     req = RecallRequest(query="threshold of the sensor", anchors=("project:griipwyn", "#pattern:breinwyn"), anchor_mode="filter", top_k=30)
-    return _ranked(R.scored(_index(spark, d), with_vectors(spark, d, [req]), NOW), 30)
+    return _ranked(R.scored(_index(spark, d), with_vectors(spark, d, [req]), NOW, keep=30), 30)
 
 
 def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    requests = with_vectors(spark, d, EXPANDING)
-    scores = R.scored(_index(spark, d), requests, NOW)
-    return R.expand(scores, table(spark, d, "edges"), requests[0])
+    return R.expand(_index(spark, d), table(spark, d, "edges"), with_vectors(spark, d, EXPANDING), NOW, 10)
 
 
 def recall_expanded(spark: SparkSession, d: str) -> DataFrame:
