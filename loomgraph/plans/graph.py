@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from loomgraph.functions import text as T
 from loomgraph.operators import decay as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import recall as R
-from loomgraph.plans.graph_sql import CUTOFF, EXPANDING, LEXICAL_QUERY, N_VECTORS, REF, REQUESTS
+from loomgraph.plans.graph_sql import CUTOFF, EXPANDING, LEXICAL_QUERY, MODES, N_VECTORS, OWN, REF, REQUESTS, WALKING
 from loomgraph.session import table
 
 NOW = datetime.fromisoformat(REF).replace(tzinfo=timezone.utc)
@@ -232,7 +233,8 @@ def recency_score(spark: SparkSession, d: str) -> DataFrame:
 def with_vectors(spark: SparkSession, d: str, requests: list[RecallRequest]) -> list[ResolvedRequest]:
     """Request i gets the vector of the i-th lowest node id that has 64 dimensions; a handful of rows to the driver."""
     rows = _cur(spark, d).where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0)).select("id", "embedding").orderBy("id").limit(N_VECTORS).collect()
-    return [r.resolved().with_vector(tuple(x["embedding"])) for r, x in zip(requests, rows)] if len(rows) >= len(requests) else [r.resolved() for r in requests]
+    named = [replace(r, entity_id=x["id"]) if r.entity_id == OWN else r for r, x in zip(requests, rows)]
+    return [r.resolved().with_vector(tuple(x["embedding"])) for r, x in zip(named, rows)] if len(rows) >= len(requests) else [r.resolved() for r in requests]
 
 
 SCORES = ("sim_score", "dense_score", "bm25_score", "frequency_score", "recency_score", "importance_score", "anchor_score", "base_score", "total_score")
@@ -263,6 +265,18 @@ def _expanded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return R.expand(_index(spark, d), table(spark, d, "edges"), with_vectors(spark, d, EXPANDING), NOW, 10)
 
 
+def _mode(requests: list[RecallRequest]):  # noqa: ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return _ranked(R.scored(_index(spark, d), with_vectors(spark, d, requests), NOW, keep=25), 25)
+
+    return run
+
+
+def expand_relation_filter(spark: SparkSession, d: str) -> DataFrame:
+    grown, _ = R.expand(_index(spark, d), table(spark, d, "edges"), with_vectors(spark, d, WALKING), NOW, 15)
+    return _ranked(grown, 15, "hop_distance")
+
+
 def recall_expanded(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(_expanded(spark, d)[0], 10, "hop_distance")
 
@@ -294,8 +308,8 @@ def secret_mask(spark: SparkSession, d: str) -> DataFrame:
     return _cur(spark, d).select("id", F.when(hidden, F.lit(R.MASK)).otherwise(F.col("summary")).alias("summary"))
 
 
-_PLAIN = (active_headers, multi_get, incident_edges, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_edges_gated, subgraph_edges, recall_dense_topk, secret_mask)
-QUERIES = {f.__name__: f for f in _PLAIN} | {
+_PLAIN = (active_headers, multi_get, incident_edges, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_relation_filter, expand_edges_gated, subgraph_edges, recall_dense_topk, secret_mask)
+QUERIES = {f.__name__: f for f in _PLAIN} | {name: _mode(requests) for name, requests in MODES.items()} | {
     "decay_scope_all": _scoped(ScopedDecay("all")),
     "decay_scope_unanchored": _scoped(ScopedDecay("unanchored", half_life=timedelta(hours=240), grace=timedelta(days=60), threshold=0.5)),
     "decay_scope_transient": _scoped(ScopedDecay("transient", half_life=timedelta(hours=480), grace=timedelta(days=30), threshold=0.4)),

@@ -21,6 +21,16 @@ REQUESTS = [
     RecallRequest(query="leader election lost its lease", weights=(0.0, 0.0, 0.0, 0.7)),
     RecallRequest(query="drain queue_id shard_no", weights=(0.6, 0.2, 0.2, 0.2), top_k=20),
 ]
+#: Stands for the id of the node whose vector the request has.
+OWN = "@own"
+MODES = {
+    "recall_bm25_topk": [RecallRequest(query="write-ahead log lost its lease", mode="bm25"), RecallRequest(query="queue_id retry_count", mode="bm25")],
+    "recall_hybrid_topk": [RecallRequest(query="the memory graph came back", hybrid_alpha=0.5), RecallRequest(query="packet buffer", hybrid_alpha=0.9)],
+    "recall_entity_seed": [RecallRequest(query="unrelated words", entity_id=OWN), RecallRequest(entity_id=OWN)],
+    "recall_anchor_boost": [RecallRequest(query="certificate chain #project:griipwyn"), RecallRequest(query="edge gateway", anchors=(" Pattern:Breinwyn ",), w_anchor=0.25)],
+    "recall_server_preset": [RecallRequest(query="decay scheduler", weights=(0.6, 0.2, 0.2, 0.2)), RecallRequest(query="decay scheduler", weights=(0.0, 0.0, 0.0, 0.5))],
+}
+WALKING = [RecallRequest(query="trace store", expand_hops=1, min_edge_weight=0.3, attenuation=0.5, relations=("precedes", " subgoal_of ".strip()), top_k=15), RecallRequest(query="fan governor", expand_hops=2, min_edge_weight=0.3, attenuation=0.5, relations=("precedes", "subgoal_of"), top_k=15)]
 EXPANDING = [RecallRequest(**{**r.__dict__, "expand_neighbours": True, "top_k": 10}) for r in REQUESTS]
 N_VECTORS = len(REQUESTS)
 
@@ -61,20 +71,20 @@ def scores_sql(requests: list[RecallRequest]) -> str:
     rows, words = [], []
     for i, r in enumerate(x.resolved(RecallConfig()) for x in requests):
         tags = "[" + ", ".join(map(quoted, r.anchors)) + "]::VARCHAR[]"
-        rows.append(f"SELECT {i} AS query_no, {quoted(' '.join(r.tokens))} AS phrase, {len(r.tokens)} AS n_tokens, {tags} AS tags, {r.filter_anchors} AS strict, {r.alpha!r}::DOUBLE AS alpha, {r.w_sim!r}::DOUBLE AS w_sim, {r.w_freq!r}::DOUBLE AS w_freq, {r.w_rec!r}::DOUBLE AS w_rec, {r.w_imp!r}::DOUBLE AS w_imp, {r.w_anchor!r}::DOUBLE AS w_anchor")
+        rows.append(f"SELECT {i} AS query_no, {quoted(' '.join(r.tokens))} AS phrase, {len(r.tokens)} AS n_tokens, {tags} AS tags, {r.filter_anchors} AS strict, {r.alpha!r}::DOUBLE AS alpha, {r.w_sim!r}::DOUBLE AS w_sim, {r.w_freq!r}::DOUBLE AS w_freq, {r.w_rec!r}::DOUBLE AS w_rec, {r.w_imp!r}::DOUBLE AS w_imp, {r.w_anchor!r}::DOUBLE AS w_anchor, {r.entity_id == OWN} AS own")
         words += [f"({i}, {quoted(t)})" for t in r.tokens]
     return f"""WITH {CUR}, {TAGS}, {INDEX},
 q AS ({' UNION ALL '.join(rows)}),
-qt AS (SELECT * FROM (VALUES {', '.join(words)}) AS v(query_no, term)),
-vec AS (SELECT row_number() OVER (ORDER BY id) - 1 AS query_no, embedding::DOUBLE[] AS v FROM cur WHERE len(embedding) = 64 AND list_dot_product(embedding, embedding) > 0 QUALIFY query_no < {N_VECTORS}),
+qt AS (SELECT * FROM (VALUES {', '.join(words or ["(-1, '')"])}) AS v(query_no, term)),
+vec AS (SELECT row_number() OVER (ORDER BY id) - 1 AS query_no, id, embedding::DOUBLE[] AS v FROM cur WHERE len(embedding) = 64 AND list_dot_product(embedding, embedding) > 0 QUALIFY query_no < {N_VECTORS}),
 df AS (SELECT term, count(*) AS n FROM postings WHERE term IN (SELECT term FROM qt) GROUP BY term),
 w AS (SELECT qt.query_no, qt.term, greatest(0.1, ln((c.n - df.n + 0.5) / (df.n + 0.5) + 1.0)) * CASE WHEN regexp_matches(qt.term, '[-_.:0-9]') THEN 2.5 ELSE 1.0 END AS weight FROM qt JOIN df ON qt.term = df.term, corpus c),
 top_score AS (SELECT query_no, sum(weight * {K1 + 1.0}) AS best FROM w GROUP BY query_no),
 lex AS (SELECT w.query_no, p.id, sum(w.weight * (p.tf * {K1 + 1.0}) / (p.tf + {K1} * (1.0 - {B} + {B} * p.doc_len / c.avg_len))) AS raw FROM w JOIN postings p ON w.term = p.term, corpus c GROUP BY 1, 2),
 parts AS (SELECT q.*, d.id, d.anchors, d.is_archived,
-    CASE WHEN len(d.embedding) = 64 AND list_dot_product(d.embedding, d.embedding) > 0
+    CASE WHEN q.own AND d.id = vec.id THEN 1.0 WHEN len(d.embedding) = 64 AND list_dot_product(d.embedding, d.embedding) > 0
          THEN least(1.0, greatest(0.0, list_dot_product(d.embedding::DOUBLE[], vec.v) / sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]) * list_dot_product(vec.v, vec.v)))) ELSE 0.0 END AS dense_score,
-    least(1.0, greatest(0.0, coalesce((lex.raw + CASE WHEN q.n_tokens > 1 AND contains(d.ll, q.phrase) THEN 0.35 * t.best WHEN q.n_tokens > 1 AND contains(d.ls, q.phrase) THEN 0.15 * t.best ELSE 0.0 END) / t.best, 0.0))) AS bm25_score,
+    CASE WHEN q.own AND d.id = vec.id THEN 1.0 ELSE least(1.0, greatest(0.0, coalesce((lex.raw + CASE WHEN q.n_tokens > 1 AND contains(d.ll, q.phrase) THEN 0.35 * t.best WHEN q.n_tokens > 1 AND contains(d.ls, q.phrase) THEN 0.15 * t.best ELSE 0.0 END) / t.best, 0.0))) END AS bm25_score,
     CASE WHEN d.access_count > 0 THEN least(1.0, ln(1.0 + d.access_count) / ln(101.0)) ELSE 0.0 END AS frequency_score,
     CASE WHEN d.last_accessed_at < {_REF} THEN exp(-(epoch_us({_REF}) - epoch_us(d.last_accessed_at)) / 1e6 / 86400.0) ELSE 1.0 END AS recency_score,
     least(1.0, greatest(0.0, d.importance_score)) AS importance_score,
@@ -91,7 +101,7 @@ def expanded_sql(requests: list[RecallRequest]) -> str:
     cfg = RecallConfig()
     return scores_sql(requests) + f""",
 seeds AS (SELECT query_no, id AS seed, total_score AS seed_score, max(total_score) OVER (PARTITION BY query_no) AS top FROM scores QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY total_score DESC, id) <= {cfg.pool}),
-gated AS (SELECT * FROM edges WHERE source_id <> target_id AND weight >= {r.min_edge_weight}),
+gated AS (SELECT * FROM edges WHERE source_id <> target_id AND weight >= {r.min_edge_weight}{" AND relation_type IN (" + ", ".join(map(quoted, r.relations)) + ")" if r.relations else ""}),
 oriented AS (SELECT source_id AS seed, target_id AS id, weight FROM gated UNION ALL SELECT target_id, source_id, weight FROM gated),
 lifts AS (SELECT s.query_no, o.id, s.seed_score, s.top, least(1.0, o.weight) AS pull FROM oriented o JOIN seeds s ON o.seed = s.seed),
 lifted AS (SELECT l.*, c.base_score, c.sim_score, c.base_score + {r.boost} * l.pull * l.seed_score + c.w_anchor * c.anchor_score AS new FROM lifts l JOIN scores c ON c.query_no = l.query_no AND c.id = l.id WHERE l.seed_score > c.base_score),
@@ -177,7 +187,18 @@ _SCORED = scores_sql(REQUESTS)
 _GROWN = expanded_sql(EXPANDING)
 _FILTERED = scores_sql([RecallRequest(query="threshold of the sensor", anchors=("project:griipwyn", "#pattern:breinwyn"), anchor_mode="filter", top_k=30)])
 
+_SAMPLE = """, d AS (SELECT doc_id, octet_length(encode(text)) AS size FROM documents),
+b AS (SELECT lab.*, lower(label) AS low, CASE WHEN kind = 'incident' THEN 0 ELSE 1 END AS late, CASE WHEN size < 3000 THEN 3 WHEN size < 25000 THEN 10 WHEN size < 100000 THEN 25 ELSE 40 END AS budget FROM lab JOIN d USING (doc_id)),
+u AS (SELECT * FROM b QUALIFY late = 1 OR row_number() OVER (PARTITION BY doc_id, late, low ORDER BY line_no) = 1),
+c AS (SELECT *, budget - count(*) FILTER (late = 0) OVER (PARTITION BY doc_id) AS spare, count(*) FILTER (late = 1) OVER (PARTITION BY doc_id) AS others, row_number() OVER (PARTITION BY doc_id, late ORDER BY line_no) - 1 AS j FROM u),
+s AS (SELECT * FROM c WHERE late = 0 OR (spare > 0 AND j % (CASE WHEN others > spare THEN others // greatest(spare, 1) ELSE 1 END) = 0)),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, low, kind ORDER BY late, line_no) = 1)
+SELECT doc_id, line_no, kind, label, substr('evt-' || sha256(line || '-' || line_no), 1, 16) AS event_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY late, line_no) <= budget"""
+
 ORACLE = {
+    "trace_line_sample": _LINES + _SAMPLE,
+    "expand_relation_filter": ranked_sql(expanded_sql(WALKING), "expanded", 15, ", hop_distance"),
+    **{name: ranked_sql(scores_sql(requests), "scores", 25) for name, requests in MODES.items()},
     "active_headers": f"WITH {CUR}, {TAGS} SELECT id, entity_type, access_count, round(importance_score, 6) AS importance_score, array_to_string(coalesce(anchors, []), ' ') AS anchors, round(sqrt(coalesce(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 0.0)), 4) AS magnitude FROM cur LEFT JOIN tags ON cur.id = tags.node_id WHERE NOT is_archived",
     "multi_get": f"WITH {CUR}, {TAGS} SELECT id, entity_type, label, is_archived, array_to_string(coalesce(anchors, []), ' ') AS anchors FROM cur LEFT JOIN tags ON cur.id = tags.node_id WHERE id IN (SELECT DISTINCT node_id FROM scored_nodes)",
     "incident_edges": f"WITH {CUR}, i AS (SELECT id FROM cur ORDER BY id LIMIT 50) SELECT source_id, target_id, relation_type, weight FROM edges WHERE source_id IN (SELECT id FROM i) OR target_id IN (SELECT id FROM i)",
