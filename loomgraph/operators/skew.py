@@ -40,3 +40,17 @@ def two_stage(df: DataFrame, key: str, salt: str, partial: dict[str, Column], me
     """``partial`` aggregates per (key, salt), then ``merge`` aggregates of those columns per key."""
     first = df.groupBy(key, salt).agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(key).agg(*[c.alias(n) for n, c in merge.items()])
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, total: int, rows: int = 200_000, share: float = 0.002) -> DataFrame:
+    """Inner join on ``key`` where ``size`` of ``right`` says how many rows of ``left`` have the key.
+
+    Keys with more than ``rows`` rows and more than ``share`` of ``total`` are few (at most 1/share) and are joined by
+    broadcast, so their rows stay where they are; all others are joined as usual.
+    """
+    least = max(rows, int(total * share))
+    if total <= least:
+        return left.join(right, key)
+    big = F.broadcast(right.where(F.col(size) > least))
+    rest = left.join(F.broadcast(right.where(F.col(size) > least).select(key)), key, "left_anti")
+    return left.join(big, key).unionByName(rest.join(right.where(F.col(size) <= least), key))

@@ -146,3 +146,10 @@ def test_salt_spreads_only_heavy_keys(spark):
     assert name == "salt_"
     by = {r.key: r.d for r in out.groupBy("key").agg(F.countDistinct(name).alias("d")).collect()}
     assert by["h"] > 4 and by["l"] == 1 and by[None] == 1
+
+
+def test_sized_join_equals_a_join(spark):
+    left = spark.createDataFrame([("h", i) for i in range(50)] + [("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("h", "x", 50), ("h", "y", 50), ("a", "z", 1), ("c", "w", 0)], "k string, w string, n int")
+    plain = sorted(map(str, left.join(right, "k").collect()))
+    assert sorted(map(str, skew.join_sized(left, right, "k", "n", 53, rows=10, share=0.1).collect())) == plain and len(plain) == 101
