@@ -27,11 +27,15 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @dataclass(frozen=True)
 class MixSpec:
-    """``block``: tokens in a block; ``shard``: blocks in an output shard; ``vocabulary``: a tiktoken rank file."""
+    """``block``: tokens in a block; ``shard``: blocks in an output shard; ``vocabulary``: a tiktoken rank file.
+
+    ``most_sources``: more target sources than that are refused, since their list goes to every task.
+    """
 
     block: int = 1024
     shard: int = 1024
     seed: int = 11
+    most_sources: int = 10_000
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -123,7 +127,9 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
 def draw_slots(plan: DataFrame, spec: MixSpec) -> DataFrame:
     """(source, shard, number, pass_no, block): every slot of the output that can be filled."""
     spark = plan.sparkSession
-    listed = plan.select("source", "share", "max_repeats", "blocks", "goal").collect()  # one row per target source
+    listed = plan.select("source", "share", "max_repeats", "blocks", "goal").limit(spec.most_sources + 1).collect()
+    if len(listed) > spec.most_sources:
+        raise ValueError(f"more than {spec.most_sources} target sources")
     names = sorted(r["source"] for r in listed)
     by = {r["source"]: r for r in listed}
     shares = np.array([by[s]["share"] for s in names], np.float64)

@@ -50,5 +50,12 @@ ORACLE = {
 WITH s AS (SELECT lower(trim(coalesce(source, ''))) AS source, sum(length(text)) AS size FROM documents GROUP BY 1),
 t AS (SELECT lower(trim(source)) AS source, target_weight / (SELECT sum(target_weight) FROM mixture_targets) AS share, max_repeats FROM mixture_targets)
 SELECT t.source FROM t LEFT JOIN s ON t.source = s.source WHERE coalesce(s.size, 0) * t.max_repeats < t.share * (SELECT sum(size) FROM s)""",
+    "p3_top10": """
+WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM nodes WHERE embedding IS NOT NULL AND id IS NOT NULL GROUP BY id),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+s AS (SELECT a.id, b.id AS other, CASE WHEN len(a.e) = len(b.e) THEN round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 9) END AS c
+      FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.id <> b.id WHERE ('0x' || substr(md5(a.id), 1, 6))::INTEGER % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS place FROM s)
+SELECT id, other, round(c, 6) AS cosine, place::INTEGER AS place FROM r WHERE place <= 10""",
     "p6_found": _WORDS + "SELECT id_a, id_b FROM common WHERE c * 10 >= 7 * (na + nb - c)",
 }

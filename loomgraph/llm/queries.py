@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, leakage, mixing, near, ranking, vectors
+from loomgraph.llm.staging import stage
 from loomgraph.session import table
 
 
@@ -17,6 +18,14 @@ def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest(table(spark, d, "nodes")).withColumn("cosine", F.round("cosine", 5))
 
 
+def p3_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar nodes, at any distance, of every node whose hashed id is divisible by 20, against all nodes."""
+    rows = stage(vectors.usable_vectors(table(spark, d, "nodes"), "id", "embedding"), "usable")
+    mine = F.conv(F.substring(F.md5("id"), 1, 6), 16, 10).cast("long") % 20 == 0
+    found = vectors.top_k_blocks(rows, rows.where(mine), 10)
+    return found.select(F.col("query").alias("id"), F.col("id").alias("other"), F.round("cosine", 6).alias("cosine"), "place")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ranking.dominant(table(spark, d, "scored_nodes"))
 
@@ -69,4 +78,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
