@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +70,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once per session: they need not find it on their own path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loomgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    stamp = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    folder = tempfile.mkdtemp(prefix="loomgraph-package-")  # on the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"loomgraph-{stamp}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in files:
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._loomgraph_shipped = True
