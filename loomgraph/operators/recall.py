@@ -263,3 +263,14 @@ def recall(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, requests: lis
     limits = F.array(*[F.lit(r.top_k) for r in resolved])
     top = best(scores, most).where(F.col("place") <= limits[F.col("query_no")])
     return present(top.drop("w_anchor"), nodes, resolved[0])
+
+
+def as_json(top: DataFrame) -> DataFrame:
+    """(query_no, place, body): each row as a JSON object without nulls, empty texts and zero scores."""
+    slim = []
+    for name, kind in top.dtypes:
+        if name in ("query_no", "place"):
+            continue
+        c = F.col(name)
+        slim.append((F.nullif(c, F.lit(0).cast(kind)) if kind in ("double", "int", "bigint", "float") else F.nullif(c, F.lit("")) if kind == "string" else c).alias(name))
+    return top.select("query_no", "place", F.to_json(F.struct(*slim)).alias("body"))

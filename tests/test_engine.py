@@ -351,3 +351,44 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_hit_rate_on_a_graph_of_targets_and_decoys(spark):
+    """54 targets of one project among 162 fresher, busier decoys of others, 866 edges: the target comes first."""
+    rng = np.random.default_rng(42)
+    topics = ["ring buffer", "lease renewal", "shard map", "write path", "read quorum", "snapshot cadence", "anchor decay", "thermal guard", "queue depth", "retry budget", "index merge", "cache warmup", "token bucket", "leader change", "trace format", "edge pruning", "key rotation", "batch window"]
+    variants = ["policy", "limits", "rollout"]
+    e = embed.HashEmbedder(384)
+    rows, tags = [], []
+    for name, kind, count, age in (("Gannetry", "decision", 35, 0.5), ("Harrier", "concept", 45, 0.08), ("Osprey", "concept", 45, 0.08), ("Merlin", "concept", 45, 0.08)):
+        for topic in topics:
+            for variant in variants:
+                label = f"Project {name} {variant} {topic}"
+                i = label.replace(" ", "-").lower()
+                rows.append([i, label, f"{variant} of the {topic} agreed for {name}", kind, count, age])
+                if name == "Gannetry":
+                    tags.append((i, "#project:gannetry", None))
+    vectors = e.embed_batch([f"{r[1]} {r[2]}" for r in rows])
+    nodes = [node(i, label, summary, [float(x) for x in v], kind, count, age) for (i, label, summary, kind, count, age), v in zip(rows, vectors)]
+    targets, everything = [r[0] for r in rows[:54]], [r[0] for r in rows]
+    pick = lambda ids, n: [(str(a), str(b)) for a, b in zip(rng.choice(ids, n), rng.choice(ids, n))]
+    edges = {(a, b, ("depends_on", "subgoal_of", "anchored_to")[k % 3], (0.85, 0.8, 0.75)[k % 3]) for k, (a, b) in enumerate(pick(targets, 250))}
+    edges |= {(a, b, "incidental_mention", 0.4) for a, b in pick(everything, 300)} | {(a, b, "relates_to", 0.55) for a, b in pick(everything, 316)}
+    asked = [(v, t) for t in topics for v in variants]
+    asked = [asked[k % 54] for k in range(100)]
+    queries = [f"Project Gannetry {v} {t}" for v, t in asked]
+    requests = [RecallRequest(query=q, embedding=tuple(map(float, v)), expand_neighbours=True) for q, v in zip(queries, e.embed_batch(queries))]
+    got = R.recall(frame(spark, "nodes", nodes), frame(spark, "edges", [(*x, NOW, None) for x in edges]), frame(spark, "node_anchors", tags), requests, NOW).where("place = 1").collect()
+    hits = sum(r.id == queries[r.query_no].replace(" ", "-").lower() and r.hop_distance == 0 for r in got)
+    assert len(got) == 100 and hits >= 90
+
+
+def test_fields_and_json(spark):
+    rows = [node("a", "x", "", vec=[1.0, 0.0])]
+    n, e, t = frame(spark, "nodes", rows), frame(spark, "edges", []), frame(spark, "node_anchors", [])
+    some = R.recall(n, e, t, [RecallRequest(embedding=(1.0, 0.0), fields=("Label", "embedding", "nothing"))], NOW)
+    assert set(some.columns) == {"query_no", "id", "label", "embedding"}
+    full = R.recall(n, e, t, [RecallRequest(embedding=(1.0, 0.0))], NOW)
+    assert "embedding" not in full.columns
+    body = json.loads(R.as_json(full).first().body)
+    assert body["id"] == "a" and "bm25_score" not in body and "summary" not in body and body["dense_score"] == 1.0
