@@ -65,7 +65,8 @@ def label_language(label: Column) -> Column:
 
 
 def _letters() -> np.ndarray:
-    """0 for all that is no letter or digit, 1 for digits, 2 for letters, by code point of the basic plane."""
+    """0 for what is no letter or digit, 1 for digits, 2 for letters, 3 for invisible format characters (they are part of
+    the word that they stand in), by code point of the basic plane."""
     kinds = np.zeros(0x10000, np.uint8)
     for c in range(0x10000):
         ch = chr(c)
@@ -73,6 +74,8 @@ def _letters() -> np.ndarray:
             kinds[c] = 2
         elif ch.isalnum():
             kinds[c] = 1
+        elif unicodedata.category(ch) == "Cf":
+            kinds[c] = 3
     return kinds
 
 

@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.words import words
 
 
+#: Documents whose words are held at once by a task.
+SLICE = 1000
+
+
 @dataclass(frozen=True)
 class LeakSpec:
     """``seeds``: masks with a span of at most ``run`` words. ``run``: equal words in a row that make a leak.
@@ -148,7 +152,7 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
             index: Index = shared.value
             get = index.vocabulary.get
             gap = [0] * max(map(len, spec.seeds))
-            for b in batches:
+            for b in (rb.slice(lo, SLICE) for rb in batches for lo in range(0, rb.num_rows, SLICE)):
                 keys, flat, lengths = b.column(0), [], []
                 for value in b.column(1).to_pylist():
                     ws = words(value)

@@ -155,3 +155,10 @@ def test_no_documents_or_labels(spark):
     assert langid.mislabelled(spark.createDataFrame([], DOCS)).count() == 0
     df = spark.createDataFrame([doc(1, SENTENCES["en"], None)], DOCS)
     assert langid.document_languages(df).count() == 1
+
+
+def test_invisible_characters_part_no_words(spark, model):
+    text = "­".join(SENTENCES["de"][i : i + 3] for i in range(0, len(SENTENCES["de"]), 3))
+    df = spark.createDataFrame([doc(1, text, None), doc(2, SENTENCES["de"], None)], DOCS)
+    got = {r.doc_id: (r.lang, r.words) for r in langid.document_languages(df, model=model).collect()}
+    assert got[1] == got[2] and got[1][0] == "de"
