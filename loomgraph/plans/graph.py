@@ -296,7 +296,7 @@ def recall_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     queries = e.where(F.col("vec_id") % 20 == 0).select("vec_id", "embedding").orderBy("vec_id").collect()
     requests = [RecallRequest(mode="dense").resolved().with_vector(tuple(q["embedding"])) for q in queries]
-    ids = F.array(*[F.lit(q["vec_id"]) for q in queries])
+    ids = F.array(*[F.lit(q["vec_id"]).cast("long") for q in queries])
     scores = R.dense_scores(e.select("vec_id", "embedding"), requests).select(F.col("vec_id"), F.posexplode("dense").alias("query_no", "cosine"))
     scores = scores.withColumn("cosine", F.round("cosine", 6))
     w = Window.partitionBy("query_no").orderBy(F.desc("cosine"), "vec_id")

@@ -89,7 +89,7 @@ parts AS (SELECT q.*, d.id, d.anchors, d.is_archived,
     CASE WHEN d.last_accessed_at < {_REF} THEN exp(-(epoch_us({_REF}) - epoch_us(d.last_accessed_at)) / 1e6 / 86400.0) ELSE 1.0 END AS recency_score,
     least(1.0, greatest(0.0, d.importance_score)) AS importance_score,
     CASE WHEN d.stability_score > 0 AND d.stability_score <> 1.0 THEN 0.8 + 0.2 * d.stability_score ELSE 1.0 END AS stable,
-    CASE WHEN list_has_any(d.anchors, q.tags) THEN 1.0 ELSE 0.0 END AS anchor_score
+    CASE WHEN list_has_any(d.anchors, q.tags) THEN 1.0::DOUBLE ELSE 0.0 END AS anchor_score
   FROM docs d, q LEFT JOIN vec ON q.query_no = vec.query_no LEFT JOIN top_score t ON q.query_no = t.query_no LEFT JOIN lex ON lex.query_no = q.query_no AND lex.id = d.id),
 simmed AS (SELECT *, alpha * dense_score + (1.0 - alpha) * bm25_score AS sim_score FROM parts WHERE NOT strict OR anchor_score > 0),
 based AS (SELECT *, (w_sim * sim_score + w_rec * recency_score + w_imp * importance_score + w_freq * frequency_score) * stable AS base_score FROM simmed),
@@ -152,7 +152,7 @@ s AS (SELECT id, CASE WHEN {t} IN ('system_config', 'architecture_rule', 'config
   WHEN regexp_matches({a}, 'jitter|transient|noise|ephemeral|speculative|debug log') OR regexp_matches({b}, 'transient|ephemeral|jitter') THEN 0.25
   WHEN {t} IN ('sensory_fact', 'telemetry', 'telemetry_chunk', 'telemetry_rule') OR regexp_matches({a}, 'telemetry|sensor') OR contains({b}, 'telemetry') THEN 0.45
   ELSE 0.50 END AS score, len(tags.anchors) > 0 AS anchored FROM cur LEFT JOIN tags ON cur.id = tags.node_id)
-SELECT id, round(CASE WHEN anchored THEN least(1.0, score + 0.15) ELSE score END, 6) AS importance FROM s"""
+SELECT id, round((CASE WHEN anchored THEN least(1.0, score + 0.15) ELSE score END)::DOUBLE, 6) AS importance FROM s"""
 
 
 _KEYWORDS = """list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Z0-9_\\-.:]{{3,}}'), lambda x: regexp_replace(lower(trim(x, '.,:;()[]"''{{}}<>/\\|`=-_')), '([_\\-][0-9]+)+$', '')),
@@ -230,13 +230,13 @@ ORACLE = {
     "consolidation_stats": f"WITH {CUR} SELECT (SELECT count(*) FROM cur WHERE NOT is_archived) AS active_nodes, (SELECT count(*) FROM cur WHERE is_archived) AS archived_nodes, round((SELECT avg(stability_score) FROM cur WHERE NOT is_archived), 9) AS avg_stability, (SELECT count(*) FROM edges) AS total_edges, round((SELECT avg(weight) FROM edges), 6) AS avg_weight, (SELECT count(*) FROM episodic_traces WHERE consolidated) AS consolidated_traces, (SELECT count(*) FROM episodic_traces WHERE NOT consolidated) AS pending_traces",
     "tokens": f"SELECT doc_id, unnest({toks('text')}) AS token FROM documents",
     "doc_freq": f"WITH {CUR}, {TAGS}, {INDEX} SELECT term, count(*) AS df FROM postings GROUP BY term",
-    "doc_length": f"WITH {CUR}, {TAGS}, {INDEX} SELECT count(*) AS n_docs, sum(doc_len) AS sum_len, round(avg(doc_len), 9) AS avg_len FROM docs",
+    "doc_length": f"WITH {CUR}, {TAGS}, {INDEX} SELECT count(*) AS n_docs, sum(doc_len::DOUBLE) AS sum_len, round(avg(doc_len), 9) AS avg_len FROM docs",
     "keyword_topn": f"""WITH d AS (SELECT doc_id, {keywords('text')} AS ks, {_LIMIT.format('text')} AS most FROM documents),
         t AS (SELECT doc_id, most, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS pos FROM d),
         c AS (SELECT doc_id, keyword, any_value(most) AS most, count(*) AS n, min(pos) AS first_pos FROM t GROUP BY 1, 2)
         SELECT doc_id, keyword, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) <= most""",
     "trace_line_class": _LINES + "SELECT doc_id, line_no, kind, label FROM lab",
-    "outcome_salience": f"SELECT outcome, round({_SALIENCE}, 3) AS salience, count(*) AS n_traces FROM episodic_traces GROUP BY 1, 2",
+    "outcome_salience": f"SELECT outcome, round(({_SALIENCE})::DOUBLE, 3) AS salience, count(*) AS n_traces FROM episodic_traces GROUP BY 1, 2",
     "content_ids": "SELECT DISTINCT session_id, substr('task-' || sha256(CASE WHEN trim(coalesce(task_goal, '')) = '' THEN 'Episodic Task Session ' || coalesce(session_id, '') ELSE trim(task_goal) END), 1, 16) AS goal_id FROM episodic_traces",
     "importance_score": importance_sql(),
     "lexical_score": lexical_sql(),
