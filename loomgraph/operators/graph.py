@@ -161,12 +161,16 @@ def boost_stability(nodes: DataFrame, boosts: DataFrame) -> DataFrame:
 
 
 def queue_traces(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Traces by id: goal, outcome and payload of the last row; session, creation time and state of the first."""
+    """Traces by id: goal, outcome and payload of the last row; session, creation time and state of the first.
+
+    Of rows of one time the consolidated ones count as first.
+    """
     outcome = F.when(F.coalesce("outcome", F.lit("")) == "", "neutral").otherwise(F.col("outcome"))
     both = stored.select("*", F.lit(0).alias("_new")).unionByName(incoming.withColumn("outcome", outcome).select("*", F.lit(1).alias("_new")))
     o = F.struct("_new", "created_at", "outcome", "task_goal")
+    first = F.struct("_new", "created_at", (~F.coalesce("consolidated", F.lit(False))).alias("open"), "consolidated_at", "session_id")
     return both.where(F.col("id").isNotNull()).groupBy("id").agg(
-        *[F.min_by(F.col(c), o).alias(c) for c in ("session_id", "consolidated", "created_at", "consolidated_at")], *[_last(c, o).alias(c) for c in ("task_goal", "outcome", "trace_payload")]
+        *[F.min_by(F.col(c), first).alias(c) for c in ("session_id", "consolidated", "created_at", "consolidated_at")], *[_last(c, o).alias(c) for c in ("task_goal", "outcome", "trace_payload")]
     ).select(stored.columns)
 
 

@@ -223,7 +223,7 @@ ORACLE = {
     "decay_scope_transient": scoped_sql("transient", 0.4, 3600.0 * 480, 86400.0 * 30),
     "decay_scope_session": scoped_sql("session", 0.8, 259200.0, 0.0),
     "pending_traces": "SELECT id, session_id, created_at FROM (SELECT DISTINCT id, session_id, created_at FROM episodic_traces WHERE NOT consolidated) ORDER BY created_at, id LIMIT 100",
-    "queue_traces": f"SELECT id, min(session_id) AS session_id, bool_or(consolidated) AS consolidated, min(created_at) AS created_at, arg_max(CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, (created_at >= {_CUT}, created_at, CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, task_goal)) AS outcome FROM episodic_traces WHERE id IS NOT NULL GROUP BY id",
+    "queue_traces": f"SELECT id, min(session_id) AS session_id, arg_min(consolidated, (created_at >= {_CUT}, created_at, NOT consolidated)) AS consolidated, min(created_at) AS created_at, arg_max(CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, (created_at >= {_CUT}, created_at, CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, task_goal)) AS outcome FROM episodic_traces WHERE id IS NOT NULL GROUP BY id",
     "mark_consolidated": f"SELECT id, count(*) AS n_rows, bool_and(consolidated OR created_at < {_CUT}) AS consolidated FROM episodic_traces GROUP BY id",
     "graph_summary": "WITH c AS (SELECT (SELECT count(DISTINCT id) FROM nodes) AS v, (SELECT count(*) FROM edges) AS e) SELECT v AS total_nodes, e AS total_edges, round(2.0 * e / v, 9) AS avg_degree, round(e / (v * (v - 1.0)), 12) AS density FROM c",
     "entity_histogram": f"WITH {CUR} SELECT entity_type, count(*) AS n_nodes FROM cur GROUP BY 1",
