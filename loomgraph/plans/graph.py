@@ -14,7 +14,7 @@ from loomgraph.operators import decay as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import recall as R
 from loomgraph.plans.graph_sql import CUTOFF, EXPANDING, LEXICAL_QUERY, MODES, N_VECTORS, OWN, REF, REQUESTS, WALKING
-from loomgraph.session import table
+from loomgraph.session import spread, table
 
 NOW = datetime.fromisoformat(REF).replace(tzinfo=timezone.utc)
 
@@ -154,7 +154,7 @@ def consolidation_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -178,7 +178,7 @@ def top_keywords(pools: DataFrame, key: list[str], text: str, most: Column) -> D
 
 
 def keyword_topn(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return top_keywords(docs, ["doc_id"], "text", T.keyword_limit(F.octet_length("text"))).select("doc_id", "keyword", "n")
 
 

@@ -88,3 +88,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(path)
     sc._loomgraph_shipped = True
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain table scan cut into at least as many partitions as there are cores, for work that costs far more than
+    moving its input. Tables of many splits, that is all large ones, are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
