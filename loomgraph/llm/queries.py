@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, leakage, mixing, near, ranking, vectors
 from loomgraph.llm.staging import stage
-from loomgraph.session import table
+from loomgraph.session import spread, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,46 +36,46 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return near.near_pairs(table(spark, d, "nodes"))
+    return near.near_pairs(spread(table(spark, d, "nodes").select("id", "label", "summary")))
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
-    return near.near_groups(table(spark, d, "nodes"), near.NearSpec(numerator=8))
+    return near.near_groups(spread(table(spark, d, "nodes").select("id", "label", "summary")), near.NearSpec(numerator=8))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps of at least twelve words with up to two substitutions in a row and four fifths of the words equal."""
-    found = leakage.overlaps(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leakage.overlaps(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
     return found.where((F.col("overlap_words") >= 12) & (F.col("equal_words") * 5 >= F.col("overlap_words") * 4))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    _, report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))
+    _, report = mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
     return report.where(~F.col("reachable")).select("source")
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.mislabelled(table(spark, d, "documents"))
+    return langid.mislabelled(spread(table(spark, d, "documents")))
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
-    return langid.document_languages(table(spark, d, "documents"))
+    return langid.document_languages(spread(table(spark, d, "documents")))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return langid.segments(table(spark, d, "documents"))
+    return langid.segments(spread(table(spark, d, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
