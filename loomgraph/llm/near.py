@@ -180,13 +180,8 @@ def near_classes(classes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         small, large = np.minimum(a[2], b[2]).astype(np.int64), np.maximum(a[2], b[2]).astype(np.int64)
         return (differing(a[0], b[0]) + differing(a[1], b[1]) <= 21) & (small * den >= large * num)
 
-    def keys_of(docs: DataFrame | None) -> DataFrame:
-        rows = classes.select(F.col("class").alias("doc"), "words")
-        if docs is not None:
-            rows = rows.join(docs, "doc", "left_semi")
-        return rows.mapInArrow(keys, "doc long, part int, key long, sig long, sig2 long, size int")
-
-    pairs = stage(candidate_pairs(keys_of, keep, spec.hot), "near-pairs")
+    index = classes.select(F.col("class").alias("doc"), "words").mapInArrow(keys, "doc long, part int, key long, sig long, sig2 long, size int")
+    pairs = stage(candidate_pairs(index, keep, spec.hot), "near-pairs")
     wa, wb = (classes.select(F.col("class").alias(c), F.col("words").alias(f"w{c}")) for c in ("a", "b"))
     both = pairs.join(wa, "a").join(wb, "b")
     common = F.size(F.array_intersect("wa", "wb")).cast("long")

@@ -42,6 +42,17 @@ def test_many_copies_answer_with_their_first_ids(spark):
     assert [r.other for r in places] == [f"c{i:03}" for i in range(11) if i != 5] and [r.place for r in places] == list(range(1, 11))
 
 
+@pytest.mark.parametrize("block", [16_384, 60])
+def test_crowded_buckets_of_vectors_lose_no_pairs(spark, monkeypatch, block):
+    """Where a bucket is crowded, one agreeing substring is still enough."""
+    monkeypatch.setattr(buckets, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(11)
+    vecs = rng.standard_normal(24) + 0.22 * rng.standard_normal((300, 24))
+    classes = vectors.vector_classes(spark.createDataFrame([node(f"n{i:03}", vec=[float(x) for x in v]) for i, v in enumerate(vecs)], NODES), "id", "embedding").cache()
+    whole, crowded = ({(r.class_a, r.class_b) for r in vectors.similar_classes(classes, vectors.IndexSpec(hot=hot, rounds=0)).collect()} for hot in (10**6, 3))
+    assert len(whole) > 500 and crowded == whole
+
+
 def test_no_vectors(spark):
     assert vectors.similar_pairs(spark.createDataFrame([], NODES)).count() == 0
     assert vectors.similar_pairs(spark.createDataFrame([node("a"), node("b", vec=[1.0])], NODES)).count() == 0
