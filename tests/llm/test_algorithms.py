@@ -96,6 +96,18 @@ def test_near_pairs_equal_brute_force(spark, hot):
     assert got == brute_pairs(rows)
 
 
+@pytest.mark.parametrize("block", [16_384, 60])
+def test_edited_copies_of_one_text_crowd_buckets_without_loss(spark, monkeypatch, block):
+    monkeypatch.setattr(buckets, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(12)
+    rows = [node(f"n{i:03}", " ".join(f"word{w}" for w in rng.choice(40, 35, replace=False))) for i in range(400)]
+    want = brute_pairs(rows)
+    assert len(want) > 70_000
+    whole, crowded = ({tuple(r) for r in near.near_pairs(spark.createDataFrame(rows, NODES), near.NearSpec(hot=hot)).collect()} for hot in (10**6, 3))
+    # The sketch may miss a pair at the threshold itself; crowding may not.
+    assert crowded == whole and whole <= want and len(whole) > 0.999 * len(want)
+
+
 def test_large_class_of_copies_is_linked_to_its_first_id(spark):
     rows = [node(f"k{i:02}", "many copies", "of one text here") for i in range(20)] + [node("z", "many copies", "of one text there")]
     got = {tuple(r) for r in near.near_pairs(spark.createDataFrame(rows, NODES), near.NearSpec(expand=4)).collect()}
