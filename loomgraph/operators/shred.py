@@ -140,6 +140,26 @@ def flat_table(rows: DataFrame, name: str, columns: dict[str, str]) -> DataFrame
     return rows.where(F.col("table_name") == name).select("doc_id", "row_id", "parent_table", "parent_row", "pos", *picked)
 
 
+def entry_table(rows: DataFrame, name: str) -> DataFrame:
+    """A table of free-form objects: a row for each entry (path ''), and one for each leaf inlined in it (its path, folded).
+
+    (doc_id, row_id, path) names a row; row_id is the entry's, so a leaf's parent is the row of path ''. What repeats
+    within an entry is in a table of its own (:func:`element_leaves`), whose parent_row is the entry's row_id.
+    """
+    own = F.struct(F.lit("").alias("path"), F.col("columns")["value"].alias("value"))
+    inlined = F.map_entries(F.map_filter("columns", lambda k, _: ~k.isin("key", "kind", "value")))
+    leaves = F.transform(inlined, lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    picked = rows.where(F.col("table_name") == name).withColumn("leaf", F.explode(F.concat(F.array(own), leaves)))
+    key, kind = F.col("columns")["key"].alias("payload_key"), F.col("columns")["kind"].alias("kind")
+    return picked.select("doc_id", "row_id", "parent_table", "parent_row", "pos", key, kind, F.col("leaf.path").alias("path"), F.col("leaf.value").alias("plain_value"))
+
+
+def element_leaves(rows: DataFrame, besides: frozenset[str]) -> DataFrame:
+    """All tables that the plan finds but ``besides`` and the root: a row for each leaf; path is null where a row has none."""
+    picked = rows.where((F.col("table_name") != "") & ~F.col("table_name").isin(*besides))
+    return picked.select("doc_id", "table_name", "row_id", "parent_table", "parent_row", "pos", F.explode_outer("columns").alias("path", "plain_value"))
+
+
 #: The lists' names in results.
 LIST_NAMES = {"trajectory": "trajectory", "sensorycontext": "sensory_context", "candidateactions": "candidate_actions"}
 

@@ -49,7 +49,12 @@ def p2_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_payload(spark: SparkSession, d: str) -> DataFrame:
-    return S.flat_table(_traces(spark, d), "payload", {"payload_key": "key", "kind": "kind", "plain_value": "value"})
+    return S.entry_table(_traces(spark, d), "payload")
+
+
+def p2_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of all repeated elements that have no query of their own, those within payloads among them."""
+    return S.element_leaves(_traces(spark, d), S.TRACE_SPEC.lists | S.TRACE_SPEC.entries)
 
 
 def p2_schema_graph(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +75,7 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return P.neighbours(table(spark, d, "edges")).withColumn("total_weight", F.round("total_weight", 6))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p2_found, p2_steps, p2_sensory, p2_actions, p2_payload, p2_schema_graph, p5_found, p5_source_stats, p5_neighbours)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p2_found, p2_steps, p2_sensory, p2_actions, p2_payload, p2_elements, p2_schema_graph, p5_found, p5_source_stats, p5_neighbours)}
 
 _ID = "lower(regexp_replace(coalesce({0}, ''), '^[\\s\\x1c-\\x1f\\x0b\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x0b\\x85\\p{{Z}}]+$', '', 'g'))"
 

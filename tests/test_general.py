@@ -11,6 +11,7 @@ from loomgraph.operators import references as R
 from loomgraph.operators import shred as S
 from loomgraph.operators import skew
 from loomgraph.operators import sources_profile as P
+from loomgraph.plans import general
 
 NODES = "id string, is_archived boolean, created_at timestamp, last_accessed_at timestamp, reason string, salt int"
 EDGES = "source_id string, target_id string, relation_type string, weight double, created_at timestamp, ref_key string, salt string"
@@ -105,6 +106,19 @@ def test_found_elements_equal_brute_force(spark, data):
     assert got == set().union(*(brute_elements(r.id, r.trace_payload) for r in real.collect()))
 
 
+def test_nested_payloads_keep_their_content(spark, tmp_path):
+    payload = {"a": 1, "retry": {"max": 2, "wait": {"s": 3}}, "tags": ["t4", "t5"], "steps": [{"n": 6, "in": {"m": 7}}, {"n": 8}], "none": None, "empty": {}}
+    docs = [("t1", json.dumps({"candidate_actions": [{"payload": payload}, {"payload": json.dumps({"key": {"value": 9}})}]}))]
+    spark.createDataFrame(docs, "id string, trace_payload string").write.parquet(f"{tmp_path}/episodic_traces.parquet")
+    rows = general.p2_payload(spark, str(tmp_path)).collect()
+    entries = {r.row_id for r in rows if r.path == ""}
+    assert sorted((r.payload_key, r.kind) for r in rows if r.path == "") == [("a", "number"), ("empty", "object"), ("key", "object"), ("none", "null"), ("retry", "object"), ("steps", "list"), ("tags", "list")]
+    assert {(r.payload_key, r.path, r.plain_value) for r in rows if r.plain_value is not None} == {("a", "", "1"), ("retry", "retry.max", "2"), ("retry", "retry.wait.s", "3"), ("key", "key.value", "9")}
+    repeated = general.p2_elements(spark, str(tmp_path)).collect()
+    assert {(r.table_name, r.pos, r.path, r.plain_value) for r in repeated} == {("tags", 0, "value", "t4"), ("tags", 1, "value", "t5"), ("steps", 0, "n", "6"), ("steps", 0, "in.m", "7"), ("steps", 1, "n", "8")}
+    assert all(r.row_id in entries for r in rows) and all(r.parent_table == "payload" and r.parent_row in entries for r in repeated)
+
+
 def test_shred_of_nothing(spark):
     df = spark.createDataFrame([], "id string, trace_payload string")
     assert S.shred(df, "id", "trace_payload", S.TRACE_SPEC).count() == 0
