@@ -51,6 +51,12 @@ def incident_edges(spark: SparkSession, d: str) -> DataFrame:
     return G.incident_edges(table(spark, d, "edges"), ids).select("source_id", "target_id", "relation_type", "weight")
 
 
+def incident_edges_scored(spark: SparkSession, d: str) -> DataFrame:
+    """As incident_edges, of all scored nodes."""
+    ids = table(spark, d, "scored_nodes").select(F.col("node_id").alias("id")).where(F.col("id").isNotNull()).distinct()
+    return G.incident_edges(table(spark, d, "edges"), ids).select("source_id", "target_id", "relation_type", "weight")
+
+
 def find_matching_node(spark: SparkSession, d: str) -> DataFrame:
     return G.best_match(_cur(spark, d), table(spark, d, "nodes").select(F.trim("label").alias("label"), "entity_type").distinct())
 
@@ -308,7 +314,7 @@ def secret_mask(spark: SparkSession, d: str) -> DataFrame:
     return _cur(spark, d).select("id", F.when(hidden, F.lit(R.MASK)).otherwise(F.col("summary")).alias("summary"))
 
 
-_PLAIN = (active_headers, multi_get, incident_edges, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_relation_filter, expand_edges_gated, subgraph_edges, recall_dense_topk, secret_mask)
+_PLAIN = (active_headers, multi_get, incident_edges, incident_edges_scored, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_relation_filter, expand_edges_gated, subgraph_edges, recall_dense_topk, secret_mask)
 QUERIES = {f.__name__: f for f in _PLAIN} | {name: _mode(requests) for name, requests in MODES.items()} | {
     "decay_scope_all": _scoped(ScopedDecay("all")),
     "decay_scope_unanchored": _scoped(ScopedDecay("unanchored", half_life=timedelta(hours=240), grace=timedelta(days=60), threshold=0.5)),

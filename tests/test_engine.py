@@ -347,6 +347,15 @@ def test_queries_and_sql_agree_on_names(data):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_incident_edges_of_all_scored_nodes(spark, data):
+    import __spark_entry__ as e
+
+    ids = {r.node_id for r in spark.read.parquet(f"{data}/scored_nodes.parquet").collect()} - {None}
+    edges = spark.read.parquet(f"{data}/edges.parquet").select("source_id", "target_id", "relation_type", "weight").collect()
+    want = sorted(str(r) for r in edges if r.source_id in ids or r.target_id in ids)
+    assert len(ids) > 50 and sorted(str(r) for r in e.queries()["incident_edges_scored"](spark, data).collect()) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
