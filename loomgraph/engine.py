@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ class Engine:
         self.store, self.embedder, self.key = store, embedder, key
         self.recall_cfg, self.decay_cfg, self.fusion_cfg = recall_cfg, decay_cfg, fusion_cfg
         self.cycle = Cycle(store, decay_cfg, fusion_cfg)
-        self.listeners: list[Callable[[DataFrame], None]] = []
+        self.listeners = self.cycle.listeners
 
     def insert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, now: datetime | None = None) -> dict[str, int]:
         """Nodes (with vectors filled in from their texts), edges and anchors into the graph; counts of rows taken."""
@@ -54,34 +55,53 @@ class Engine:
             counts["anchors"] = rows.count()
         return counts
 
-    def recall(self, requests: list[RecallRequest], now: datetime, record: bool = False) -> DataFrame:
-        """Ranked nodes of each request; a request with a text and no vector gets the embedder's. ``record`` counts the access."""
+    def _index(self) -> DataFrame | None:
+        """The index of the current nodes and anchors, kept as a snapshot of its own and made again when they change."""
+        tables = self.store.manifest()["tables"]
+        of = f"{tables.get('nodes', 0)}-{tables.get('node_anchors', 0)}"
+        if self.store.manifest()["notes"].get("index_of") != of:
+            self.store.commit({"index": R.build_index(self.store.read("nodes"), self.store.read("node_anchors"), unique=True).select(R.INDEX_COLUMNS)}, {"index_of": of})
+        return self.store.read("index")
+
+    def recall_graph(self, requests: list[RecallRequest], now: datetime, record: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(ranked nodes, edges) of each request; a request with a text and no vector gets the embedder's. Only a
+        request that includes secrets gets them in the clear. ``record`` counts the access."""
         vectors = self.embedder().embed_batch([r.resolved(self.recall_cfg).text for r in requests])
-        full = [r if r.embedding or not v.any() else RecallRequest(**{**r.__dict__, "embedding": tuple(map(float, v))}) for r, v in zip(requests, vectors)]
+        full = [r if r.embedding or not v.any() else replace(r, embedding=tuple(map(float, v))) for r, v in zip(requests, vectors)]
         nodes = self.store.read("nodes")
-        out = R.recall(nodes, self.store.read("edges"), self.store.read("node_anchors"), full, now, self.recall_cfg)
-        if self.key and any(r.include_secrets for r in requests) and "summary" in out.columns:
-            out = out.withColumn("summary", secure.decrypt(F.col("summary"), self.key))
+        index = self._index()
+        out, edges = R.recall_graph(nodes, self.store.read("edges"), self.store.read("node_anchors"), full, now, self.recall_cfg, self.key, index)
         if record:
             out = cut(out)
             self.store.write("nodes", G.record_access(nodes, out.select("id"), F.lit(now).cast("timestamp")))
-        return out
+        return out, edges
+
+    def recall(self, requests: list[RecallRequest], now: datetime, record: bool = False) -> DataFrame:
+        """The ranked nodes of :meth:`recall_graph`."""
+        return self.recall_graph(requests, now, record)[0]
 
     def ingest(self, traces: DataFrame, now: datetime, synchronous: bool = True) -> dict[str, int]:
-        """Traces into the queue and, if synchronous, into the graph at their own times."""
-        rows = cut(canonical(traces, "episodic_traces").withColumn("created_at", F.coalesce("created_at", F.lit(now).cast("timestamp"))))
-        self.cycle.enqueue(rows)
+        """Traces into the queue and, if synchronous, into the graph at their own times: one commit for all of it.
+
+        Columns ``active_goal`` and ``status`` stand in for an empty ``task_goal`` and ``outcome``.
+        """
+        for column, other in (("task_goal", "active_goal"), ("outcome", "status")):
+            if other in traces.columns:
+                base = F.col(column) if column in traces.columns else F.lit(None).cast("string")
+                traces = traces.withColumn(column, F.coalesce(F.nullif(base, F.lit("")), F.col(other)))
+        rows = canonical(traces, "episodic_traces").withColumn("created_at", F.coalesce("created_at", F.lit(now).cast("timestamp")))
+        queued = cut(G.queue_traces(self.store.read("episodic_traces").limit(0), rows), "arrived")
+        tables = {"episodic_traces": G.queue_traces(self.store.read("episodic_traces"), queued)}
         if not synchronous:
-            return {"queued": rows.count()}
-        fused = fuse(self.store.read("nodes"), self.store.read("edges"), extract(rows), self.fusion_cfg)
-        created, updated = cut(fused.created), cut(fused.updated)
-        nodes, edges = cut(fused.nodes), cut(fused.edges)
-        self.store.write("nodes", nodes)
-        self.store.write("edges", edges)
-        self.store.write("episodic_traces", G.mark_consolidated(self.store.read("episodic_traces"), rows, F.lit(now).cast("timestamp")))
+            self.store.commit(tables)
+            return {"queued": queued.count()}
+        fused = fuse(self.store.read("nodes"), self.store.read("edges"), extract(queued), self.fusion_cfg)
+        created, updated, nodes = cut(fused.created), cut(fused.updated), cut(fused.nodes, "nodes")
+        tables["episodic_traces"] = G.mark_consolidated(tables["episodic_traces"], queued, F.lit(now).cast("timestamp"))
+        self.store.commit({**tables, "nodes": nodes, "edges": fused.edges, "node_anchors": G.attach_anchors(self.store.read("node_anchors"), fused.anchors, nodes)})
         for call in self.listeners:
             call(created.unionByName(updated).distinct())
-        return {"queued": rows.count(), "created": created.count(), "updated": updated.count()}
+        return {"queued": queued.count(), "created": created.count(), "updated": updated.count()}
 
     def run_cycle(self, now: datetime) -> dict[str, int]:
         return self.cycle.run(now)
@@ -95,8 +115,7 @@ class Engine:
         edges = self.store.read("edges")
         kept = cut(D.prune_edges(edges, marked.where("action = 'archived'").select("id"), D.SCOPED_EDGE_THRESHOLD))
         counts["edges_pruned"] = edges.count() - kept.count()
-        self.store.write("nodes", D.apply_scoped(marked, at))
-        self.store.write("edges", kept)
+        self.store.commit({"nodes": D.apply_scoped(marked, at), "edges": kept})
         return counts
 
     def graph_summary(self) -> DataFrame:

@@ -6,6 +6,8 @@ seeds the direction it adds. Features of a whole batch are made distinct first,
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Sequence
 from typing import Iterator, Protocol
 
@@ -21,11 +23,11 @@ FNV_OFFSET, FNV_PRIME, ZERO_SEED, MULTIPLIER = 0xCBF29CE484222325, 0x100000001B3
 SUFFIXES = ("ations", "ation", "tions", "tion", "ings", "ing", "ments", "ment", "ness", "sses", "ies", "ed", "es", "s")
 CONCEPT_WEIGHT, STEM_WEIGHT, WORD_WEIGHT, GRAM_WEIGHT, PAIR_WEIGHT, RAW_WEIGHT = 8.0, 1.2, 0.7, 0.25, 0.5, 1.0
 SYNONYMS = {
-    "concept:consensus_coordination": "cluster coordination|cluster coordinate|coordination|consensus heartbeat|heartbeat timeout|consensus timeout|raft consensus|cluster heartbeat|leader election|heartbeat interval|election timeout|coordination interval",
-    "concept:time_interval": "interval|timeout|period|duration|heartbeat period",
-    "concept:episodic_memory": "episodic trace|episodic memory|memory trace|memory traces|deliberation trace|cognitive recollection|retrieval trace",
-    "concept:network_proxy": "reverse proxy|nginx|worker_connections|ingress gateway|socket buffer|listen port|proxy buffer",
-    "concept:telemetry_sensor": "thermal sensor|temperature alarm|cryogenic refrigerator|sensor telemetry|optical sensor|thermal threshold",
+    "concept:consensus_coordination": ("cluster coordination", "cluster coordinate", "coordination", "consensus heartbeat", "heartbeat timeout", "consensus timeout", "raft consensus", "cluster heartbeat", "leader election", "heartbeat interval", "election timeout", "coordination interval"),
+    "concept:time_interval": ("interval", "timeout", "period", "duration", "heartbeat period"),
+    "concept:episodic_memory": ("episodic trace", "episodic memory", "memory trace", "memory traces", "deliberation trace", "cognitive recollection", "retrieval trace"),
+    "concept:network_proxy": ("reverse proxy", "nginx", "worker_connections", "ingress gateway", "socket buffer", "listen port", "proxy buffer"),
+    "concept:telemetry_sensor": ("thermal sensor", "temperature alarm", "cryogenic refrigerator", "sensor telemetry", "optical sensor", "thermal threshold"),
 }
 
 
@@ -68,9 +70,9 @@ def directions(features: Sequence[str], dim: int) -> np.ndarray:
 class HashEmbedder:
     """The built-in embedder. ``lower``: texts are trimmed and lower-cased first, so that synonyms match any case."""
 
-    def __init__(self, dim: int = 384, lower: bool = True, synonyms: dict[str, str] | None = None, fixed: dict[str, Sequence[float]] | None = None) -> None:
+    def __init__(self, dim: int = 384, lower: bool = True, synonyms: dict[str, Sequence[str]] | None = None, fixed: dict[str, Sequence[float]] | None = None) -> None:
         self.dim, self.lower = dim, lower
-        self.phrases = {p.strip().lower(): c for c, ps in {**SYNONYMS, **(synonyms or {})}.items() for p in ps.split("|") if p.strip()}
+        self.phrases = {p.strip().lower(): c for c, ps in {**SYNONYMS, **(synonyms or {})}.items() for p in ps if p.strip()}
         self.fixed = {k.strip().lower(): np.array(v, np.float32) for k, v in (fixed or {}).items()}
 
     def features(self, text: str) -> dict[str, float]:
@@ -100,20 +102,53 @@ class HashEmbedder:
         per = [self.features(t) for t in clean]
         names = list(dict.fromkeys(f for p in per for f in p))
         at = {f: i for i, f in enumerate(names)}
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         if names:
-            d = directions(names, self.dim)
+            d = directions(names, self.dim).astype(np.float64)
             for i, p in enumerate(per):
                 if p:
-                    out[i] = np.fromiter(p.values(), np.float32, len(p)) @ d[[at[f] for f in p]]
+                    out[i] = np.fromiter(p.values(), np.float64, len(p)) @ d[[at[f] for f in p]]
             n = np.linalg.norm(out, axis=1, keepdims=True)
-            out = out / np.where(n > 0, n, 1).astype(np.float32)
+            out = out / np.where(n > 0, n, 1)
+        out = out.astype(np.float32)
         for i, t in enumerate(clean):
             if t in self.fixed:
                 out[i] = self.fixed[t]
         return out
 
 
+def _post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> tuple[int, bytes]:
+    request = urllib.request.Request(url, data=body, headers=headers, method="POST")
+    with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
+        return answer.status, answer.read()
+
+
+class HttpEmbedder:
+    """A service with the public embeddings protocol: one POST for each ``batch`` texts, answers put in order by index.
+
+    ``post`` sends a request (url, body, headers, timeout) and gives (status, body); tests and other transports set it.
+    Any answer that isn't one vector for each text is an error; wrap in :class:`WithFallback` to go on without.
+    """
+
+    def __init__(self, endpoint: str, model: str = "", api_key: str = "", timeout: float = 10.0, batch: int = 64, post: Callable[[str, bytes, dict[str, str], float], tuple[int, bytes]] = _post) -> None:
+        self.endpoint, self.model, self.api_key, self.timeout, self.batch, self.post = endpoint, model, api_key, timeout, batch, post
+
+    def embed_batch(self, texts: Sequence[str]) -> np.ndarray:
+        headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})}
+        out: list[list[float]] = []
+        for lo in range(0, len(texts), self.batch):
+            part = [t or "" for t in texts[lo : lo + self.batch]]
+            status, body = self.post(self.endpoint, json.dumps({"input": part, **({"model": self.model} if self.model else {})}).encode(), headers, self.timeout)
+            answer = json.loads(body)
+            if status != 200 or answer.get("error"):
+                raise RuntimeError(f"embedding service: {status} {answer.get('error')}")
+            by_index = {int(x["index"]): x["embedding"] for x in answer.get("data", [])}
+            if sorted(by_index) != list(range(len(part))):
+                raise RuntimeError("embedding service: not one vector for each text")
+            out += [by_index[i] for i in range(len(part))]
+        return np.array(out, np.float32)
+
+
 class WithFallback:
     """A remote embedder with a local one for when it fails; failures never fail the job."""
 

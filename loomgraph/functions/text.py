@@ -28,15 +28,11 @@ TELEMETRY = "temp|fan|pwm|rpm|packet|parquet|crc|telemetry|="
 PROCEDURE = "start|init|connect|complete|schema|finish"
 
 
-def words_of(stop: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in stop])
-
-
 def tokens(text: Column) -> Column:
     """Distinct index tokens in the order of their first occurrence; an empty array for null."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(INDEX_TOKEN), F.lit(0))
     clean = F.transform(found, lambda x: F.lower(F.btrim(x, F.lit(INDEX_TRIM))))
-    return F.array_distinct(F.filter(clean, lambda x: (F.length(x) >= 2) & ~F.array_contains(words_of(INDEX_STOP_WORDS), x)))
+    return F.array_distinct(F.filter(clean, lambda x: (F.length(x) >= 2) & ~x.isin(INDEX_STOP_WORDS)))
 
 
 def is_noise(token: Column) -> Column:
@@ -48,7 +44,7 @@ def keyword_tokens(text: Column) -> Column:
     """All keyword tokens with repetitions, in order: cleaned, instance numbers folded, stop words and values left out."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(KEYWORD_TOKEN), F.lit(0))
     clean = F.transform(found, lambda x: F.regexp_replace(F.lower(F.btrim(x, F.lit(KEYWORD_TRIM))), INSTANCE_SUFFIX, ""))
-    return F.filter(clean, lambda x: (F.length(x) >= 3) & ~F.array_contains(words_of(KEYWORD_STOP_WORDS), x) & ~is_noise(x))
+    return F.filter(clean, lambda x: (F.length(x) >= 3) & ~x.isin(KEYWORD_STOP_WORDS) & ~is_noise(x))
 
 
 def keyword_limit(n_bytes: Column) -> Column:

@@ -28,7 +28,7 @@ MIN_SALIENCE, CHUNK_BYTES, INCIDENT_KEYWORDS = 0.3, 60, 6
 class Extraction:
     entities: DataFrame  # trace_id, at, section, o1, o2, id, entity_type, label, summary, salience, importance, is_secret
     relations: DataFrame  # trace_id, at, source_id, target_id, relation_type, weight
-
+    anchors: DataFrame  # trace_id, anchor_tag: the traces' own normalised tags
 
 
 def _first_field(name: str) -> Column:
@@ -49,7 +49,8 @@ def trace_tables(traces: DataFrame) -> dict[str, DataFrame]:
     logs = F.coalesce(*[_first_field(n) for n in ("executiontrace", "trace", "rawtrace", "logs", "tracepayload")])
     secret = F.coalesce(F.exists(F.map_values(F.map_filter("columns", lambda k, v: k.rlike(r"(^|\.)issecret$") & v.isNotNull())), lambda v: F.lower(v) == "true"), F.lit(False))
     head = root.groupBy(F.col("doc_id").alias("id")).agg(F.max(logs).alias("log_text"), F.max(secret).alias("is_secret"))
-    tagged = rows.where(F.col("table_name") == "anchors").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.coalesce(T.normal_anchor(F.col("columns")["value"]) != "", F.lit(False))).alias("anchored"))
+    tags = rows.where((F.col("table_name") == "anchors") & (F.col("guards") == 0)).select(F.col("doc_id").alias("trace_id"), T.normal_anchor(F.col("columns")["value"]).alias("anchor_tag")).where(F.col("anchor_tag") != "").distinct()
+    tagged = tags.select(F.col("trace_id").alias("id"), F.lit(True).alias("anchored")).distinct()
     goal = F.trim(F.coalesce("task_goal", F.lit("")))
     goal = F.when(goal == "", F.concat(F.lit("Episodic Task Session "), F.coalesce("session_id", F.lit("")))).otherwise(goal)
     trace = one.join(head, "id", "left").join(tagged, "id", "left").select(
@@ -69,7 +70,7 @@ def trace_tables(traces: DataFrame) -> dict[str, DataFrame]:
     steps = child("trajectory", {"step_index": "stepindex", "thought": "thought", "action": "action", "observation": "observation", "secret": "issecret"})
     chunks = child("sensorycontext", {"text": "text", "salience": "salience", "secret": "issecret"})
     actions = child("candidateactions", {"aid": "id", "type": "type", "committed": "committed", "secret": "issecret"}).join(payload, ["trace_id", "row_id"], "left")
-    return {"trace": trace, "steps": steps, "chunks": chunks, "actions": actions}
+    return {"trace": trace, "steps": steps, "chunks": chunks, "actions": actions, "anchors": tags}
 
 
 def pool_keywords(pools: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def extract(traces: DataFrame) -> Extraction:
         relation(words, "owner", "id", F.col("relation"), F.col("weight")),
     ):
         relations = relations.unionByName(r)
-    return Extraction(entities, relations)
+    return Extraction(entities, relations, t["anchors"])
 
 
 def session_scope(traces: DataFrame, session_id: str) -> DataFrame:

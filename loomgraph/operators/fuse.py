@@ -24,6 +24,7 @@ class Fused:
     nodes: DataFrame
     edges: DataFrame
     canonical: DataFrame  # trace_id, id, canonical_id
+    anchors: DataFrame  # node_id, anchor_tag, created_at: each trace's tags on all nodes that it names
     created: DataFrame  # id of new nodes
     updated: DataFrame  # id of boosted stored nodes
 
@@ -37,7 +38,8 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
 
     A stored match is boosted once by every trace that names it; a new node starts from its first occurrence, gains
     from repetitions within that trace (which may raise its importance) and once from every later trace. Importance
-    of stored nodes stays. Relations reinforce edges between canonical ids; self-loops are left out.
+    of stored nodes stays. Relations reinforce edges between canonical ids; self-loops are left out. Every node that
+    an anchored trace names gets the trace's anchors.
     """
     keys = ["k_label", "k_type"]
     e = _key(found.entities)
@@ -84,4 +86,5 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
         names = canonical.select("trace_id", F.col("id").alias(side), F.col("canonical_id").alias(f"c_{side}"))
         r = r.join(names, ["trace_id", side], "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
     deltas = r.where(F.col("source_id") != F.col("target_id")).select(*EDGE_KEY, (cfg.rate * F.col("weight") * F.col("trace_salience")).alias("delta"), "at")
-    return Fused(all_nodes, reinforce_edges(edges, deltas, cfg.max_weight), canonical, one.select("id"), stored.select(F.col("match_id").alias("id")).distinct())
+    tagged = found.anchors.join(canonical.select("trace_id", F.col("canonical_id").alias("node_id")).distinct(), "trace_id").join(found.entities.where(F.col("section") == 0).select("trace_id", F.col("at").alias("created_at")), "trace_id")
+    return Fused(all_nodes, reinforce_edges(edges, deltas, cfg.max_weight), canonical, tagged.groupBy("node_id", "anchor_tag").agg(F.min("created_at").alias("created_at")), one.select("id"), stored.select(F.col("match_id").alias("id")).distinct())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import normal_anchor
+from loomgraph.functions.text import content_id, normal_anchor
 
 NODE_COLUMNS = ["id", "entity_type", "label", "summary", "embedding", "created_at", "last_accessed_at", "last_reinforced_at", "archived_at", "access_count", "stability_score", "importance_score", "is_archived", "is_secret"]
 
@@ -43,14 +43,40 @@ def nodes_for_anchors(anchors: DataFrame, tags: list[str]) -> DataFrame:
     return anchors.where(normal_anchor(F.col("anchor_tag")).isin(wanted)).select("node_id").distinct()
 
 
-def active_headers(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Slim rows of the active nodes for indexing, with anchors and the vector's length."""
-    slim = current_nodes(nodes.select("id", "entity_type", "label", "summary", "embedding", "last_accessed_at", "access_count", "stability_score", "importance_score", "is_archived", "is_secret"))
+def active_headers(nodes: DataFrame, anchors: DataFrame, unique: bool = False) -> DataFrame:
+    """Slim rows of the active nodes for indexing, with anchors and the vector's length.
+
+    ``unique``: there is one row for each id already."""
+    slim = nodes.select("id", "entity_type", "label", "summary", "embedding", "last_accessed_at", "access_count", "stability_score", "importance_score", "is_archived", "is_secret")
+    slim = slim if unique else current_nodes(slim)
     norm = F.sqrt(F.aggregate(F.coalesce("embedding", F.array().cast("array<float>")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     joined = slim.where(~F.col("is_archived")).join(anchors_by_node(anchors).withColumnRenamed("node_id", "id"), "id", "left")
     return joined.withColumn("magnitude", norm).withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>"))).drop("is_archived")
 
 
+def active_nodes(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All columns of the active nodes, with their anchors."""
+    return with_anchors(current_nodes(nodes).where(~F.coalesce("is_archived", F.lit(False))), anchors)
+
+
+def with_anchors(nodes: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``nodes`` with ``anchors``: normalised tags in ascending order, empty without any."""
+    joined = nodes.join(anchors_by_node(anchors).withColumnRenamed("node_id", "id"), "id", "left")
+    return joined.withColumn("anchors", F.coalesce("anchors", F.array().cast("array<string>")))
+
+
+def get_nodes(nodes: DataFrame, anchors: DataFrame, ids: DataFrame) -> DataFrame:
+    """The current rows, archived ones too, of the ids (id), with anchors; unknown ids give no rows."""
+    wanted = ids.select("id").distinct()
+    mine = anchors.join(wanted.withColumnRenamed("id", "node_id"), "node_id", "left_semi")
+    return with_anchors(current_nodes(nodes.join(wanted, "id", "left_semi")), mine)
+
+
+def get_node(nodes: DataFrame, anchors: DataFrame, node_id: str) -> DataFrame:
+    """The current row of one id, or no row: filters that reach the scans, and no join of whole tables."""
+    return with_anchors(current_nodes(nodes.where(F.col("id") == node_id)), anchors.where(F.col("node_id") == node_id))
+
+
 def incident_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with an endpoint among ``ids`` (id), each row once: two equi-joins, not one on a disjunction."""
     marked = edges.join(ids.select(F.col("id").alias("source_id"), F.lit(True).alias("_s")).distinct(), "source_id", "left").join(
@@ -163,8 +189,11 @@ def boost_stability(nodes: DataFrame, boosts: DataFrame) -> DataFrame:
 def queue_traces(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Traces by id: goal, outcome and payload of the last row; session, creation time and state of the first.
 
-    Of rows of one time the consolidated ones count as first.
+    Of rows of one time the consolidated ones count as first. An incoming trace without an id gets one from its
+    content, so a trace that is sent again is the same one; stored rows without an id are left out.
     """
+    seed = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("session_id", "task_goal", "trace_payload", "created_at")])
+    incoming = incoming.withColumn("id", F.when(F.trim(F.coalesce("id", F.lit(""))) == "", content_id("trace", seed)).otherwise(F.col("id")))
     outcome = F.when(F.coalesce("outcome", F.lit("")) == "", "neutral").otherwise(F.col("outcome"))
     both = stored.select("*", F.lit(0).alias("_new")).unionByName(incoming.withColumn("outcome", outcome).select("*", F.lit(1).alias("_new")))
     o = F.struct("_new", "created_at", "outcome", "task_goal")
@@ -174,9 +203,14 @@ def queue_traces(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     ).select(stored.columns)
 
 
+def open_traces(traces: DataFrame) -> DataFrame:
+    """All traces not yet consolidated, in no order."""
+    return traces.where(~F.coalesce("consolidated", F.lit(False)))
+
+
 def pending_traces(traces: DataFrame, limit: int = 100) -> DataFrame:
     """The oldest traces not yet consolidated, first come first served; a limit of 0 or less means 100."""
-    return traces.where(~F.coalesce("consolidated", F.lit(False))).orderBy("created_at", "id").limit(limit if limit > 0 else 100)
+    return open_traces(traces).orderBy("created_at", "id").limit(limit if limit > 0 else 100)
 
 
 def mark_consolidated(traces: DataFrame, done: DataFrame, at: Column) -> DataFrame:

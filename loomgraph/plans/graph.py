@@ -8,12 +8,13 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.config import RecallRequest, ResolvedRequest, ScopedDecay
+from loomgraph.config import RecallConfig, RecallRequest, ResolvedRequest, ScopedDecay
+from loomgraph.functions import secure
 from loomgraph.functions import text as T
 from loomgraph.operators import decay as D
 from loomgraph.operators import graph as G
 from loomgraph.operators import recall as R
-from loomgraph.plans.graph_sql import CUTOFF, EXPANDING, LEXICAL_QUERY, MODES, N_VECTORS, OWN, REF, REQUESTS, WALKING
+from loomgraph.plans.graph_sql import CUTOFF, EXPANDING, LEXICAL_QUERY, MIXED, MODES, N_VECTORS, OWN, REF, REQUESTS, WALKING
 from loomgraph.session import spread, table
 
 NOW = datetime.fromisoformat(REF).replace(tzinfo=timezone.utc)
@@ -41,19 +42,23 @@ def active_headers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_get(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "scored_nodes").select(F.col("node_id").alias("id")).distinct()
-    found = G.current_nodes(table(spark, d, "nodes").join(ids, "id", "left_semi")).join(G.anchors_by_node(table(spark, d, "node_anchors")).withColumnRenamed("node_id", "id"), "id", "left")
+    ids = table(spark, d, "scored_nodes").select(F.col("node_id").alias("id"))
+    found = G.get_nodes(table(spark, d, "nodes"), table(spark, d, "node_anchors"), ids)
     return found.select("id", "entity_type", "label", "is_archived", _joined("anchors").alias("anchors"))
 
 
 def incident_edges(spark: SparkSession, d: str) -> DataFrame:
-    ids = table(spark, d, "nodes").select("id").where(F.col("id").isNotNull()).distinct().orderBy("id").limit(50)
-    return G.incident_edges(table(spark, d, "edges"), ids).select("source_id", "target_id", "relation_type", "weight")
+    """The edges at any anchored node."""
+    return _edges_at(spark, d, "node_anchors")
 
 
 def incident_edges_scored(spark: SparkSession, d: str) -> DataFrame:
-    """As incident_edges, of all scored nodes."""
-    ids = table(spark, d, "scored_nodes").select(F.col("node_id").alias("id")).where(F.col("id").isNotNull()).distinct()
+    """The edges at any scored node."""
+    return _edges_at(spark, d, "scored_nodes")
+
+
+def _edges_at(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ids = table(spark, d, name).select(F.col("node_id").alias("id")).where(F.col("id").isNotNull()).distinct()
     return G.incident_edges(table(spark, d, "edges"), ids).select("source_id", "target_id", "relation_type", "weight")
 
 
@@ -226,19 +231,20 @@ def lexical_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def freq_score(spark: SparkSession, d: str) -> DataFrame:
-    f = F.when(F.col("access_count") > 0, F.least(F.lit(1.0), F.log1p("access_count") / F.log(F.lit(101.0)))).otherwise(0.0)
-    return _cur(spark, d).select("id", F.round(f, 9).alias("frequency"))
+    """The operator's own score of one request, for every active node."""
+    return R.scored(_index(spark, d), [RecallRequest(query="").resolved()], NOW).select("id", F.round("frequency_score", 9).alias("frequency"))
 
 
 def recency_score(spark: SparkSession, d: str) -> DataFrame:
-    idle = (F.unix_micros(now()) - F.unix_micros("last_accessed_at")) / 1e6
-    r = F.when(idle > 0, F.exp(-idle / timedelta(days=30).total_seconds())).otherwise(1.0)
-    return _cur(spark, d).select("id", F.round(r, 9).alias("recency"))
+    cfg = replace(RecallConfig(), tau=timedelta(days=30))
+    return R.scored(_index(spark, d), [RecallRequest(query="").resolved()], NOW, cfg).select("id", F.round("recency_score", 9).alias("recency"))
 
 
 def with_vectors(spark: SparkSession, d: str, requests: list[RecallRequest]) -> list[ResolvedRequest]:
     """Request i gets the vector of the i-th lowest node id that has 64 dimensions; a handful of rows to the driver."""
-    rows = _cur(spark, d).where((F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0)).select("id", "embedding").orderBy("id").limit(N_VECTORS).collect()
+    nodes = table(spark, d, "nodes").where(F.col("id").isNotNull() & (F.size("embedding") == 64) & F.exists("embedding", lambda x: x != 0)).select("id", "embedding")
+    first = [r["id"] for r in nodes.select("id").distinct().orderBy("id").limit(N_VECTORS).collect()]
+    rows = nodes.where(F.col("id").isin(first)).dropDuplicates(["id"]).orderBy("id").collect()  # the rows of an id agree in their vectors
     named = [replace(r, entity_id=x["id"]) if r.entity_id == OWN else r for r, x in zip(requests, rows)]
     return [r.resolved().with_vector(tuple(x["embedding"])) for r, x in zip(named, rows)] if len(rows) >= len(requests) else [r.resolved() for r in requests]
 
@@ -251,7 +257,7 @@ def _rounded() -> list[Column]:
 
 
 def _ranked(scores: DataFrame, k: int, *extra: str) -> DataFrame:
-    return R.best(scores.withColumn("_by", F.round("total_score", 9)), k, "_by").select("query_no", "id", F.col("place").cast("long"), *_rounded(), *extra)
+    return R.best(scores, k).select("query_no", "id", F.col("place").cast("long"), *_rounded(), *extra)
 
 
 def recall_full_score(spark: SparkSession, d: str) -> DataFrame:
@@ -293,8 +299,26 @@ def expand_edges_gated(spark: SparkSession, d: str) -> DataFrame:
 
 def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
     grown, used = _expanded(spark, d)
-    top = R.best(grown.withColumn("_by", F.round("total_score", 9)), 10, "_by")
-    return R.subgraph_edges(used, top).select("source_id", "target_id", "relation_type")
+    return R.subgraph_edges(used, R.best(grown, 10)).select("query_no", "source_id", "target_id", "relation_type")
+
+
+def recall_mixed_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of different gates, limits, fields and permissions in one batch, as each may see its nodes."""
+    nodes, edges, anchors = (table(spark, d, t) for t in ("nodes", "edges", "node_anchors"))
+    top = R.recall(nodes, edges, anchors, _mixed(spark, d), NOW)
+    return top.select("query_no", "id", F.col("place").cast("long"), "hop_distance", "total_score", "summary", "label", F.col("embedding").isNotNull().alias("has_vector"), F.col("anchors").isNotNull().alias("has_anchors"), "last_accessed_at")
+
+
+def _mixed(spark: SparkSession, d: str) -> list[RecallRequest]:
+    resolved = with_vectors(spark, d, MIXED)
+    return [replace(r, embedding=x.embedding) for r, x in zip(MIXED, resolved)]
+
+
+def recall_mixed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the same batch: each request's own gate, and only where its returned nodes are touched."""
+    nodes, edges, anchors = (table(spark, d, t) for t in ("nodes", "edges", "node_anchors"))
+    used = R.recall_graph(nodes, edges, anchors, _mixed(spark, d), NOW)[1]
+    return used.select("query_no", "source_id", "target_id", "relation_type")
 
 
 def recall_dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -310,11 +334,10 @@ def recall_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secret_mask(spark: SparkSession, d: str) -> DataFrame:
-    hidden = F.col("is_secret") | F.coalesce(F.col("summary").startswith("enc:v1:"), F.lit(False))
-    return _cur(spark, d).select("id", F.when(hidden, F.lit(R.MASK)).otherwise(F.col("summary")).alias("summary"))
+    return _cur(spark, d).select("id", secure.mask(F.col("summary"), F.col("is_secret")).alias("summary"))
 
 
-_PLAIN = (active_headers, multi_get, incident_edges, incident_edges_scored, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_relation_filter, expand_edges_gated, subgraph_edges, recall_dense_topk, secret_mask)
+_PLAIN = (active_headers, multi_get, incident_edges, incident_edges_scored, find_matching_node, anchors_by_node, nodes_by_anchor, anchor_normalize, upsert_nodes, upsert_edges, attach_anchors, record_access, reinforce_edges, boost_stability, decay_periodic, prune_edges, pending_traces, queue_traces, mark_consolidated, graph_summary, entity_histogram, consolidation_stats, tokens, doc_freq, doc_length, keyword_topn, trace_line_class, outcome_salience, content_ids, importance_score, lexical_score, freq_score, recency_score, recall_batch_rank, recall_full_score, recall_anchor_filter, recall_expanded, expand_relation_filter, expand_edges_gated, subgraph_edges, recall_mixed_batch, recall_mixed_edges, recall_dense_topk, secret_mask)
 QUERIES = {f.__name__: f for f in _PLAIN} | {name: _mode(requests) for name, requests in MODES.items()} | {
     "decay_scope_all": _scoped(ScopedDecay("all")),
     "decay_scope_unanchored": _scoped(ScopedDecay("unanchored", half_life=timedelta(hours=240), grace=timedelta(days=60), threshold=0.5)),

@@ -32,6 +32,14 @@ MODES = {
 }
 WALKING = [RecallRequest(query="trace store", expand_hops=1, min_edge_weight=0.3, attenuation=0.5, relations=("precedes", " subgoal_of ".strip()), top_k=15), RecallRequest(query="fan governor", expand_hops=2, min_edge_weight=0.3, attenuation=0.5, relations=("precedes", "subgoal_of"), top_k=15)]
 EXPANDING = [RecallRequest(**{**r.__dict__, "expand_neighbours": True, "top_k": 10}) for r in REQUESTS]
+#: Requests that agree in nothing: gates, limits, fields, secrets in both orders, one without expansion.
+MIXED = [
+    RecallRequest(query="threshold of the sensor", include_secrets=True, expand_neighbours=True, min_edge_weight=0.9, top_k=40),
+    RecallRequest(query="threshold of the sensor", expand_neighbours=True, min_edge_weight=0.1, attenuation=0.5, top_k=40),
+    RecallRequest(query="memory graph decay", expand_hops=1, relations=("precedes", "subgoal_of"), min_edge_weight=0.3, include_embeddings=True, top_k=25),
+    RecallRequest(query="memory graph decay", include_secrets=True, fields=("id", "summary", "Embedding".lower(), "last_accessed_at"), top_k=25),
+    RecallRequest(query="queue_id retry_count", fields=("label", "anchors"), expand_neighbours=True, top_k=30),
+]
 N_VECTORS = len(REQUESTS)
 
 CUR = """
@@ -97,18 +105,29 @@ scores AS (SELECT *, base_score + w_anchor * anchor_score AS total_score FROM ba
 
 
 def expanded_sql(requests: list[RecallRequest]) -> str:
-    r = requests[0].resolved(RecallConfig())
     cfg = RecallConfig()
+    resolved = [r.resolved(cfg) for r in requests]
+    gates = " UNION ALL ".join(f"SELECT {i} AS query_no, {r.expand} AS follows, {r.min_edge_weight!r}::DOUBLE AS least_weight, {r.boost!r}::DOUBLE AS boost, {r.top_k} AS most, [{', '.join(map(quoted, r.relations))}]::VARCHAR[] AS allowed" for i, r in enumerate(resolved))
     return scores_sql(requests) + f""",
-seeds AS (SELECT query_no, id AS seed, total_score AS seed_score, max(total_score) OVER (PARTITION BY query_no) AS top FROM scores QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY total_score DESC, id) <= {cfg.pool}),
-gated AS (SELECT * FROM edges WHERE source_id <> target_id AND weight >= {r.min_edge_weight}{" AND relation_type IN (" + ", ".join(map(quoted, r.relations)) + ")" if r.relations else ""}),
-oriented AS (SELECT source_id AS seed, target_id AS id, weight FROM gated UNION ALL SELECT target_id, source_id, weight FROM gated),
-lifts AS (SELECT s.query_no, o.id, s.seed_score, s.top, least(1.0, o.weight) AS pull FROM oriented o JOIN seeds s ON o.seed = s.seed),
-lifted AS (SELECT l.*, c.base_score, c.sim_score, c.base_score + {r.boost} * l.pull * l.seed_score + c.w_anchor * c.anchor_score AS new FROM lifts l JOIN scores c ON c.query_no = l.query_no AND c.id = l.id WHERE l.seed_score > c.base_score),
+gates AS ({gates}),
+seeds AS (SELECT s.query_no, id AS seed, total_score AS seed_score, max(total_score) OVER (PARTITION BY s.query_no) AS top FROM scores s JOIN gates g ON g.query_no = s.query_no AND g.follows QUALIFY row_number() OVER (PARTITION BY s.query_no ORDER BY round(total_score, 9) DESC, id) <= {cfg.pool}),
+gated AS (SELECT DISTINCT g.query_no, g.boost, source_id, target_id, relation_type, weight FROM edges JOIN gates g ON g.follows AND source_id <> target_id AND weight >= g.least_weight AND (len(g.allowed) = 0 OR list_contains(g.allowed, relation_type))),
+oriented AS (SELECT query_no, boost, source_id AS seed, target_id AS id, weight FROM gated UNION ALL SELECT query_no, boost, target_id, source_id, weight FROM gated),
+lifts AS (SELECT s.query_no, o.id, s.seed_score, s.top, o.boost, least(1.0, o.weight) AS pull FROM oriented o JOIN seeds s ON o.seed = s.seed AND o.query_no = s.query_no),
+lifted AS (SELECT l.*, c.base_score, c.sim_score, c.base_score + l.boost * l.pull * l.seed_score + c.w_anchor * c.anchor_score AS new FROM lifts l JOIN scores c ON c.query_no = l.query_no AND c.id = l.id WHERE l.seed_score > c.base_score),
 capped AS (SELECT query_no, id, max(CASE WHEN sim_score < 0.5 THEN least(new, 0.85 * least(seed_score, top)) WHEN (base_score < seed_score OR base_score < top) AND (new >= seed_score OR new >= top) THEN 0.95 * CASE WHEN top > 0 THEN least(seed_score, top) ELSE seed_score END ELSE new END) AS new FROM lifted GROUP BY 1, 2),
 expanded AS (SELECT s.* REPLACE (CASE WHEN c.new > s.total_score THEN c.new ELSE s.total_score END AS total_score), CASE WHEN c.new > s.total_score THEN 1 ELSE 0 END AS hop_distance FROM scores s LEFT JOIN capped c ON s.query_no = c.query_no AND s.id = c.id)"""
 
 
+def _asks(r: RecallRequest, name: str) -> bool:
+    return name in r.fields if r.fields else name != "embedding" or r.include_embeddings
+
+
+def subgraph_sql(requests: list[RecallRequest], most: int) -> str:
+    return expanded_sql(requests) + f""", ret AS (SELECT e.query_no, id FROM expanded e JOIN gates g ON g.query_no = e.query_no QUALIFY row_number() OVER (PARTITION BY e.query_no ORDER BY round(total_score, 9) DESC, id) <= least({most}, any_value(g.most) OVER (PARTITION BY e.query_no)))
+        SELECT DISTINCT query_no, source_id, target_id, relation_type FROM gated g WHERE EXISTS (SELECT 1 FROM ret r WHERE r.query_no = g.query_no AND r.id IN (g.source_id, g.target_id)) AND EXISTS (SELECT 1 FROM seeds s WHERE s.query_no = g.query_no AND s.seed IN (g.source_id, g.target_id))"""
+
+
 _SCORE_COLUMNS = ", ".join(f"round({c}, 6) AS {c}" for c in ("sim_score", "dense_score", "bm25_score", "frequency_score", "recency_score", "importance_score", "anchor_score", "base_score", "total_score"))
 
 
@@ -201,7 +220,7 @@ ORACLE = {
     **{name: ranked_sql(scores_sql(requests), "scores", 25) for name, requests in MODES.items()},
     "active_headers": f"WITH {CUR}, {TAGS} SELECT id, entity_type, access_count, round(importance_score, 6) AS importance_score, array_to_string(coalesce(anchors, []), ' ') AS anchors, round(sqrt(coalesce(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 0.0)), 4) AS magnitude FROM cur LEFT JOIN tags ON cur.id = tags.node_id WHERE NOT is_archived",
     "multi_get": f"WITH {CUR}, {TAGS} SELECT id, entity_type, label, is_archived, array_to_string(coalesce(anchors, []), ' ') AS anchors FROM cur LEFT JOIN tags ON cur.id = tags.node_id WHERE id IN (SELECT DISTINCT node_id FROM scored_nodes)",
-    "incident_edges": f"WITH {CUR}, i AS (SELECT id FROM cur ORDER BY id LIMIT 50) SELECT source_id, target_id, relation_type, weight FROM edges WHERE source_id IN (SELECT id FROM i) OR target_id IN (SELECT id FROM i)",
+    **{name: f"WITH i AS (SELECT DISTINCT node_id AS id FROM {t} WHERE node_id IS NOT NULL) SELECT source_id, target_id, relation_type, weight FROM edges WHERE source_id IN (SELECT id FROM i) OR target_id IN (SELECT id FROM i)" for name, t in (("incident_edges", "node_anchors"), ("incident_edges_scored", "scored_nodes"))},
     "find_matching_node": f"WITH {CUR}, p AS (SELECT DISTINCT trim(label) AS label, entity_type FROM nodes), m AS (SELECT lower(trim(label)) AS k, entity_type, id, row_number() OVER (PARTITION BY lower(trim(label)), entity_type ORDER BY stability_score DESC, id) AS rn FROM cur WHERE NOT is_archived AND trim(label) <> '') SELECT p.label, p.entity_type, m.id AS match_id FROM p LEFT JOIN m ON lower(p.label) = m.k AND p.entity_type = m.entity_type AND rn = 1",
     "anchors_by_node": f"WITH {TAGS} SELECT node_id, array_to_string(anchors, ' ') AS anchors FROM tags",
     "nodes_by_anchor": f"SELECT DISTINCT node_id FROM node_anchors WHERE {anchor('anchor_tag')} IN ('#project:griipwyn', '#pattern:breinwyn')",
@@ -240,14 +259,20 @@ ORACLE = {
     "content_ids": "SELECT DISTINCT session_id, substr('task-' || sha256(CASE WHEN trim(coalesce(task_goal, '')) = '' THEN 'Episodic Task Session ' || coalesce(session_id, '') ELSE trim(task_goal) END), 1, 16) AS goal_id FROM episodic_traces",
     "importance_score": importance_sql(),
     "lexical_score": lexical_sql(),
-    "freq_score": f"WITH {CUR} SELECT id, round(CASE WHEN access_count > 0 THEN least(1.0, ln(1.0 + access_count) / ln(101.0)) ELSE 0.0 END, 9) AS frequency FROM cur",
-    "recency_score": f"WITH {CUR} SELECT id, round(CASE WHEN last_accessed_at < {_REF} THEN exp(-(epoch_us({_REF}) - epoch_us(last_accessed_at)) / 1e6 / 2592000.0) ELSE 1.0 END, 9) AS recency FROM cur",
+    "freq_score": f"WITH {CUR} SELECT id, round(CASE WHEN access_count > 0 THEN least(1.0, ln(1.0 + access_count) / ln(101.0)) ELSE 0.0 END, 9) AS frequency FROM cur WHERE NOT is_archived",
+    "recency_score": f"WITH {CUR} SELECT id, round(CASE WHEN last_accessed_at < {_REF} THEN exp(-(epoch_us({_REF}) - epoch_us(last_accessed_at)) / 1e6 / 2592000.0) ELSE 1.0 END, 9) AS recency FROM cur WHERE NOT is_archived",
     "recall_batch_rank": ranked_sql(_SCORED, "scores", 20),
     "recall_full_score": _SCORED + f" SELECT query_no, id, {_SCORE_COLUMNS} FROM scores",
     "recall_anchor_filter": ranked_sql(_FILTERED, "scores", 30),
     "recall_expanded": ranked_sql(_GROWN, "expanded", 10, ", hop_distance"),
-    "expand_edges_gated": _GROWN + " SELECT DISTINCT source_id, target_id, relation_type, round(weight, 6) AS weight FROM gated WHERE source_id IN (SELECT seed FROM seeds) OR target_id IN (SELECT seed FROM seeds)",
-    "subgraph_edges": _GROWN + ", ret AS (SELECT id FROM expanded QUALIFY row_number() OVER (PARTITION BY query_no ORDER BY round(total_score, 9) DESC, id) <= 10) SELECT DISTINCT source_id, target_id, relation_type FROM gated WHERE (source_id IN (SELECT id FROM ret) OR target_id IN (SELECT id FROM ret)) AND (source_id IN (SELECT seed FROM seeds) OR target_id IN (SELECT seed FROM seeds))",
+    "expand_edges_gated": _GROWN + " SELECT DISTINCT source_id, target_id, relation_type, round(weight, 6) AS weight FROM gated g WHERE EXISTS (SELECT 1 FROM seeds s WHERE s.query_no = g.query_no AND s.seed IN (g.source_id, g.target_id))",
+    "subgraph_edges": subgraph_sql(EXPANDING, 10),
+    "recall_mixed_edges": subgraph_sql(MIXED, 100),
+    "recall_mixed_batch": expanded_sql(MIXED) + f""", f AS (SELECT * FROM (VALUES {', '.join(f"({i}, {r.include_secrets}, {_asks(r, 'summary')}, {_asks(r, 'label')}, {_asks(r, 'embedding') and (r.include_embeddings or bool(r.fields))}, {_asks(r, 'anchors')}, {_asks(r, 'last_accessed_at')})" for i, r in enumerate(MIXED))}) AS v(query_no, open, s, l, e, a, t)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY round(total_score, 9) DESC, id) AS place FROM expanded)
+        SELECT r.query_no, r.id, r.place, CASE WHEN r.query_no IN ({', '.join(str(i) for i, r in enumerate(MIXED) if not r.fields) or '-1'}) THEN r.hop_distance END AS hop_distance, CASE WHEN r.query_no IN ({', '.join(str(i) for i, r in enumerate(MIXED) if not r.fields) or '-1'}) THEN round(r.total_score, 4) END AS total_score,
+          CASE WHEN f.s THEN CASE WHEN (cur.is_secret OR coalesce(cur.summary LIKE 'enc:v1:%', FALSE)) AND NOT f.open THEN '[REDACTED_SECRET]' ELSE cur.summary END END AS summary, CASE WHEN f.l THEN cur.label END AS label, f.e AND cur.embedding IS NOT NULL AS has_vector, f.a AND len(r.anchors) > 0 AS has_anchors, CASE WHEN f.t THEN cur.last_accessed_at END AS last_accessed_at
+        FROM r JOIN gates g ON g.query_no = r.query_no AND r.place <= g.most JOIN f ON f.query_no = r.query_no JOIN cur ON cur.id = r.id""",
     "recall_dense_topk": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         s AS (SELECT query_id, vec_id, round(least(1.0, greatest(0.0, list_dot_product(v, e) / sqrt(list_dot_product(v, v) * list_dot_product(e, e)))), 6) AS cosine FROM q, d)
         SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM s QUALIFY place <= 20""",

@@ -7,7 +7,11 @@ import hashlib
 import os
 import shutil
 import tempfile
+import threading
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,11 +56,50 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: no lineage, survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.select(*[out[f"`{c}`"].alias(c) for c in out.columns])  # new attributes, so it can be joined with ``df``'s source
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and go on from there: computed once, no lineage, safe
+    against lost executors; later steps read only the columns that they need, and their plans know its size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            remove(spark, path)
+        except Exception:  # the session may be gone
+            return
+
+
+@contextmanager
+def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """Cancels the Spark jobs that this thread starts within it once ``seconds`` are over (None: never)."""
+    if not seconds:
+        yield
+        return
+    sc, group = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, sc.cancelJobGroup, (group,))
+    timer.daemon = True
+    sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(key, None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

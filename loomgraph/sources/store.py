@@ -1,12 +1,16 @@
-"""Versioned tables: each write is a new snapshot beside the old one, and a small pointer names the current one.
+"""Versioned tables: each write makes new snapshots beside the old ones, and one manifest names those that belong together.
 
-A path that is being read is never written. The pointer is replaced by a rename, so a reader sees the old or the new
-snapshot and never a part of one. One writer at a time is assumed.
+A path that is being read is never written, and no manifest is ever changed or replaced: a commit is complete when the
+manifest with the next number has its name, by one rename. So a reader sees all tables of one commit or all of the one
+before, a writer that dies leaves only files that no manifest names, and the graph is never without its newest manifest.
+One writer at a time is assumed; a second one fails at the rename.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,55 +27,91 @@ DEFAULTS = {"weight": 1.0, "access_count": 0, "stability_score": 1.0, "importanc
 
 
 class TableStore:
-    """Snapshots of the graph's tables under ``root`` (any file system that Spark's Hadoop client knows)."""
+    """Snapshots of the graph's tables under ``root`` (any file system that Spark's Hadoop client knows).
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2) -> None:
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    ``keep``: manifests that stay readable; what only older ones name is deleted. ``fail``: for tests, called with the
+    name of each step of a commit.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, fail: Callable[[str], None] = lambda step: None) -> None:
+        self.spark, self.root, self.keep, self.fail = spark, root.rstrip("/"), max(1, keep), fail
 
     def _fs(self, path: str):  # noqa: ANN202
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _names(self, folder: str) -> list[str]:
+        fs, p = self._fs(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
-    def version(self, name: str) -> int:
-        """Number of the current snapshot, 0 before the first."""
-        fs, p = self._fs(self._pointer(name))
-        if not fs.exists(p):
-            return 0
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in self._names(f"{self.root}/_manifests") if n.isdigit())
+
+    def _manifest(self, number: int) -> dict:
+        fs, p = self._fs(f"{self.root}/_manifests/{number:012d}")
         stream = fs.open(p)
         try:
-            return int(bytes(stream.readAllBytes()).decode().strip())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def manifest(self) -> dict:
+        """{"tables": {name: version}, "notes": {...}} of the newest commit; nothing before the first."""
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else {"tables": {}, "notes": {}}
+
+    def version(self, name: str) -> int:
+        """Number of the table's current snapshot, 0 before the first."""
+        return self.manifest()["tables"].get(name, 0)
+
     def read(self, name: str) -> DataFrame:
         """The current snapshot with the canonical columns; missing columns get their defaults."""
         v = self.version(name)
         if not v:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return canonical(self.spark.read.parquet(f"{self.root}/{name}/v={v}"), name)
+        rows = self.spark.read.parquet(f"{self.root}/{name}/v={v}")
+        return canonical(rows, name) if name in SCHEMAS else rows
+
+    def commit(self, tables: dict[str, DataFrame], notes: dict | None = None) -> dict[str, int]:
+        """New current snapshots of the tables given, all at once; the versions. ``notes`` are kept with the commit."""
+        numbers = self._numbers()
+        now = self._manifest(numbers[-1]) if numbers else {"tables": {}, "notes": {}}
+        versions = dict(now["tables"])
+        for name, df in tables.items():
+            versions[name] = versions.get(name, 0) + 1
+            path = f"{self.root}/{name}/v={versions[name]}"
+            fs, p = self._fs(path)
+            if fs.exists(p):  # left by a writer that died before its manifest had its name
+                fs.delete(p, True)
+            (canonical(df, name) if name in SCHEMAS else df).write.parquet(path)
+            self.fail(f"wrote {name}")
+        number = numbers[-1] + 1 if numbers else 1
+        fs, tmp = self._fs(f"{self.root}/_manifests/.{number:012d}.{uuid.uuid4().hex}")
+        out = fs.create(tmp, True)
+        out.write(json.dumps({"tables": versions, "notes": {**now["notes"], **(notes or {})}}).encode())
+        out.close()
+        self.fail("wrote manifest")
+        if not fs.rename(tmp, self._fs(f"{self.root}/_manifests/{number:012d}")[1]):
+            raise RuntimeError(f"another writer made commit {number}")
+        self.fail("committed")
+        self._clean([*numbers, number])
+        return {name: versions[name] for name in tables}
 
     def write(self, name: str, df: DataFrame) -> int:
-        """A new current snapshot; the last ``keep`` are kept."""
-        v = self.version(name) + 1
+        """A new current snapshot of one table."""
+        return self.commit({name: df})[name]
+
+    def _clean(self, numbers: list[int]) -> None:
+        """Old manifests first, then the snapshots that no manifest left names."""
+        kept = [self._manifest(n)["tables"] for n in numbers[-self.keep :]]
         fs, _ = self._fs(self.root)
-        path = self._fs(f"{self.root}/{name}/v={v}")[1]
-        if fs.exists(path):  # left by a writer that died before it moved the pointer
-            fs.delete(path, True)
-        canonical(df, name).write.parquet(f"{self.root}/{name}/v={v}")
-        tmp = self._fs(f"{self._pointer(name)}.{uuid.uuid4().hex}")[1]
-        out = fs.create(tmp, True)
-        out.write(str(v).encode())
-        out.close()
-        pointer = self._fs(self._pointer(name))[1]
-        fs.delete(pointer, False) if fs.exists(pointer) else None
-        fs.rename(tmp, pointer)
-        old = self._fs(f"{self.root}/{name}/v={v - self.keep}")[1]
-        if fs.exists(old):
-            fs.delete(old, True)
-        return v
+        for n in numbers[: -self.keep]:
+            fs.delete(self._fs(f"{self.root}/_manifests/{n:012d}")[1], False)
+        for name in {t for k in kept for t in k}:
+            live = {f"v={k[name]}" for k in kept if name in k}
+            for folder in self._names(f"{self.root}/{name}"):
+                if folder.startswith("v=") and folder not in live:
+                    fs.delete(self._fs(f"{self.root}/{name}/{folder}")[1], True)
 
 
 def canonical(df: DataFrame, name: str) -> DataFrame:
@@ -99,3 +139,23 @@ def pack_vectors(column):  # noqa: ANN001, ANN201
         return s.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
     return run(column)
+
+
+def import_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows from elsewhere, all columns as text or typed, to the table's types: what can't be read as its type is null,
+    then the column's default; vectors may be little-endian float32 blobs."""
+    kinds = dict(df.dtypes)
+    columns = []
+    for field in SCHEMAS[name].split(", "):
+        c, kind = field.split(" ", 1)
+        if c not in kinds:
+            continue
+        if kind == "array<float>" and kinds[c] == "binary":
+            columns.append(unpack_vectors(F.col(c)).alias(c))
+        elif kinds[c] == "string" and kind == "boolean":
+            columns.append(F.coalesce(F.expr(f"try_cast(`{c}` as boolean)"), F.expr(f"try_cast(`{c}` as double)") != 0).alias(c))
+        elif kinds[c] == "string" and kind not in ("string", "array<float>"):
+            columns.append(F.expr(f"try_cast(trim(`{c}`) as {kind})").alias(c))
+        else:
+            columns.append(F.col(c))
+    return canonical(df.select(*columns), name)

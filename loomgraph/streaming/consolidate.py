@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -13,40 +15,65 @@ from loomgraph.config import DecayConfig, FusionConfig
 from loomgraph.operators import decay, graph
 from loomgraph.operators.extract import extract
 from loomgraph.operators.fuse import fuse
-from loomgraph.session import cut
+from loomgraph.session import cut, deadline
 from loomgraph.sources.store import SCHEMAS, TableStore
 
 
 @dataclass
 class Cycle:
-    """One consolidation cycle over a store. Batches are taken one after the other; a batch seen before changes nothing."""
+    """One consolidation cycle over a store. Each cycle is one commit of all tables it changes: a crash leaves the state
+    before it, and a batch that was committed changes nothing when it comes again.
+
+    Cycles of one object run one after the other; ``timeout``: seconds after which a cycle's jobs are cancelled.
+    """
 
     store: TableStore
     decay_cfg: DecayConfig = field(default_factory=DecayConfig)
     fusion_cfg: FusionConfig = field(default_factory=FusionConfig)
     batch_size: int = 500
     cycles: int = 0
+    timeout: float | None = 300.0
+    listeners: list[Callable[[DataFrame], None]] = field(default_factory=list)
+    _alone: threading.Lock = field(default_factory=threading.Lock, repr=False)
 
     def enqueue(self, traces: DataFrame) -> None:
         self.store.write("episodic_traces", graph.queue_traces(self.store.read("episodic_traces"), traces))
 
-    def run(self, now: datetime, limit: int | None = None) -> dict[str, int]:
-        """Pending traces, first come first served, into the graph; then decay at ``now``. Counts of what happened."""
+    def run(self, now: datetime, limit: int | None = None, arrived: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict[str, int]:
+        """Pending traces, first come first served, into the graph; then decay at ``now``. Counts of what happened.
+
+        ``arrived``: traces to queue in the same commit; then all pending ones are taken, whatever their number (fusion
+        orders them by their times itself). ``batch``: (source, number) of a stream's batch.
+        """
+        with self._alone, deadline(self.store.spark, self.timeout):
+            return self._run(now, limit, arrived, batch)
+
+    def _run(self, now: datetime, limit: int | None, arrived: DataFrame | None, batch: tuple[str, int] | None) -> dict[str, int]:
+        done = self.store.manifest()["notes"].get("batches", {})
+        if batch and done.get(batch[0], -1) >= batch[1]:
+            return {"traces": 0, "cycles": self.cycles}
         at = F.lit(now).cast("timestamp")
         traces = self.store.read("episodic_traces")
-        pending = cut(graph.pending_traces(traces, limit or self.batch_size))
+        if arrived is not None:
+            traces = cut(graph.queue_traces(traces, arrived), "traces")
+        pending = cut(graph.open_traces(traces) if arrived is not None else graph.pending_traces(traces, limit or self.batch_size), "pending")
         n = pending.count()
         nodes, edges = self.store.read("nodes"), self.store.read("edges")
+        changed: dict[str, DataFrame] = {}
+        fused = None
         if n:
             fused = fuse(nodes, edges, extract(pending), self.fusion_cfg)
-            nodes, edges = cut(fused.nodes), cut(fused.edges)
-        decayed = cut(decay.periodic(nodes, at, self.decay_cfg))
-        kept = decay.prune_edges(edges, decayed.where("is_archived").select("id"), self.decay_cfg.edge_below)
-        self.store.write("nodes", decayed)
-        self.store.write("edges", kept)
-        if n:
-            self.store.write("episodic_traces", graph.mark_consolidated(traces, pending, at))
+            nodes, edges = cut(fused.nodes, "nodes"), fused.edges
+            changed["episodic_traces"] = graph.mark_consolidated(traces, pending, at)
+            changed["node_anchors"] = graph.attach_anchors(self.store.read("node_anchors"), fused.anchors, nodes)
+        decayed = cut(decay.periodic(nodes, at, self.decay_cfg), "decayed")
+        changed["nodes"] = decayed
+        changed["edges"] = decay.prune_edges(edges, decayed.where("is_archived").select("id"), self.decay_cfg.edge_below)
+        self.store.commit(changed, {"batches": {**done, batch[0]: batch[1]}} if batch else None)
         self.cycles += 1
+        if fused is not None:
+            for call in self.listeners:
+                call(fused.created.unionByName(fused.updated).distinct())
         return {"traces": n, "nodes": decayed.count(), "archived": decayed.where("is_archived").count(), "edges": self.store.read("edges").count(), "cycles": self.cycles}
 
 
@@ -54,9 +81,8 @@ def stream(spark: SparkSession, source: str, cycle: Cycle, checkpoint: str, now:
     """New files of traces under ``source`` into the graph: once over what is there, or every ``interval``."""
     rows = spark.readStream.schema(SCHEMAS["episodic_traces"]).parquet(source)
 
-    def batch(df: DataFrame, _: int) -> None:
-        cycle.enqueue(df)
-        cycle.run(now, limit=1 << 30)
+    def batch(df: DataFrame, number: int) -> None:
+        cycle.run(now, arrived=df, batch=(checkpoint, number))
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -19,7 +19,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import recall as R
 from loomgraph.operators.extract import extract
 from loomgraph.operators.fuse import fuse
-from loomgraph.sources.store import SCHEMAS, TableStore, canonical, pack_vectors, unpack_vectors
+from loomgraph.sources.store import SCHEMAS, TableStore, canonical, import_rows, pack_vectors, unpack_vectors
 from loomgraph.streaming.consolidate import Cycle, stream
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -72,6 +72,31 @@ def test_gated_expansion_lifts_strong_neighbours_only(spark):
     assert got["strong"].total_score <= 0.85 * got["seed"].total_score + 1e-3
 
 
+@pytest.mark.parametrize("order", [(True, False), (False, True)])
+def test_requests_of_a_batch_keep_their_own_permissions(spark, order):
+    rows = [node("s", "heap_mb limit", secure_text, vec=[0.6, 0.8], secret=True) for secure_text in ["the heap limit"]]
+    n, e, t = frame(spark, "nodes", rows), frame(spark, "edges", []), frame(spark, "node_anchors", [])
+    requests = [RecallRequest(query="heap_mb limit", embedding=(1.0, 0.0), include_secrets=x, include_embeddings=not x) for x in order]
+    got = {r.query_no: r for r in R.recall(n, e, t, requests, NOW).collect()}
+    for q, allowed in enumerate(order):
+        assert got[q].summary == ("the heap limit" if allowed else R.MASK) and (got[q].embedding is None) == allowed
+    sealed = n.withColumn("summary", secure.encrypt(F.col("summary"), "k"))
+    got = {r.query_no: r.summary for r in R.recall(sealed, e, t, requests, NOW, key="k").collect()}
+    assert got == {q: "the heap limit" if allowed else R.MASK for q, allowed in enumerate(order)}
+
+
+def test_requests_of_a_batch_keep_their_own_gates(spark):
+    rows = [node("seed", "a", vec=[1.0, 0.0]), node("near", "b", vec=[0.0, 1.0])]
+    edges = frame(spark, "edges", [("seed", "near", "r", 0.5, NOW, None)])
+    base = dict(embedding=(1.0, 0.0), mode="dense")
+    requests = [RecallRequest(expand_hops=1, min_edge_weight=0.9, **base), RecallRequest(expand_hops=1, min_edge_weight=0.1, **base), RecallRequest(min_edge_weight=0.1, **base), RecallRequest(expand_hops=1, min_edge_weight=0.1, relations=("q",), **base)]
+    top, used = R.recall_graph(frame(spark, "nodes", rows), edges, frame(spark, "node_anchors", []), requests, NOW)
+    assert {r.query_no: r.hop_distance for r in top.where("id = 'near'").collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    assert [(r.query_no, r.source_id, r.target_id) for r in used.collect()] == [(1, "seed", "near")]
+    alone = {r.id: r.total_score for r in R.recall(frame(spark, "nodes", rows), edges, frame(spark, "node_anchors", []), [requests[1]], NOW).collect()}
+    assert {r.id: r.total_score for r in top.where("query_no = 1").collect()} == alone
+
+
 def test_requests_from_json():
     r = RecallRequest.from_dict({"query": "  #Project:X #y tuning parameters", "fields": "id, label", "traverse_relations": ["a ", ""], "hybrid_alpha": 0, "alpha": 0, "w_imp": 0.4, "unknown": 1})
     s = r.resolved()
@@ -229,6 +254,17 @@ def test_fusion_equals_reader(spark):
     assert {(r.source_id, r.target_id, r.relation_type): round(r.weight, 6) for r in out.edges.collect()} == {k: round(v, 6) for k, v in weights.items()}
 
 
+def test_anchored_traces_tag_all_nodes_that_they_name(spark):
+    rows = sample_traces()[:2]
+    doc = json.loads(rows[0][4]) | {"anchors": [" Project:Kestrel ", "#x", ""]}
+    rows[0] = (*rows[0][:4], json.dumps(doc), *rows[0][5:])
+    stored = frame(spark, "nodes", [node("old-queue", " Queue ")])
+    out = fuse(stored, frame(spark, "edges", []), extract(frame(spark, "episodic_traces", rows)))
+    got = {(r.node_id, r.anchor_tag) for r in out.anchors.collect()}
+    named = {r.canonical_id for r in out.canonical.where("trace_id = 't00'").collect()}
+    assert got == {(i, t) for i in named for t in ("#project:kestrel", "#x")} and named
+
+
 def test_same_trace_again_creates_nothing(spark):
     rows = sample_traces()[:3]
     empty_n, empty_e = frame(spark, "nodes", []), frame(spark, "edges", [])
@@ -281,6 +317,69 @@ def test_store_snapshots(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "nodes").iterdir() if p.name.startswith("v=")) == ["v=3", "v=4"]
 
 
+class Crash(Exception):
+    pass
+
+
+STEPS = ["wrote episodic_traces", "wrote node_anchors", "wrote nodes", "wrote edges", "wrote manifest", "committed"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_crash_between_any_two_steps_leaves_old_or_new_state_whole(spark, tmp_path, step):
+    rows = frame(spark, "episodic_traces", sample_traces()[:2])
+    s = TableStore(spark, str(tmp_path))
+    s.write("nodes", frame(spark, "nodes", [node("old", "old one")]))
+    state = lambda: {t: s.read(t).count() for t in SCHEMAS}
+    before = state()
+
+    def crash(at):
+        if at == step:
+            raise Crash
+
+    s.fail = crash
+    with pytest.raises(Crash):
+        Cycle(s).run(NOW, arrived=rows, batch=("x", 0))
+    s.fail = lambda at: None
+    after = state()
+    assert after == before if step != "committed" else after["episodic_traces"] == 2 and after["nodes"] > 1
+    first = Cycle(s).run(NOW, arrived=rows, batch=("x", 0))
+    assert first["traces"] == (0 if step == "committed" else 2)
+    whole, version = state(), s.version("nodes")
+    assert Cycle(s).run(NOW, arrived=rows, batch=("x", 0))["traces"] == 0 and state() == whole and s.version("nodes") == version
+
+
+def test_a_second_writer_fails(spark, tmp_path):
+    s = TableStore(spark, str(tmp_path))
+    s.write("nodes", frame(spark, "nodes", [node("a")]))
+
+    def other(at):
+        if at == "wrote nodes":
+            s.fail = lambda at: None
+            TableStore(spark, str(tmp_path)).write("edges", frame(spark, "edges", []))
+
+    s.fail = other
+    with pytest.raises(Exception, match="another writer|exists"):
+        s.write("nodes", frame(spark, "nodes", []))
+    assert s.read("nodes").count() == 1
+
+
+def test_deadline_cancels_jobs(spark):
+    from loomgraph.session import deadline
+
+    slow = spark.range(0, 4, 1, 4).select(F.pandas_udf(lambda x: __import__("time").sleep(20) or x, "long")("id"))
+    with pytest.raises(Exception), deadline(spark, 1.0):  # noqa: B017, PT011
+        slow.write.format("noop").mode("overwrite").save()
+    with deadline(spark, 60.0):
+        assert spark.range(3).count() == 3
+
+
+def test_rows_from_elsewhere(spark):
+    df = spark.createDataFrame([("a", "2024-01-02 03:04:05", "7", "0.5", "1", bytearray(np.array([1.5], "<f4").tobytes())), ("b", "soon", "x", "", "false", bytearray(b"abc"))], "id string, created_at string, access_count string, importance_score string, is_archived string, embedding binary")
+    a, b = import_rows(df, "nodes").orderBy("id").collect()
+    assert (a.created_at.year, a.access_count, a.importance_score, a.is_archived, a.embedding) == (2024, 7, 0.5, True, [1.5])
+    assert (b.created_at, b.access_count, b.importance_score, b.is_archived, b.embedding) == (None, 0, 0.5, False, None)
+
+
 def test_vector_codec(spark):
     df = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>").select(pack_vectors(F.col("v")).alias("b"))
     assert [r[0] for r in df.select(unpack_vectors(F.col("b"))).collect()] == [[1.5, -2.0], None]
@@ -298,6 +397,15 @@ def test_embeddings(spark):
         def embed_batch(self, texts):
             raise OSError
 
+    def answer(url, body, headers, timeout):
+        texts = json.loads(body)["input"]
+        data = [{"index": i, "embedding": [float(x) for x in e.embed_batch([t])[0]]} for i, t in enumerate(texts)]
+        return (200, json.dumps({"data": data[::-1]}).encode()) if headers["Authorization"] == "Bearer key" else (401, b'{"error": "no"}')
+
+    remote = embed.HttpEmbedder("http://x/v1/embeddings", "m", "key", batch=2, post=answer)
+    assert np.allclose(remote.embed_batch(["raft consensus timeout", "b", "c"]), e.embed_batch(["raft consensus timeout", "b", "c"]))
+    with pytest.raises(RuntimeError):
+        embed.HttpEmbedder("http://x", post=lambda *a: (200, b'{"data": []}')).embed_batch(["x"])
     f = embed.WithFallback(Broken(), e)
     assert f.embed_batch(["x"]).shape == (1, 64) and f.status == "degraded"
     df = spark.createDataFrame([("raft consensus timeout", None), (None, None), ("kept", [1.0])], "t string, v array<float>")
@@ -396,7 +504,7 @@ def test_fields_and_json(spark):
     rows = [node("a", "x", "", vec=[1.0, 0.0])]
     n, e, t = frame(spark, "nodes", rows), frame(spark, "edges", []), frame(spark, "node_anchors", [])
     some = R.recall(n, e, t, [RecallRequest(embedding=(1.0, 0.0), fields=("Label", "embedding", "nothing"))], NOW)
-    assert set(some.columns) == {"query_no", "id", "label", "embedding"}
+    assert set(some.columns) == {"query_no", "id", "place", "label", "embedding"}
     full = R.recall(n, e, t, [RecallRequest(embedding=(1.0, 0.0))], NOW)
     assert "embedding" not in full.columns
     body = json.loads(R.as_json(full).first().body)

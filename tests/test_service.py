@@ -27,11 +27,15 @@ def test_life_of_a_graph(spark, tmp_path):
     one = e.ingest(trace, NOW)
     assert one["created"] > 2 and heard == [one["created"] + one["updated"]]
     assert e.ingest(trace, NOW)["created"] == 0
+    named = spark.createDataFrame([("t9", "sess", "", "Other goal", "", "failed")], "id string, session_id string, task_goal string, active_goal string, outcome string, status string")
+    e.ingest(named, NOW, synchronous=False)
+    assert [tuple(r) for r in e.store.read("episodic_traces").where("id = 't9'").select("task_goal", "outcome").collect()] == [("Other goal", "failed")]
+    assert e.run_cycle(NOW)["traces"] == 1
     assert e.ingest(spark.createDataFrame([("t2", "sess", "goal", "ok", "{}")], trace.schema), NOW, synchronous=False) == {"queued": 1}
     assert e.run_cycle(NOW)["traces"] == 1
     assert e.health()["nodes"] == e.store.read("nodes").count() and e.graph_summary().count() == 1
     counts = e.scoped_decay(ScopedDecay("session", "sess"), NOW + timedelta(days=3))
     assert counts.get("archived", 0) + counts.get("protected", 0) >= 2 and counts["out_of_scope"] >= 1
     stats = e.consolidation_stats().first()
-    assert stats.consolidated_traces == 2 and stats.archived_nodes == counts.get("archived", 0)
+    assert stats.consolidated_traces == 3 and stats.archived_nodes == counts.get("archived", 0)
     assert set(e.store.read("nodes").columns) == {c.split()[0] for c in SCHEMAS["nodes"].split(", ")}
