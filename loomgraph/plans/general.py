@@ -9,6 +9,7 @@ from loomgraph.functions.ids import utc_month
 from loomgraph.operators import references as R
 from loomgraph.operators import shred as S
 from loomgraph.operators import sources_profile as P
+from loomgraph.plans import nested_sql as N
 from loomgraph.session import table
 
 
@@ -29,23 +30,25 @@ def _traces(spark: SparkSession, d: str) -> DataFrame:
     return S.shred(table(spark, d, "episodic_traces"), "id", "trace_payload", S.TRACE_SPEC)
 
 
+STEPS = {"step_index": "stepindex", "thought": "thought", "action": "action", "observation": "observation", "status": "status", "at": "timestamp", "plain_value": "value"}
+SENSORY = {"item_id": "id", "item_text": "text", "salience": "salience", "origin": "source", "at": "timestamp", "plain_value": "value"}
+ACTIONS = {"action_id": "id", "action_type": "type", "committed": "committed", "at": "createdat", "plain_value": "value"}
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return S.found_elements(_traces(spark, d))
 
 
 def p2_steps(spark: SparkSession, d: str) -> DataFrame:
-    names = {"step_index": "stepindex", "thought": "thought", "action": "action", "observation": "observation", "status": "status", "at": "timestamp", "plain_value": "value"}
-    return S.flat_table(_traces(spark, d), "trajectory", names)
+    return S.flat_table(_traces(spark, d), "trajectory", STEPS)
 
 
 def p2_sensory(spark: SparkSession, d: str) -> DataFrame:
-    names = {"item_id": "id", "item_text": "text", "salience": "salience", "origin": "source", "at": "timestamp", "plain_value": "value"}
-    return S.flat_table(_traces(spark, d), "sensorycontext", names)
+    return S.flat_table(_traces(spark, d), "sensorycontext", SENSORY)
 
 
 def p2_actions(spark: SparkSession, d: str) -> DataFrame:
-    names = {"action_id": "id", "action_type": "type", "committed": "committed", "at": "createdat", "plain_value": "value"}
-    return S.flat_table(_traces(spark, d), "candidateactions", names)
+    return S.flat_table(_traces(spark, d), "candidateactions", ACTIONS)
 
 
 def p2_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +114,13 @@ WITH e AS (SELECT {_id('source_id')} AS source_id, {_id('target_id')} AS target_
 ORACLE = {
     "p1_found": _ORPHANS + "SELECT DISTINCT source_id, target_id, relation_type, side, month AS edge_month FROM orphans WHERE table_name = 'edges'",
     "p1_orphan_report": _ORPHANS + "SELECT table_name, side, month, reason, count(*) AS n_refs, count(DISTINCT ref_key) AS n_keys FROM orphans GROUP BY ALL",
+    "p2_found": N.FOUND,
+    "p2_steps": N.flat("trajectory", STEPS),
+    "p2_sensory": N.flat("sensorycontext", SENSORY),
+    "p2_actions": N.flat("candidateactions", ACTIONS),
+    "p2_payload": N.PAYLOAD,
+    "p2_elements": N.ELEMENTS,
+    "p2_schema_graph": N.SCHEMA,
     "p5_found": _CLEAN + "SELECT source_id FROM e WHERE source_id <> '' GROUP BY source_id HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)",
     "p5_source_stats": _CLEAN
     + """SELECT source_id, count(*) AS n_edges, round(coalesce(sum(weight), 0), 6) AS total_weight, max(weight) AS max_weight,
