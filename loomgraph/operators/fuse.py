@@ -72,7 +72,7 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
     )
     # A new node whose hash names an archived one takes its place but keeps its age and count.
     known = boosted.select("id", F.col("created_at").alias("old_created"), F.col("access_count").alias("old_count"), F.col("importance_score").alias("old_importance"), F.col("embedding").alias("old_vector"))
-    one = new.groupBy("id").agg(*[F.first(c).alias(c) for c in NODE_COLUMNS if c != "id"])
+    one = new.groupBy("id").agg(F.min_by(F.struct(*[c for c in NODE_COLUMNS if c != "id"]), F.struct("created_at", "label")).alias("s")).select("id", "s.*")
     merged = one.join(known, "id", "left").select(
         "id", *[c for c in NODE_COLUMNS if c not in ("id", "created_at", "access_count", "importance_score", "embedding")],
         F.coalesce("old_created", "created_at").alias("created_at"), F.coalesce("old_count", "access_count").alias("access_count"), F.greatest("importance_score", "old_importance").alias("importance_score"), F.coalesce("embedding", "old_vector").alias("embedding"),

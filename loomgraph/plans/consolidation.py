@@ -12,9 +12,10 @@ from loomgraph.functions.embed import HashEmbedder, with_embeddings
 from loomgraph.operators import graph as G
 from loomgraph.operators.extract import extract, log_events
 from loomgraph.operators.fuse import fuse
+from loomgraph.plans import consolidation_sql
 from loomgraph.plans.graph import NOW
 from loomgraph.plans.graph_sql import CUR
-from loomgraph.session import checkpoint_dir, table
+from loomgraph.session import checkpoint_dir, spread, table
 from loomgraph.sources.store import TableStore
 from loomgraph.streaming.consolidate import Cycle, stream
 
@@ -30,8 +31,8 @@ def extract_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_line_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The log lines that would become events of each telemetry log and incident report."""
-    docs = table(spark, d, "documents").where(F.lower("source").rlike("telemetry_log|incident"))
+    """The lines that would become events, were each document a log."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "created_at"))
     shaped = docs.select(F.col("doc_id").alias("trace_id"), F.col("created_at").alias("at"), F.lit("").alias("goal_id"), F.lit(1.0).alias("s"), F.lit(False).alias("trace_secret"), F.lit(False).alias("anchored"), F.col("text").alias("log_text"))
     return log_events(shaped).select(F.col("trace_id").alias("doc_id"), F.col("i").cast("long").alias("line_no"), "kind", "label", F.col("id").alias("event_id"))
 
@@ -44,12 +45,18 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def fuse_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     out = fuse(nodes, edges, extract(table(spark, d, "episodic_traces"))).nodes
-    return out.select("id", "entity_type", "label", "access_count", F.round("stability_score", 6).alias("stability_score"), "importance_score", "is_archived", "created_at", "last_accessed_at")
+    return out.select("id", "entity_type", "label", "access_count", F.round("stability_score", 6).alias("stability_score"), F.round("importance_score", 6).alias("importance_score"), "is_archived", "created_at", "last_accessed_at")
 
 
 def fuse_edges(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
-    return fuse(nodes, edges, extract(table(spark, d, "episodic_traces"))).edges.select(*G.EDGE_KEY, F.round("weight", 6).alias("weight"))
+    return fuse(nodes, edges, extract(table(spark, d, "episodic_traces"))).edges.select(*G.EDGE_KEY, F.round("weight", 10).alias("weight"))
+
+
+def fuse_anchors(spark: SparkSession, d: str) -> DataFrame:
+    """The tags that anchored traces leave on the nodes that they name."""
+    nodes, edges = _graph(spark, d)
+    return fuse(nodes, edges, extract(table(spark, d, "episodic_traces"))).anchors
 
 
 def embed_generate(spark: SparkSession, d: str) -> DataFrame:
@@ -79,8 +86,9 @@ def stream_consolidate(spark: SparkSession, d: str) -> DataFrame:
     return G.entity_histogram(store.read("nodes"))
 
 
-QUERIES = {f.__name__: f for f in (extract_entities, extract_relations, trace_line_sample, fuse_nodes, fuse_edges, embed_generate, secret_roundtrip, stream_consolidate)}
+QUERIES = {f.__name__: f for f in (extract_entities, extract_relations, trace_line_sample, fuse_nodes, fuse_edges, fuse_anchors, embed_generate, secret_roundtrip, stream_consolidate)}
 ORACLE = {
+    **consolidation_sql.ORACLE,
     "secret_roundtrip": f"""WITH {CUR}, t AS (SELECT id, coalesce(summary, '') AS s FROM cur WHERE NOT coalesce(summary LIKE 'enc:v1:%', FALSE)),
         k AS (SELECT id, s <> '' AND NOT (s LIKE 'vault://%' OR s LIKE 'env://%') AS sealed FROM t) SELECT id, TRUE AS same, sealed, sealed AS closed FROM k""",
 }

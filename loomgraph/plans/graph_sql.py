@@ -161,17 +161,20 @@ m AS (SELECT id, CASE WHEN is_archived THEN 'inactive' WHEN anchored > 0 OR impo
 SELECT id, action, round(CASE WHEN action IN ('archived', 'decayed') THEN decayed ELSE stability_score END, 9) AS new_stability FROM m"""
 
 
-def importance_sql() -> str:
-    a, b, t = "lower(coalesce(label, ''))", "lower(coalesce(summary, ''))", "lower(trim(coalesce(entity_type, '')))"
-    return f"""WITH {CUR}, {TAGS},
-s AS (SELECT id, CASE WHEN {t} IN ('system_config', 'architecture_rule', 'config', 'rule') OR regexp_matches({a}, 'config|architecture|api_key|ingest_port|network bounds') OR regexp_matches({b}, 'system config|architecture rule') THEN 0.90
+def importance_case(kind: str, label: str, summary: str, anchored: str) -> str:
+    a, b, t = f"lower(coalesce({label}, ''))", f"lower(coalesce({summary}, ''))", f"lower(trim(coalesce({kind}, '')))"
+    score = f"""CASE WHEN {t} IN ('system_config', 'architecture_rule', 'config', 'rule') OR regexp_matches({a}, 'config|architecture|api_key|ingest_port|network bounds') OR regexp_matches({b}, 'system config|architecture rule') THEN 0.90
   WHEN {t} = 'task_goal' OR contains({a}, 'task goal') THEN 0.85
   WHEN {t} IN ('incident', 'error_state') OR regexp_matches({a}, 'error|fatal|incident') THEN 0.80
   WHEN {t} IN ('decision', 'procedure', 'candidate_action', 'action') OR regexp_matches({a}, 'decision|procedure|^step |^action:') THEN 0.75
   WHEN regexp_matches({a}, 'jitter|transient|noise|ephemeral|speculative|debug log') OR regexp_matches({b}, 'transient|ephemeral|jitter') THEN 0.25
   WHEN {t} IN ('sensory_fact', 'telemetry', 'telemetry_chunk', 'telemetry_rule') OR regexp_matches({a}, 'telemetry|sensor') OR contains({b}, 'telemetry') THEN 0.45
-  ELSE 0.50 END AS score, len(tags.anchors) > 0 AS anchored FROM cur LEFT JOIN tags ON cur.id = tags.node_id)
-SELECT id, round((CASE WHEN anchored THEN least(1.0, score + 0.15) ELSE score END)::DOUBLE, 6) AS importance FROM s"""
+  ELSE 0.50 END"""
+    return f"round((CASE WHEN {anchored} THEN least(1.0, {score} + 0.15) ELSE {score} END)::DOUBLE, 6)"
+
+
+def importance_sql() -> str:
+    return f"WITH {CUR}, {TAGS} SELECT id, {importance_case('entity_type', 'label', 'summary', 'len(tags.anchors) > 0')} AS importance FROM cur LEFT JOIN tags ON cur.id = tags.node_id"
 
 
 _KEYWORDS = """list_filter(list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Z0-9_\\-.:]{{3,}}'), lambda x: regexp_replace(lower(trim(x, '.,:;()[]"''{{}}<>/\\|`=-_')), '([_\\-][0-9]+)+$', '')),
@@ -182,16 +185,16 @@ def keywords(col: str) -> str:
     return _KEYWORDS.format(col, ", ".join(map(quoted, T.KEYWORD_STOP_WORDS)))
 
 
-_LIMIT = "CASE WHEN octet_length(encode({0})) <= 200 THEN 8 ELSE least(80, 8 + floor(sqrt(octet_length(encode({0}))) * 0.4)) END"
+LIMIT_SQL = "CASE WHEN octet_length(encode({0})) <= 200 THEN 8 ELSE least(80, 8 + floor(sqrt(octet_length(encode({0}))) * 0.4)) END"
 _KIND = "CASE WHEN regexp_matches(lower({0}), 'error|fail|drop|fatal|timeout|panic') THEN 'incident' WHEN regexp_matches(lower({0}), 'temp|fan|pwm|rpm|packet|parquet|crc|telemetry|=') THEN 'telemetry' WHEN regexp_matches(lower({0}), 'start|init|connect|complete|schema|finish') THEN 'procedure' ELSE 'episodic_event' END"
-_STAMP = "'^[\\[(]?[0-9]{2,4}[-/:.][0-9\\-/:.TZ+]*(?:[ T][0-9]{2}:[0-9]{2}[0-9:.,Z+\\-]*)?[\\])]?\\s+'"
-_LINES = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE source ILIKE '%telemetry_log%' OR source ILIKE '%incident%'),
+STAMP = "'^[\\[(]?[0-9]{2,4}[-/:.][0-9\\-/:.TZ+]*(?:[ T][0-9]{2}:[0-9]{2}[0-9:.,Z+\\-]*)?[\\])]?\\s+'"
+LINES = f"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM texts),
 n AS (SELECT doc_id, trim(raw) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_no FROM l WHERE octet_length(encode(trim(raw))) >= 8),
-k AS (SELECT *, {_KIND.format('line')} AS kind, CASE WHEN trim(regexp_replace(line, {_STAMP}, '')) <> '' THEN trim(regexp_replace(line, {_STAMP}, '')) ELSE line END AS rest FROM n),
+k AS (SELECT *, {_KIND.format('line')} AS kind, CASE WHEN trim(regexp_replace(line, {STAMP}, '')) <> '' THEN trim(regexp_replace(line, {STAMP}, '')) ELSE line END AS rest FROM n),
 lab AS (SELECT *, CASE WHEN octet_length(encode(rest)) <= 48 THEN rest ELSE substr(rest, 1, 48) || '...' END AS label FROM k)
 """
-_SALIENCE = "CASE WHEN lower(trim(coalesce(outcome, ''))) IN ('success', 'completed', 'ok', 'ready') THEN 1.0 WHEN lower(trim(coalesce(outcome, ''))) IN ('failure', 'error', 'failed') THEN 0.1 ELSE 0.5 END"
+SALIENCE = "CASE WHEN lower(trim(coalesce(outcome, ''))) IN ('success', 'completed', 'ok', 'ready') THEN 1.0 WHEN lower(trim(coalesce(outcome, ''))) IN ('failure', 'error', 'failed') THEN 0.1 ELSE 0.5 END"
 LEXICAL_QUERY = ["retry", "policy", "queue"]
 
 
@@ -206,16 +209,16 @@ _SCORED = scores_sql(REQUESTS)
 _GROWN = expanded_sql(EXPANDING)
 _FILTERED = scores_sql([RecallRequest(query="threshold of the sensor", anchors=("project:griipwyn", "#pattern:breinwyn"), anchor_mode="filter", top_k=30)])
 
-_SAMPLE = """, d AS (SELECT doc_id, octet_length(encode(text)) AS size FROM documents),
+SAMPLED = """, d AS (SELECT doc_id, octet_length(encode(text)) AS size FROM texts),
 b AS (SELECT lab.*, lower(label) AS low, CASE WHEN kind = 'incident' THEN 0 ELSE 1 END AS late, CASE WHEN size < 3000 THEN 3 WHEN size < 25000 THEN 10 WHEN size < 100000 THEN 25 ELSE 40 END AS budget FROM lab JOIN d USING (doc_id)),
 u AS (SELECT * FROM b QUALIFY late = 1 OR row_number() OVER (PARTITION BY doc_id, late, low ORDER BY line_no) = 1),
 c AS (SELECT *, budget - count(*) FILTER (late = 0) OVER (PARTITION BY doc_id) AS spare, count(*) FILTER (late = 1) OVER (PARTITION BY doc_id) AS others, row_number() OVER (PARTITION BY doc_id, late ORDER BY line_no) - 1 AS j FROM u),
 s AS (SELECT * FROM c WHERE late = 0 OR (spare > 0 AND j % (CASE WHEN others > spare THEN others // greatest(spare, 1) ELSE 1 END) = 0)),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, low, kind ORDER BY late, line_no) = 1)
-SELECT doc_id, line_no, kind, label, substr('evt-' || sha256(line || '-' || line_no), 1, 16) AS event_id FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY late, line_no) <= budget"""
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, low, kind ORDER BY late, line_no) = 1),
+events AS (SELECT doc_id, line_no, line, kind, label, substr('evt-' || sha256(line || '-' || line_no), 1, 16) AS event_id, row_number() OVER (PARTITION BY doc_id ORDER BY late, line_no) AS o1 FROM f QUALIFY o1 <= budget)"""
 
 ORACLE = {
-    "trace_line_sample": _LINES + _SAMPLE,
+    "trace_line_sample": "WITH texts AS (SELECT doc_id, text FROM documents)," + LINES + SAMPLED + " SELECT doc_id, line_no, kind, label, event_id FROM events",
     "expand_relation_filter": ranked_sql(expanded_sql(WALKING), "expanded", 15, ", hop_distance"),
     **{name: ranked_sql(scores_sql(requests), "scores", 25) for name, requests in MODES.items()},
     "active_headers": f"WITH {CUR}, {TAGS} SELECT id, entity_type, access_count, round(importance_score, 6) AS importance_score, array_to_string(coalesce(anchors, []), ' ') AS anchors, round(sqrt(coalesce(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 0.0)), 4) AS magnitude FROM cur LEFT JOIN tags ON cur.id = tags.node_id WHERE NOT is_archived",
@@ -250,12 +253,12 @@ ORACLE = {
     "tokens": f"SELECT doc_id, unnest({toks('text')}) AS token FROM documents",
     "doc_freq": f"WITH {CUR}, {TAGS}, {INDEX} SELECT term, count(*) AS df FROM postings GROUP BY term",
     "doc_length": f"WITH {CUR}, {TAGS}, {INDEX} SELECT count(*) AS n_docs, sum(doc_len::DOUBLE) AS sum_len, round(avg(doc_len), 9) AS avg_len FROM docs",
-    "keyword_topn": f"""WITH d AS (SELECT doc_id, {keywords('text')} AS ks, {_LIMIT.format('text')} AS most FROM documents),
+    "keyword_topn": f"""WITH d AS (SELECT doc_id, {keywords('text')} AS ks, {LIMIT_SQL.format('text')} AS most FROM documents),
         t AS (SELECT doc_id, most, unnest(ks) AS keyword, generate_subscripts(ks, 1) AS pos FROM d),
         c AS (SELECT doc_id, keyword, any_value(most) AS most, count(*) AS n, min(pos) AS first_pos FROM t GROUP BY 1, 2)
         SELECT doc_id, keyword, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) <= most""",
-    "trace_line_class": _LINES + "SELECT doc_id, line_no, kind, label FROM lab",
-    "outcome_salience": f"SELECT outcome, round(({_SALIENCE})::DOUBLE, 3) AS salience, count(*) AS n_traces FROM episodic_traces GROUP BY 1, 2",
+    "trace_line_class": "WITH texts AS (SELECT doc_id, text FROM documents)," + LINES + "SELECT doc_id, line_no, kind, label FROM lab",
+    "outcome_salience": f"SELECT outcome, round(({SALIENCE})::DOUBLE, 3) AS salience, count(*) AS n_traces FROM episodic_traces GROUP BY 1, 2",
     "content_ids": "SELECT DISTINCT session_id, substr('task-' || sha256(CASE WHEN trim(coalesce(task_goal, '')) = '' THEN 'Episodic Task Session ' || coalesce(session_id, '') ELSE trim(task_goal) END), 1, 16) AS goal_id FROM episodic_traces",
     "importance_score": importance_sql(),
     "lexical_score": lexical_sql(),
