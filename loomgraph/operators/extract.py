@@ -1,12 +1,14 @@
 """Episodic traces to entities and relations, as plans over the flat tables of the shredded documents.
 
-Each kind of entity is one projection; keywords of all texts are counted together in one aggregation. The order in
+All kinds of things are met in one staged pass; entities, relations and texts are projections of it, and the keywords of
+all texts are counted together in one aggregation. The order in
 which a reader of one trace would meet things is carried as (section, o1, o2), and a window over it keeps the first of
 each label. All is keyed by trace, so a trace's work stays together and traces spread.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +46,7 @@ def _flag(column: Column) -> Column:
 def trace_tables(traces: DataFrame) -> dict[str, DataFrame]:
     """trace, steps, chunks and actions of the traces, one document per id."""
     one = traces.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("created_at", "session_id", "task_goal", "outcome", "trace_payload")).alias("s")).select("id", "s.*")
-    rows = cut(shred(one, "id", "trace_payload", TRACE_SPEC))
+    rows = cut(shred(one, "id", "trace_payload", TRACE_SPEC), "shredded")
     root = rows.where(F.col("table_name") == "")
     logs = F.coalesce(*[_first_field(n) for n in ("executiontrace", "trace", "rawtrace", "logs", "tracepayload")])
     secret = F.coalesce(F.exists(F.map_values(F.map_filter("columns", lambda k, v: k.rlike(r"(^|\.)issecret$") & v.isNotNull())), lambda v: F.lower(v) == "true"), F.lit(False))
@@ -73,13 +75,15 @@ def trace_tables(traces: DataFrame) -> dict[str, DataFrame]:
     return {"trace": trace, "steps": steps, "chunks": chunks, "actions": actions, "anchors": tags}
 
 
-def pool_keywords(pools: DataFrame) -> DataFrame:
-    """``pools`` (trace_id, section, o1, text, most) with the kept keywords: (trace_id, section, o1, o2, keyword)."""
+def pool_keywords(pools: DataFrame, carried: list[str]) -> DataFrame:
+    """``pools`` (trace_id, section, o1, text, most, ...) to the kept keywords, with ``carried`` columns of their pools:
+    (trace_id, section, o1, o2, keyword, ...). One shuffle of the texts serves counting and ranking."""
     key = ["trace_id", "section", "o1"]
-    rows = pools.select(*key, "most", F.posexplode(T.keyword_tokens(F.col("text"))).alias("pos", "keyword"))
-    counted = rows.groupBy(*key, "keyword").agg(F.first("most").alias("most"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("o2"))
-    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "o2"))).where(F.col("r") <= F.col("most"))
-    return kept.select(*key, "o2", "keyword")
+    placed = pools.select(*key, "text", F.struct("most", *carried).alias("p")).repartition(*key)
+    rows = placed.select(*key, "p", F.posexplode(T.keyword_tokens(F.col("text"))).alias("pos", "keyword"))
+    counted = rows.groupBy(*key, "keyword").agg(F.first("p").alias("p"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("o2"))
+    kept = counted.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "o2"))).where(F.col("r") <= F.col("p.most"))
+    return kept.select(*key, "o2", "keyword", *[F.col(f"p.{c}") for c in carried])
 
 
 def _first(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -111,79 +115,72 @@ def extract(traces: DataFrame) -> Extraction:
     """Entities and relations of every trace. Traces without an id are left out; documents that can't be parsed still
     give their goal; repeated ids count once. Salience and weights are shares of the outcome's salience."""
     t = trace_tables(traces)
-    trace, s = t["trace"], F.col("s")
-    ids = ["trace_id", "at"]
+    trace, s, blank = t["trace"], F.col("s"), F.lit("")
+    link_kind = "array<struct<source_id:string,target_id:string,relation_type:string,weight:double>>"
 
-    def entity(rows: DataFrame, section: int, kind: Column | str, label: Column, summary: Column, sal: Column, secret: Column, ident: Column) -> DataFrame:
-        k = F.lit(kind) if isinstance(kind, str) else kind
-        o1 = F.col("o1") if "o1" in rows.columns else F.lit(0)
-        return rows.select(*ids, F.lit(section).alias("section"), o1.cast("int").alias("o1"), F.lit(-1).alias("o2"), ident.alias("id"), k.alias("entity_type"), label.alias("label"), summary.alias("summary"), sal.alias("salience"), T.importance(k, label, summary, F.col("anchored")).alias("importance"), secret.alias("is_secret"))
+    def link(source: str, target: str, kind: Column | str, weight: Column) -> Column:
+        return F.struct(F.col(source).alias("source_id"), F.col(target).alias("target_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("relation_type"), weight.cast("double").alias("weight"))
 
-    def relation(rows: DataFrame, source: str, target: str, kind: Column | str, weight: Column) -> DataFrame:
-        return rows.select(*ids, F.col(source).alias("source_id"), F.col(target).alias("target_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("relation_type"), weight.alias("weight"))
+    def item(rows: DataFrame, section: int, ident: Column, secret: Column, entity: tuple[Column, Column, Column, Column] | None = None, links: Column | None = None, pool: tuple[Column, Column, Column, Column, str, str] | None = None) -> DataFrame:
+        """A thing met in a trace: the entity that it is (kind, label, summary, salience), its links, and the text whose
+        keywords become concepts (text, limit, weight and salience of a concept, relation, note)."""
+        kind, label, summary, salience = entity or (F.lit(None).cast("string"),) * 3 + (F.lit(None).cast("double"),)
+        text, most, weight, share, relation, note = pool or (F.lit(None).cast("string"), F.lit(0), F.lit(0.0), F.lit(0.0), "", "")
+        o1 = F.col("o1") if "o1" in rows.columns else F.lit(0)
+        return rows.select(
+            "trace_id", "at", F.lit(section).alias("section"), o1.cast("int").alias("o1"), ident.alias("id"), kind.alias("entity_type"), label.alias("label"), summary.alias("summary"), salience.cast("double").alias("salience"), secret.alias("is_secret"), "anchored",
+            (F.array() if links is None else links).cast(link_kind).alias("links"), text.alias("text"), most.cast("int").alias("most"), weight.cast("double").alias("weight"), share.cast("double").alias("share"), F.lit(relation).alias("relation"), F.lit(note).alias("note"),
+        )
 
-    goals = entity(trace, 0, "task_goal", F.col("goal"), F.concat(F.lit("Episodic task goal for deliberation session "), "session_id", F.lit(" with outcome "), "outcome"), s, F.col("trace_secret"), F.col("goal_id"))
+    goal_note = F.concat(F.lit("Episodic task goal for deliberation session "), "session_id", F.lit(" with outcome "), "outcome")
+    items = [item(trace, 0, F.col("goal_id"), F.col("trace_secret"), (F.lit("task_goal"), F.col("goal"), goal_note, s))]
 
-    blank = F.lit("")
-    steps = t["steps"].withColumn("thought", F.coalesce("thought", blank)).withColumn("action", F.coalesce("action", blank)).withColumn("idx", F.coalesce(F.expr("try_cast(step_index as int)"), F.lit(0)))
+    steps = t["steps"].withColumn("thought", F.coalesce("thought", blank)).withColumn("action", F.coalesce("action", blank)).withColumn("idx", F.coalesce(F.expr("try_cast(step_index as int)"), F.lit(0)).cast("string"))
     steps = steps.withColumn("summary", F.when(F.trim("thought") != "", F.trim("thought")).otherwise(F.trim("action"))).where(F.col("summary") != "")
-    steps = steps.withColumn("id", T.content_id("dec", F.concat(F.col("session_id"), F.lit("-step-"), F.col("idx").cast("string"), F.lit("-"), F.col("action")))).withColumn("secret", _flag(F.col("secret")) | F.col("trace_secret"))
+    steps = steps.withColumn("id", T.content_id("dec", F.concat(F.col("session_id"), F.lit("-step-"), F.col("idx"), F.lit("-"), F.col("action"))))
     steps = steps.withColumn("prev", F.lag("id").over(Window.partitionBy("trace_id").orderBy("o1")))
-    decisions = entity(steps, 1, "decision", F.concat(F.lit("Step "), F.col("idx").cast("string"), F.lit(": "), T.truncated(F.col("action"), 48)), F.col("summary"), s * S_DECISION, F.col("secret"), F.col("id"))
+    text = F.concat_ws(" ", "thought", "action", F.coalesce("observation", blank))
+    label = F.concat(F.lit("Step "), F.col("idx"), F.lit(": "), T.truncated(F.col("action"), 48))
+    ties = F.when(F.col("prev").isNull(), F.array(link("id", "goal_id", "subgoal_of", s * W_SUBGOAL))).otherwise(F.array(link("id", "goal_id", "subgoal_of", s * W_SUBGOAL), link("prev", "id", "precedes", s * W_PRECEDES)))
+    pool = (text, T.keyword_limit(F.octet_length(text)), s * W_STEP_CONCEPT, s * S_CONCEPT, "associates_with", "Salient concept extracted from episodic deliberation: ")
+    items.append(item(steps, 1, F.col("id"), _flag(F.col("secret")) | F.col("trace_secret"), (F.lit("decision"), label, F.col("summary"), s * S_DECISION), ties, pool))
 
     acts = t["actions"].withColumn("type", F.trim(F.coalesce("type", blank))).where(F.col("type") != "").withColumn("label", F.concat(F.lit("Action: "), T.truncated(F.col("type"), 40))).withColumn("low", F.lower("label"))
-    acts = _first(acts, ["trace_id", "low"], ["o1"]).withColumn("secret", _flag(F.col("secret")) | F.col("trace_secret"))
-    acts = acts.withColumn("id", T.content_id("act", F.concat(F.col("session_id"), F.lit("-act-"), F.coalesce("aid", blank), F.lit("-"), F.col("type"))))
+    acts = _first(acts, ["trace_id", "low"], ["o1"]).withColumn("id", T.content_id("act", F.concat(F.col("session_id"), F.lit("-act-"), F.coalesce("aid", blank), F.lit("-"), F.col("type"))))
     summary = F.concat(F.lit("Candidate deliberation action "), F.col("type"), F.lit(" (committed: "), F.when(_flag(F.col("committed")), "true").otherwise("false"), F.lit(")"))
-    candidate = entity(acts, 2, "candidate_action", F.col("label"), summary, s * S_ACTION, F.col("secret"), F.col("id"))
+    text = F.concat_ws(" ", "type", "payload_text")
+    pool = (text, T.keyword_limit(F.octet_length(text)), s * W_ACTION_CONCEPT, s * S_ACTION_CONCEPT, "associates_with", "Concept from action payload: ")
+    items.append(item(acts, 2, F.col("id"), _flag(F.col("secret")) | F.col("trace_secret"), (F.lit("candidate_action"), F.col("label"), summary, s * S_ACTION), F.array(link("id", "goal_id", "proposed_for", s * W_PROPOSED)), pool))
 
     chunks = t["chunks"].withColumn("c", F.coalesce(F.expr("try_cast(salience as double)"), F.lit(0.0))).where((F.col("c") >= MIN_SALIENCE) & (F.trim(F.coalesce("text", blank)) != ""))
-    chunks = chunks.withColumn("label", T.truncated(F.col("text"), 40)).withColumn("low", F.lower("label")).withColumn("secret", _flag(F.col("secret")) | F.col("trace_secret"))
+    chunks = chunks.withColumn("label", T.truncated(F.col("text"), 40)).withColumn("low", F.lower("label"))
     chunks = _first(chunks, ["trace_id", "low"], ["o1"]).withColumn("id", T.content_id("sensory", F.col("text")))
-    facts = entity(chunks, 3, "sensory_fact", F.col("label"), F.col("text"), F.col("c") * s, F.col("secret"), F.col("id"))
+    c, long_enough = F.col("c"), F.octet_length("text") > CHUNK_BYTES
+    pool = (F.when(long_enough, F.col("text")), T.keyword_limit(F.octet_length("text")), c * s * W_CHUNK_CONCEPT, c * s * S_CONCEPT, "context_for", "Sensory context concept: ")
+    items.append(item(chunks, 3, F.col("id"), _flag(F.col("secret")) | F.col("trace_secret"), (F.lit("sensory_fact"), F.col("label"), F.col("text"), c * s), F.array(link("id", "goal_id", "context_for", c * s)), pool))
 
     events = log_events(trace)
-    happened = entity(events, 4, F.col("kind"), F.col("label"), F.col("line"), s * S_EVENT, F.col("trace_secret"), F.col("id"))
-
-    # Texts whose keywords become concepts: owner, limit, weight and salience of each.
-    def pool(rows: DataFrame, section: int, text: Column, most: Column, weight: Column, sal: Column, secret: Column, kind: str, note: str) -> DataFrame:
-        o1 = F.col("o1") if "o1" in rows.columns else F.lit(0)
-        owner = F.col("id") if "id" in rows.columns else F.col("goal_id")
-        return rows.select(*ids, F.lit(section).alias("section"), o1.cast("int").alias("o1"), owner.alias("owner"), text.alias("text"), most.cast("int").alias("most"), weight.alias("weight"), sal.alias("salience"), secret.alias("secret"), F.lit(kind).alias("relation"), F.lit(note).alias("note"), "anchored")
+    about = F.when(F.col("kind") == "procedure", "subgoal_of").otherwise("context_for")
+    pool = (F.when(F.col("kind") == "incident", T.without_timestamp(F.col("line"))), F.lit(INCIDENT_KEYWORDS), s * W_LOG_CONCEPT, s * S_CONCEPT, "associates_with", "Execution trace concept: ")
+    items.append(item(events, 4, F.col("id"), F.col("trace_secret"), (F.col("kind"), F.col("label"), F.col("line"), s * S_EVENT), F.array(link("id", "goal_id", about, s * W_EVENT)), pool))
 
-    step_text = F.concat_ws(" ", "thought", "action", F.coalesce("observation", blank))
-    act_text = F.concat_ws(" ", "type", "payload_text")
     size = F.octet_length("log_text")
     wide = F.when(size > 25000, F.least(F.lit(100), F.floor(T.keyword_limit(size) * 1.5))).otherwise(T.keyword_limit(size))
-    pools = [
-        pool(steps, 1, step_text, T.keyword_limit(F.octet_length(step_text)), s * W_STEP_CONCEPT, s * S_CONCEPT, F.col("secret"), "associates_with", "Salient concept extracted from episodic deliberation: "),
-        pool(acts, 2, act_text, T.keyword_limit(F.octet_length(act_text)), s * W_ACTION_CONCEPT, s * S_ACTION_CONCEPT, F.col("secret"), "associates_with", "Concept from action payload: "),
-        pool(chunks.where(F.octet_length("text") > CHUNK_BYTES), 3, F.col("text"), T.keyword_limit(F.octet_length("text")), F.col("c") * s * W_CHUNK_CONCEPT, F.col("c") * s * S_CONCEPT, F.col("secret"), "context_for", "Sensory context concept: "),
-        pool(events.where(F.col("kind") == "incident"), 4, T.without_timestamp(F.col("line")), F.lit(INCIDENT_KEYWORDS), s * W_LOG_CONCEPT, s * S_CONCEPT, F.col("trace_secret"), "associates_with", "Execution trace concept: "),
-        pool(trace.where(F.trim(F.coalesce("log_text", blank)) != ""), 5, F.col("log_text"), wide, s * W_LOG_CONCEPT, s * S_CONCEPT, F.col("trace_secret"), "associates_with", "Execution trace concept: "),
-    ]
-    all_pools = pools[0]
-    for p in pools[1:]:
-        all_pools = all_pools.unionByName(p)
-    all_pools = cut(all_pools)
-    words = cut(pool_keywords(all_pools).join(all_pools.drop("text", "most"), ["trace_id", "section", "o1"]).withColumn("id", T.content_id("concept", F.col("keyword"))))
-    # The wording that decides importance: the note with the keyword for steps and logs, the keyword alone otherwise.
+    logs = trace.where(F.trim(F.coalesce("log_text", blank)) != "")
+    items.append(item(logs, 5, F.col("goal_id"), F.col("trace_secret"), pool=(F.col("log_text"), wide, s * W_LOG_CONCEPT, s * S_CONCEPT, "associates_with", "Execution trace concept: ")))
+
+    met = cut(functools.reduce(DataFrame.unionByName, items), "items")
+    words = cut(pool_keywords(met.where(F.col("text").isNotNull()).withColumnRenamed("id", "owner"), ["at", "owner", "weight", "share", "is_secret", "anchored", "relation", "note"]).withColumn("id", T.content_id("concept", F.col("keyword"))), "words")
+
+    columns = ["trace_id", "at", "section", "o1", "o2", "id", "entity_type", "label", "summary", "judged", "salience", "is_secret", "anchored"]
+    plain = met.where(F.col("entity_type").isNotNull()).withColumn("o2", F.lit(-1)).withColumn("judged", F.col("summary")).select(columns)
+    # The wording that decides a concept's importance: its note for steps and logs, the keyword alone otherwise.
     noted = F.concat("note", "keyword")
-    judged = F.when(F.col("section").isin(2, 3), F.col("keyword")).otherwise(noted)
-    concepts = _first(words, ["trace_id", "keyword"], ["section", "o1", "o2"]).select(*ids, "section", "o1", "o2", "id", F.lit("concept").alias("entity_type"), F.col("keyword").alias("label"), noted.alias("summary"), "salience", T.importance(F.lit("concept"), F.col("keyword"), judged, F.col("anchored")).alias("importance"), F.col("secret").alias("is_secret"))
-
-    entities = goals
-    for e in (decisions, candidate, facts, happened, concepts):
-        entities = entities.unionByName(e)
-    relations = relation(steps, "id", "goal_id", "subgoal_of", s * W_SUBGOAL)
-    for r in (
-        relation(steps.where(F.col("prev").isNotNull()), "prev", "id", "precedes", s * W_PRECEDES),
-        relation(acts, "id", "goal_id", "proposed_for", s * W_PROPOSED),
-        relation(chunks, "id", "goal_id", "context_for", F.col("c") * s),
-        relation(events, "id", "goal_id", F.when(F.col("kind") == "procedure", "subgoal_of").otherwise("context_for"), s * W_EVENT),
-        relation(words, "owner", "id", F.col("relation"), F.col("weight")),
-    ):
-        relations = relations.unionByName(r)
+    concepts = _first(words, ["trace_id", "keyword"], ["section", "o1", "o2"])
+    concepts = concepts.select("trace_id", "at", "section", "o1", "o2", "id", F.lit("concept").alias("entity_type"), F.col("keyword").alias("label"), noted.alias("summary"), F.when(F.col("section").isin(2, 3), F.col("keyword")).otherwise(noted).alias("judged"), F.col("share").alias("salience"), "is_secret", "anchored")
+    entities = plain.unionByName(concepts).withColumn("importance", T.importance(F.col("entity_type"), F.col("label"), F.col("judged"), F.col("anchored"))).drop("judged", "anchored")
+    relations = met.select("trace_id", "at", F.explode("links").alias("l")).select("trace_id", "at", "l.*")
+    relations = relations.unionByName(words.select("trace_id", "at", F.col("owner").alias("source_id"), F.col("id").alias("target_id"), F.col("relation").alias("relation_type"), "weight"))
     return Extraction(entities, relations, t["anchors"])
 
 

@@ -42,7 +42,7 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
     an anchored trace names gets the trace's anchors.
     """
     keys = ["k_label", "k_type"]
-    e = _key(found.entities)
+    e = cut(_key(found.entities), "entities")
     order = F.struct("section", "o1", "o2")
     per_trace = e.groupBy(*keys, "trace_id").agg(
         F.min("at").alias("at"), F.min_by(F.struct("id", "label", "entity_type", "summary", "salience", "importance", "is_secret"), order).alias("first"),
@@ -80,11 +80,11 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
     all_nodes = boosted.join(one.select("id"), "id", "left_anti").select(NODE_COLUMNS).unionByName(merged.select(NODE_COLUMNS))
     canonical = e.select("trace_id", "id", *keys).distinct().join(matched.select(*keys, F.coalesce("match_id", "c.first.id").alias("canonical_id")), keys)
     canonical = cut(canonical.groupBy("trace_id", "id").agg(F.min("canonical_id").alias("canonical_id")))
-    salience = found.entities.where((F.col("section") == 0)).groupBy("trace_id").agg(F.max("salience").alias("trace_salience"))
+    salience = e.where(F.col("section") == 0).groupBy("trace_id").agg(F.max("salience").alias("trace_salience"))
     r = found.relations.join(salience, "trace_id")
     for side in ("source_id", "target_id"):
         names = canonical.select("trace_id", F.col("id").alias(side), F.col("canonical_id").alias(f"c_{side}"))
         r = r.join(names, ["trace_id", side], "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
     deltas = r.where(F.col("source_id") != F.col("target_id")).select(*EDGE_KEY, (cfg.rate * F.col("weight") * F.col("trace_salience")).alias("delta"), "at")
-    tagged = found.anchors.join(canonical.select("trace_id", F.col("canonical_id").alias("node_id")).distinct(), "trace_id").join(found.entities.where(F.col("section") == 0).select("trace_id", F.col("at").alias("created_at")), "trace_id")
+    tagged = found.anchors.join(canonical.select("trace_id", F.col("canonical_id").alias("node_id")).distinct(), "trace_id").join(e.where(F.col("section") == 0).select("trace_id", F.col("at").alias("created_at")), "trace_id")
     return Fused(all_nodes, reinforce_edges(edges, deltas, cfg.max_weight), canonical, tagged.groupBy("node_id", "anchor_tag").agg(F.min("created_at").alias("created_at")), one.select("id"), stored.select(F.col("match_id").alias("id")).distinct())
