@@ -4,10 +4,14 @@ Rows are brought together and sorted by key, so a bucket is a run of equal keys;
 memory. A run of more than ``hot`` rows is not paired there: its rows come out marked, are cut into blocks of about
 ``BLOCK`` rows, and block is compared with block in many tasks. Nothing is dropped: one shared bucket is enough for a
 pair, however crowded it is. The comparisons grow with the square of a crowded bucket.
+
+Keys that a sample of documents shows to be crowded are never brought together at all: their rows carry a salt, spread
+over the tasks and go to the blocks at once. What the sample overlooks is found crowded in its task; the pairs are the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -57,6 +61,10 @@ def _runs(batches: Iterable[pa.RecordBatch], keep: Keep, hot: int | None) -> Ite
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(len(doc), pa.int64()), *[pa.array(x) for x in rest]], names=names)
 
     def finish(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        known = cols[1] < 0
+        if known.any():
+            yield marked([c[known] for c in cols])
+            cols = [c[~known] for c in cols]
         doc, _, key, *extra = cols
         if not len(key):
             return
@@ -150,13 +158,42 @@ def crowded_pairs(crowded: DataFrame, keep: Keep) -> DataFrame:
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "sig", "sig2", "size")
     # A stated number of partitions, or small blocks with much to compare would be merged into one task.
-    n = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    meetings = sizes.agg(F.sum(blocks.cast("long") * (blocks + 1) / 2)).first()[0] or 0
+    n = max(int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(meetings), 50_000))
     return met.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "block").mapInArrow(lambda batches: _blocks(batches, keep), "a long, b long")
 
 
+#: Documents whose keys are looked at to find crowded buckets beforehand, and salts that spread such a bucket's rows.
+LOOK, SALTS = 16_384, 64
+
+
+def looked_at(documents: DataFrame, doc: str, n: int) -> tuple[DataFrame, float]:
+    """(a pseudorandom sample of about LOOK documents, the same in every run, and the share of all ``n`` that it is)."""
+    share = min(1.0, LOOK / max(n, 1))
+    return documents.where(F.pmod(F.xxhash64(doc, F.lit(1)), F.lit(1 << 30)) < F.lit(max(1, int(share * (1 << 30))))), share
+
+
+def crowded_keys(index: DataFrame, share: float, hot: int) -> np.ndarray:
+    """Keys, ascending, that the index rows of a sample (``share`` of all documents) show to have over ``hot`` rows in all."""
+    least = max(8, math.ceil(hot * share)) if share < 1 else hot + 1
+    found = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("key")
+    return np.sort(np.array([r[0] for r in found.collect()], np.int64))  # at most LOOK x parts / 8 keys
+
+
+def salted_parts(doc: np.ndarray, key: np.ndarray, part: int, crowded: np.ndarray) -> np.ndarray:
+    """The part of each index row, or a negative salt for rows of crowded keys."""
+    out = np.full(len(key), part, np.int32)
+    if len(crowded):
+        at = np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)
+        hot = crowded[at] == key
+        spread = (doc[hot].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        out[hot] = -1 - (spread % np.uint64(SALTS)).astype(np.int32)
+    return out
+
+
 def bucket_pass(keys: DataFrame, keep: Keep, hot: int | None) -> DataFrame:
     """(a, b, nulls) pairs and, for crowded buckets, (document, null, key, sig, sig2, size) rows."""
-    rows = keys.select("doc", "part", "key", "sig", "sig2", "size").repartition("key").sortWithinPartitions("key")
+    rows = keys.select("doc", "part", "key", "sig", "sig2", "size").repartition("key", "part").sortWithinPartitions("key", "part")
     return rows.mapInArrow(lambda batches: _runs(batches, keep, hot), PAIR_SCHEMA)
 
 

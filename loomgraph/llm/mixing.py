@@ -91,7 +91,7 @@ def running_total(rows: DataFrame, group: list[str], piece: str, order: list[str
     sums = rows.groupBy(*group, piece).agg(F.sum(value).alias("piece_sum"))
     before = sums.withColumn("before", F.coalesce(F.sum("piece_sum").over(Window.partitionBy(*group).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("piece_sum")
     local = F.coalesce(F.sum(value).over(Window.partitionBy(*group, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn(out, local).join(before, [*group, piece]).withColumn(out, F.col(out) + F.col("before")).drop("before", piece)
+    return rows.withColumn(out, local).join(before.hint("merge"), [*group, piece]).withColumn(out, F.col(out) + F.col("before")).drop("before", piece)
 
 
 def block_pieces(counts: DataFrame, plan: DataFrame, spec: MixSpec) -> DataFrame:
@@ -124,10 +124,13 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_slots(plan: DataFrame, spec: MixSpec) -> DataFrame:
-    """(source, shard, number, pass_no, block): every slot of the output that can be filled."""
+DRAW_SCHEMA = "source string, shard long, n long, piece long, first long"
+
+
+def draw_counts(plan: DataFrame, spec: MixSpec) -> DataFrame:
+    """(source, shard, n, piece, first): blocks that each shard draws from each source, and the source's draws before them."""
     spark = plan.sparkSession
-    listed = plan.select("source", "share", "max_repeats", "blocks", "goal").limit(spec.most_sources + 1).collect()
+    listed = plan.select("source", "share", "goal").limit(spec.most_sources + 1).collect()
     if len(listed) > spec.most_sources:
         raise ValueError(f"more than {spec.most_sources} target sources")
     names = sorted(r["source"] for r in listed)
@@ -137,7 +140,7 @@ def draw_slots(plan: DataFrame, spec: MixSpec) -> DataFrame:
     blocks = -(-goal // spec.block)
     shards = -(-blocks // spec.shard)
     if not names or shares.sum() <= 0 or not blocks:
-        return spark.createDataFrame([], "source string, shard long, number long, pass_no long, block long")
+        return spark.createDataFrame([], DRAW_SCHEMA)
     shares = shares / shares.sum()
 
     def multinomial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +151,11 @@ def draw_slots(plan: DataFrame, spec: MixSpec) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(names))), pa.array(names * len(ids), pa.string()), pa.array(drawn.astype(np.int64))], names=["shard", "source", "n"])
 
     draws = spark.range(shards).mapInArrow(multinomial, "shard long, source string, n long").withColumn("piece", F.floor(F.col("shard") / 4096))
-    numbered = running_total(draws, ["source"], "piece", ["shard"], "n", "first").where(F.col("n") > 0)
+    return running_total(draws.withColumn("own_piece", F.col("piece")), ["source"], "piece", ["shard"], "n", "first").select("source", "shard", "n", F.col("own_piece").alias("piece"), "first").where(F.col("n") > 0)
+
+
+def draw_slots(numbered: DataFrame, plan: DataFrame, spec: MixSpec) -> DataFrame:
+    """(source, shard, number, pass_no, block): every slot of the output (:func:`draw_counts`) that can be filled."""
     info = F.broadcast(plan.select("source", "max_repeats", "blocks"))
     # Whole passes only: numbers from max_repeats * blocks on stay empty.
     last = F.least(F.col("first") + F.col("n"), F.col("max_repeats") * F.col("blocks"))
@@ -171,21 +178,34 @@ def mix(docs: DataFrame, targets: DataFrame, spec: MixSpec = MixSpec()) -> tuple
 
     selection: (doc_id, source, uses, tokens_used) per selected document: in how many passes it was used (never more
     than the source's max_repeats) and how many of its tokens were taken in all. report: per target source the
-    plan and ``selected`` tokens, ``actual_share`` of all selected tokens. Empty documents and sources without
+    plan, the blocks ``drawn`` and ``filled``, the ``selected`` tokens and their ``actual_share`` of all selected. Empty documents and sources without
     documents are never selected; sources without a target only count towards the goal.
     """
     counts = stage(token_counts(docs, spec), "tokens")
     plan = stage(mix_plan(counts, targets, spec), "plan")
     pieces = stage(block_pieces(counts, plan, spec), "pieces")
-    used = stage(draw_slots(plan, spec), "slots").groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
+    drawn = stage(draw_counts(plan, spec), "draws")
+    slots = stage(draw_slots(drawn, plan, spec), "slots")
+    used = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
     selection = (
-        pieces.join(used, ["source", "block"])
+        pieces.join(used.hint("merge"), ["source", "block"])
         .groupBy("doc_id", "source")
         .agg(F.max("uses").alias("uses"), F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"))
     )
     got = selection.groupBy("source").agg(F.sum("tokens_used").alias("selected"))
     total = got.agg(F.sum("selected").alias("all_selected"))
-    report = plan.join(got, "source", "left").join(F.broadcast(total), F.lit(True))  # a single row
+    asked = drawn.groupBy("source").agg(F.sum("n").alias("drawn"))
+    filled = slots.groupBy("source").agg(F.count(F.lit(1)).alias("filled"))
+    report = plan.join(got, "source", "left").join(asked, "source", "left").join(filled, "source", "left").join(F.broadcast(total), F.lit(True))  # a single row
     selected = F.coalesce("selected", F.lit(0))
-    report = report.select(*plan.columns, selected.alias("selected"), F.when(F.col("all_selected") > 0, selected / F.col("all_selected")).otherwise(0.0).alias("actual_share"))
+    report = report.select(*plan.columns, F.coalesce("drawn", F.lit(0)).alias("drawn"), F.coalesce("filled", F.lit(0)).alias("filled"), selected.alias("selected"), F.when(F.col("all_selected") > 0, selected / F.col("all_selected")).otherwise(0.0).alias("actual_share"))
     return selection, report
+
+
+def short_sources(report: DataFrame, deviations: float = 6.0) -> DataFrame:
+    """The rows of the report of sources that can't reach their share, found by the draw: either blocks that it asked for
+    stayed empty, or so few were left that chance alone may have kept them from running out (``deviations`` of the
+    draw's spread). Those are then settled by the capacity in tokens."""
+    room = F.col("max_repeats") * F.col("blocks") - F.col("drawn")
+    doubtful = (F.col("filled") < F.col("drawn")) | (room <= deviations * F.sqrt(F.col("drawn") + 1.0) + deviations * deviations)
+    return report.where(doubtful & ~F.col("reachable"))

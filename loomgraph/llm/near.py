@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.buckets import candidate_pairs
-from loomgraph.llm.staging import stage, stage_by
+from loomgraph.llm.buckets import candidate_pairs, crowded_keys, looked_at, salted_parts
+from loomgraph.llm.staging import shuffles, stage, stage_by
 from loomgraph.operators.skew import join_sized
 
 #: Cells of the document-frequency sketch: fixed, whatever the size of the collection (1 MB as float32).
@@ -45,12 +45,26 @@ class NearSpec:
     expand: int = 64
 
     def width(self, n: int) -> int:
-        """Positions in a group: one more for each factor of 30 in the collection, so buckets stay small."""
-        return 5 + max(0, int(np.log(max(n, 1) / 1e6) / np.log(30) + 1)) if n > 1_000_000 else 5
+        """Positions in a group: one more for each factor of 30 in the collection beyond a million, so buckets stay small."""
+        return 5 + max(0, int(np.ceil(np.log(max(n, 1) / 1e6) / np.log(30))))
 
     def parts(self, n: int) -> int:
-        """Groups: wider ones agree more rarely, so there are four more of them for each further position."""
-        return self.groups + 4 * (self.width(n) - 5)
+        """Groups: as many as keep the chance of a miss where ``groups`` of five positions have it, at every size."""
+        miss = (1 - hit(5, AGREE)) ** self.groups
+        return int(np.ceil(np.log(miss) / np.log(1 - hit(self.width(n), AGREE)) - 1e-9))
+
+
+#: Agreement of the sketches of two texts at the threshold whose few differing words are rare (the lowest met with).
+AGREE = 0.53
+
+
+def hit(width: int, agree: float) -> float:
+    """Chance that two sketches share a key of one group, when each position agrees with chance ``agree``.
+
+    Mask v is met if all positions outside class v (i mod 3) agree; two masks are met only if all positions agree.
+    """
+    outside = [sum(i % 3 != v for i in range(width)) for v in range(3)]
+    return sum(agree**k for k in outside) - 2 * agree**width
 
 
 def word_array(label: Column, summary: Column) -> Column:
@@ -60,17 +74,14 @@ def word_array(label: Column, summary: Column) -> Column:
 
 
 def worded(nodes: DataFrame) -> DataFrame:
-    """(id, class, w): the rows with an id and at least one word; ``class`` is the hash of the word set."""
+    """(id, class, words): the rows with an id and at least one word (other texts overlap with nothing), their hashed
+    words, and the hash of the word set."""
     rows = nodes.where(F.col("id").isNotNull()).select("id", word_array(F.col("label"), F.col("summary")).alias("w"))
-    return rows.where(F.size("w") > 0).withColumn("class", F.xxhash64("w"))
-
+    return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("class"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
 
-def word_classes(nodes: DataFrame) -> DataFrame:
-    """(class, rep, words, size): the distinct word sets with their first id and hashed words.
 
-    Null ids and texts without words (they overlap with nothing) are left out.
-    """
-    rows = worded(nodes).select("id", "class", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+def word_classes(rows: DataFrame) -> DataFrame:
+    """(class, rep, words, size): the distinct word sets of (id, class, words) rows with their first id."""
     return rows.groupBy("class").agg(F.min("id").alias("rep"), F.first("words").alias("words")).withColumn("size", F.size("words"))
 
 
@@ -164,7 +175,7 @@ def near_classes(classes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     groups = spec.parts(n)
     num, den = spec.numerator, spec.denominator
 
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterable[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, lengths = _lists(b.column(1))
             if not len(lengths):
@@ -173,15 +184,20 @@ def near_classes(classes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
             doc, size = b.column(0), pa.array(lengths.astype(np.int32))
             sig = [pa.array(nibbles(sk, h)) for h in (0, 1)]
             for g, key in covering_keys(sk, groups, width):
-                yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(len(lengths), g, np.int32)), pa.array(key), *sig, size], names=["doc", "part", "key", "sig", "sig2", "size"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(salted_parts(doc.to_numpy(), key, g, crowded)), pa.array(key), *sig, size], names=["doc", "part", "key", "sig", "sig2", "size"])
 
     def keep(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        # Overlaps at the threshold leave about 18 of the 32 packed positions equal, unrelated texts 2 to 4.
+        # Overlaps at the threshold leave about 18 of the 32 packed positions equal, unrelated texts 2 to 4: ten are asked for.
         small, large = np.minimum(a[2], b[2]).astype(np.int64), np.maximum(a[2], b[2]).astype(np.int64)
-        return (differing(a[0], b[0]) + differing(a[1], b[1]) <= 21) & (small * den >= large * num)
+        return (differing(a[0], b[0]) + differing(a[1], b[1]) <= 22) & (small * den >= large * num)
 
-    index = classes.select(F.col("class").alias("doc"), "words").mapInArrow(keys, "doc long, part int, key long, sig long, sig2 long, size int")
-    pairs = stage(candidate_pairs(index, keep, spec.hot), "near-pairs")
+    def index(rows: DataFrame, crowded: np.ndarray) -> DataFrame:
+        return rows.select(F.col("class").alias("doc"), "words").mapInArrow(lambda batches: keys(batches, crowded), "doc long, part int, key long, sig long, sig2 long, size int")
+
+    few, share = looked_at(classes, "class", n)
+    with shuffles(classes.sparkSession, n * groups * 3):
+        crowded = crowded_keys(index(few, np.zeros(0, np.int64)), share, spec.hot) if n > spec.hot else np.zeros(0, np.int64)
+        pairs = stage(candidate_pairs(index(classes, crowded), keep, spec.hot), "near-pairs")
     wa, wb = (classes.select(F.col("class").alias(c), F.col("words").alias(f"w{c}")) for c in ("a", "b"))
     both = pairs.join(wa, "a").join(wb, "b")
     common = F.size(F.array_intersect("wa", "wb")).cast("long")
@@ -191,9 +207,11 @@ def near_classes(classes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
 
 def near_ids(nodes: DataFrame, spec: NearSpec = NearSpec()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links between classes, classes, membership (id, class))."""
-    classes = stage_by(word_classes(nodes), "near-classes", "class")
-    links = stage(near_classes(classes, spec), "near-links")
-    members = stage(worded(nodes).groupBy("id").agg(F.min("class").alias("class")), "near-members")
+    with shuffles(nodes.sparkSession, nodes.count()):
+        rows = stage(worded(nodes), "near-words")
+        classes = stage_by(word_classes(rows), "near-classes", "class")
+        links = stage(near_classes(classes, spec), "near-links")
+        members = stage(rows.groupBy("id").agg(F.min("class").alias("class")), "near-members")
     return links, classes, members
 
 
@@ -218,8 +236,10 @@ def near_pairs(nodes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def connected_groups(links: DataFrame, classes: DataFrame, rounds: int = 60) -> DataFrame:
-    """(class, group): connected components by min-label hooking with pointer jumping; all state stays distributed."""
+def connected_groups(links: DataFrame, classes: DataFrame, rounds: int = 200) -> DataFrame:
+    """(class, group): connected components by min-label hooking with pointer jumping; all state stays distributed.
+
+    The rounds needed grow with the logarithm of the longest chain; not being done after ``rounds`` is an error."""
     labels = stage(classes.select("class", F.col("class").alias("label")), "labels")
     edges = stage(links.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).union(links.select("class_b", "class_a")), "edges")
     for _ in range(rounds):
@@ -228,9 +248,9 @@ def connected_groups(links: DataFrame, classes: DataFrame, rounds: int = 60) ->
         jumped = hooked.alias("h").join(labels.select(F.col("class").alias("c"), F.col("label").alias("up")), F.col("label") == F.col("c"), "left")
         nxt = stage(jumped.select("class", "old", F.least("label", "up").alias("label")), "labels")
         if nxt.where(F.col("old") != F.col("label")).limit(1).count() == 0:
-            break
+            return nxt.select("class", F.col("label").alias("group"))
         labels = nxt.select("class", "label")
-    return labels.withColumnRenamed("label", "group")
+    raise RuntimeError(f"components are not connected after {rounds} rounds")
 
 
 def near_groups(nodes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:

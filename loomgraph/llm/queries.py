@@ -55,7 +55,7 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
-    return report.where(~F.col("reachable")).select("source")
+    return mixing.short_sources(report).select("source")
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +66,25 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))[1]
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every target source's selection: no document used more often than allowed or from another
+    source, no more of it taken than there is, a share of the total within seven deviations of the draw (and a block for the
+    last one) of what is asked for or can be had."""
+    docs = spread(table(spark, d, "documents"))
+    spec = mixing.MixSpec()
+    selection, report = mixing.mix(docs, table(spark, d, "mixture_targets"), spec)
+    selection = stage(selection, "selection")
+    own = docs.select("doc_id", mixing.source_name(F.col("source")).alias("own"))
+    per = selection.join(own, "doc_id").groupBy("source").agg(F.max("uses").alias("most_uses"), F.every(F.col("source") == F.col("own")).alias("own_documents"), F.sum("tokens_used").alias("used"))
+    r = report.join(per, "source", "left")
+    wanted = F.least(F.col("share") * F.col("goal"), F.col("capacity"))
+    spread_of = 7 * F.sqrt(F.col("share") * F.col("goal") / spec.block + 1) * spec.block + (F.col("max_repeats") + 1) * spec.block
+    return r.select(
+        "source", (F.coalesce("most_uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce("own_documents", F.lit(True)).alias("own_documents"),
+        ((F.col("selected") == F.coalesce("used", F.lit(0))) & (F.col("selected") <= F.col("capacity"))).alias("tokens_add_up"), (F.abs(F.col("selected") - wanted) <= spread_of).alias("share_met"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return langid.mislabelled(spread(table(spark, d, "documents")))
 
@@ -78,4 +97,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(spread(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p9_found, p9_documents, p9_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p8_checks, p9_found, p9_documents, p9_segments)}

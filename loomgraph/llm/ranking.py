@@ -12,7 +12,9 @@ import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,7 @@ def _positions(rows: DataFrame, spec: RankSpec) -> DataFrame:
 def _heavy_positions(rows: DataFrame, heavy: DataFrame, spec: RankSpec) -> DataFrame:
     """The same for heavy queries: counts per distinct value, summed over ranges of values that many tasks share."""
     out = stage(rows.join(F.broadcast(heavy), rows["query_id"].eqNullSafe(heavy["heavy_id"])).drop("heavy_id"), "heavy")
+    total = out.count()
     steps = [i / spec.pieces for i in range(1, spec.pieces)]
     for s in spec.scores:
         cuts = rows.groupBy("query_id").agg(F.percentile_approx(s, steps).alias("cuts")).select(F.col("query_id").alias("q"), "cuts")
@@ -77,10 +80,11 @@ def _heavy_positions(rows: DataFrame, heavy: DataFrame, spec: RankSpec) -> DataF
         within = F.sum("c").over(Window.partitionBy("query_id", "piece").orderBy(F.desc_nulls_last("value")).rangeBetween(Window.unboundedPreceding, 0))
         placed = counts.withColumn("within", within).join(F.broadcast(above), F.col("query_id").eqNullSafe(F.col("q")) & (F.col("piece") == F.col("p")))
         placed = stage(placed.select(F.col("query_id").alias("q"), "value", "c", (F.col("within") + F.col("above")).alias(f"at_least_{s}")), "heavy-values")
-        # A value tied in very many rows goes by broadcast (few can be that frequent), all others by a shuffle.
-        tied = F.broadcast(placed.where(F.col("c") > spec.rows).drop("c"))
+        # A value tied in a set share of the rows goes by broadcast (at most 1/share can be that frequent), all others by a shuffle.
+        often = F.col("c") > max(spec.rows, spec.share * total)
+        tied = F.broadcast(placed.where(often).drop("c"))
         on = F.col("query_id").eqNullSafe(F.col("q")) & F.col(s).eqNullSafe(F.col("value"))
-        plain = out.join(tied.select("q", "value"), on, "left_anti").join(placed.where(F.col("c") <= spec.rows).drop("c"), on).drop("q", "value")
+        plain = out.join(tied.select("q", "value"), on, "left_anti").join(placed.where(~often).drop("c"), on).drop("q", "value")
         out = stage(plain.unionByName(out.join(tied, on).drop("q", "value")), "heavy")
     return out
 
@@ -126,47 +130,87 @@ def _place(ranked: DataFrame, heavy: list, spec: RankSpec) -> DataFrame:
     return both.withColumn("place", (F.col("local") + F.coalesce("before", F.lit(0))).cast("long")).drop("q", "p", "piece", "local", "before")
 
 
-def _beats(x: tuple, y: tuple, least: int) -> bool:
-    wins = 0
-    for a, b in zip(x, y):
-        wins += a is not None and (b is None or a > b)
-    return wins >= least
+def rank_bound(n: int, m: int, least: int) -> float:
+    """The largest rho that a candidate of a query of ``n`` can have and still beat each other one in ``least`` scores.
+
+    Each of the n - 1 others is level or ahead in at most m - least scores, so the m normalised ranks sum up to at most
+    ((m - least)(n - 1) + m) / n. A rho of m * t needs every k-th smallest rank at its Beta quantile of t or beyond, and
+    the quantiles' sum rises with t: the bound is where it meets that sum.
+    """
+    most = ((m - least) * (n - 1) + m) / n
+
+    def quantile(k: int, t: float) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            below = sum(math.comb(m, j) * mid**j * (1 - mid) ** (m - j) for j in range(k, m + 1)) < t
+            low, high = (mid, high) if below else (low, mid)
+        return high
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        fits = sum(quantile(k, mid) for k in range(1, m + 1)) <= most
+        low, high = (mid, high) if fits else (low, mid)
+    return min(1.0, m * high + 1e-9)
+
+
+#: Sizes of queries up to which the bound is computed; it falls with the size, so the last one serves larger queries.
+SIZES = 64
+
+
+def _winners(query: np.ndarray, scores: np.ndarray, least: int) -> np.ndarray:
+    """Rows left of a knock-out within each query (rows are sorted by it): of each pair that meets only a winner stays."""
+    at = np.arange(len(query))
+    while len(at):
+        q = query[at]
+        place = np.arange(len(at)) - np.searchsorted(q, q)
+        first = np.flatnonzero((place % 2 == 0) & np.r_[q[1:] == q[:-1], False])
+        if not len(first):
+            return at
+        a, b = scores[at[first]], scores[at[first + 1]]
+        missing_a, missing_b = np.isnan(a), np.isnan(b)
+        wins = (~missing_a & (missing_b | (a > b))).sum(axis=1) >= least
+        losses = (~missing_b & (missing_a | (b > a))).sum(axis=1) >= least
+        stays = np.ones(len(at), bool)
+        stays[first], stays[first + 1] = wins, losses
+        at = at[stays]
+    return at
 
 
 def dominant(scored: DataFrame, least: int = 3, spec: RankSpec = RankSpec()) -> DataFrame:
     """(query_id, node_id): the candidate that is strictly higher than each other one in at least ``least`` scores.
 
-    The ranks of the aggregation bound who can be one: each other candidate may be level or ahead in at most
-    m - least scores, so the ranks' sum is bounded. The few that pass meet in a knock-out (a loser, and both of a
-    draw, are out; the winner of all can't be knocked out), in parts and then across parts, which leaves at most one
-    per query; it is then checked against every candidate of its query. A lone candidate passes.
+    The aggregation's significance bounds who can be one (:func:`rank_bound`). The candidates it leaves meet in a
+    knock-out (a loser, and both of a draw, are out; the winner of all can't be knocked out), in parts and then across
+    parts, which leaves at most one per query; it is then checked against every candidate of its query. A lone
+    candidate passes.
     """
     m = len(spec.scores)
     rows = candidates(scored, spec)
     heavy = heavy_queries(rows, spec)
     ranked = aggregate_ranks(scored, spec, heavy, placed=False)
-    ahead = sum((F.col(f"at_least_{s}") - 1 for s in spec.scores), F.lit(0))
-    possible = ranked.where((ahead <= (m - least) * (F.col("n") - 1)) & F.col("rho").isNotNull()).select("query_id", "node_id", *spec.scores)
+    bounds = F.array(*[F.lit(rank_bound(n, m, least)) for n in range(1, SIZES + 1)])
+    possible = ranked.where(F.col("rho") <= F.element_at(bounds, F.least(F.col("n"), F.lit(SIZES)).cast("int"))).select("query_id", "node_id", *spec.scores)
     schema = "query_id long, node_id string, " + ", ".join(f"{s} double" for s in spec.scores)
     names = ["query_id", "node_id", *spec.scores]
 
-    def knock_out(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict = {}
+    def knock_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # at most one row for each query met so far
         for b in batches:
-            for row in b.astype(object).where(b.notna(), None).itertuples(index=False, name=None):
-                q = row[0] if row[0] is None else int(row[0])
-                held = best.get(q)
-                if held is None:
-                    best[q] = row
-                elif not _beats(held[2:], row[2:], least):
-                    if _beats(row[2:], held[2:], least):
-                        best[q] = row
-                    else:
-                        del best[q]
-        yield pd.DataFrame([(None if r[0] is None else int(r[0]), *r[1:]) for r in best.values()], columns=names).astype({"query_id": "Int64"})
-
-    parts = possible.mapInPandas(knock_out, schema)
-    one = parts.repartition("query_id").mapInPandas(knock_out, schema)
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            t = t.take(pc.sort_indices(t, [("query_id", "ascending")])).combine_chunks()  # nulls last
+            null = t.column(0).is_null().to_numpy()
+            key = np.searchsorted(np.unique(t.column(0).drop_null().to_numpy()), t.column(0).fill_null(0).to_numpy())
+            key = np.where(null, len(key), key)
+            values = np.stack([t.column(i).to_numpy().astype(np.float64) for i in range(2, 2 + m)], axis=1)
+            held = t.take(pa.array(_winners(key, values, least)))
+        if held is not None:
+            yield from held.select(names).to_batches()
+
+    parts = possible.mapInArrow(knock_out, schema)
+    one = parts.repartition("query_id").mapInArrow(knock_out, schema)
     renamed = one.select(F.col("query_id").alias("q"), F.col("node_id").alias("x"), *[F.col(s).alias(f"x_{s}") for s in spec.scores])
     wins = sum((((F.col(f"x_{s}").isNotNull()) & (F.col(s).isNull() | (F.col(f"x_{s}") > F.col(s)))).cast("int") for s in spec.scores), F.lit(0))
     on = F.col("query_id").eqNullSafe(F.col("q"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,18 @@ from loomgraph.session import checkpoint_dir
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+@contextmanager
+def shuffles(spark: SparkSession, rows: int, per_task: int = 400_000) -> Iterator[None]:
+    """Within it, shuffles have at least a partition for each ``per_task`` of ``rows``, so tasks don't grow with the data."""
+    name = "spark.sql.shuffle.partitions"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(max(before, -(-rows // per_task))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet beside the checkpoints and read it again: computed once, safe against lost executors."""
     spark = df.sparkSession

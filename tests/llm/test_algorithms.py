@@ -1,6 +1,7 @@
 """Similar vectors, rank aggregation, near duplicates: brute force, guarantees and edge cases."""
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -216,3 +217,55 @@ def test_runs_that_cross_batches_lose_nothing(monkeypatch, chunk, hot):
         else:
             want_pairs |= set(itertools.combinations(members, 2))
     assert sorted(pairs) == sorted(want_pairs) and sorted(crowded) == sorted(want_crowded)
+
+
+@pytest.mark.parametrize("hot", [3, 256, 1000])
+@pytest.mark.parametrize("known", [False, True])
+def test_one_shared_crowded_bucket_gives_all_pairs(spark, monkeypatch, hot, known):
+    """300 documents that share one key and nothing else: every pair comes out, salted beforehand or found crowded."""
+    monkeypatch.setattr(buckets, "BLOCK", 50)
+    import pyarrow as pa
+
+    n = 300
+    doc = np.arange(n, dtype=np.int64)
+    crowded = np.array([7], np.int64) if known else np.zeros(0, np.int64)
+    parts = [(doc, np.full(n, 7, np.int64), 0), (doc, doc + 1000, 1)]
+    rows = [(int(d), int(p), int(k), 0, 0, 1) for ds, ks, part in parts for d, p, k in zip(ds, buckets.salted_parts(ds, ks, part, crowded), ks)]
+    keys = spark.createDataFrame(rows, "doc long, part int, key long, sig long, sig2 long, size int").repartition(4)
+    everything = lambda a, b: np.ones(np.broadcast_shapes(a[0].shape, b[0].shape), bool)
+    assert buckets.candidate_pairs(keys, everything, hot).count() == n * (n - 1) // 2 and pa.__version__
+    assert buckets.crowded_keys(keys, 1.0, 256).tolist() == [7]
+    assert len({buckets.salted_parts(doc, np.full(n, 7, np.int64), 0, np.array([7]))[i] for i in range(n)}) > 30
+
+
+def test_group_numbers_keep_the_chance_of_a_miss():
+    spec = near.NearSpec()
+    small = (1 - near.hit(spec.width(1000), near.AGREE)) ** spec.parts(1000)
+    for n in (10**6, 10**7, 10**8, 10**10, 10**12):
+        assert (1 - near.hit(spec.width(n), near.AGREE)) ** spec.parts(n) <= small + 1e-12
+    rng = np.random.default_rng(0)
+    same = rng.random((200_000, 6)) < near.AGREE
+    met = np.any([same[:, [i for i in range(6) if i % 3 != v]].all(axis=1) for v in range(3)], axis=0)
+    assert abs(met.mean() - near.hit(6, near.AGREE)) < 0.005
+
+
+def test_unconnected_after_all_rounds_is_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(64)], "class_a long, class_b long")
+    nodes = spark.createDataFrame([(i,) for i in range(65)], "class long")
+    assert near.connected_groups(chain, nodes).select("group").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        near.connected_groups(chain, nodes, rounds=1)
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 64, 500])
+def test_no_winner_has_a_rho_beyond_the_bound(n):
+    """Random winners: the others' positions are as good as a loss in all but one score allows."""
+    rng = np.random.default_rng(n)
+    bound = ranking.rank_bound(n, 4, 3)
+    assert bound <= ranking.rank_bound(n - 1, 4, 3) + 1e-9
+    for _ in range(300):
+        share = rng.dirichlet(rng.choice([0.2, 1, 20]) * np.ones(4))
+        ahead = rng.multinomial(n - 1, share)
+        r = np.sort((ahead + 1) / n)
+        t = min(sum(math.comb(4, j) * r[k - 1] ** j * (1 - r[k - 1]) ** (4 - j) for j in range(k, 5)) for k in range(1, 5))
+        assert min(1.0, 4 * t) <= bound + 1e-9
