@@ -4,7 +4,7 @@ A segment (a sentence or a line) is the average of the embeddings of its hashed
 softmax over the average gives the language. The model is trained here by stochastic gradient descent in numpy on a
 bounded sample of labelled documents, twice: the second time without the segments that contradict the first model,
 since labels may be wrong and texts mixed. A held-out part of the sample calibrates the confidence (temperature) and
-the confidence below which a segment is rejected; rejected segments take the language of their neighbours.
+the confidence below which a segment is rejected: it then takes a neighbour's language that fits it, or none.
 
 For inference embeddings and softmax weights are one table (the average is linear), and whole batches of texts are
 hashed, looked up and summed per segment as flat arrays; no text passes through a loop over characters.
@@ -18,11 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
-#: ISO 639 codes and names of the languages, without accents.
+#: ISO 639 codes and names of languages, without accents. What is told apart are those that labels name.
 SPELLINGS = {
     "en": "en eng english englisch anglais ingles engels",
     "de": "de deu ger german deutsch allemand aleman alemao duits",
@@ -32,15 +31,19 @@ SPELLINGS = {
     "nl": "nl nld dut dutch nederlands niederlandisch neerlandais neerlandes holandes",
 }
 
-#: Segments with fewer words that begin with a letter (names, numbers, field names) take their neighbours' language.
+#: Fewer words that begin with a letter (names, numbers, field names) are too little to tell a language by.
 SPELT = 5
+#: The language of what is rejected.
+UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LangSpec:
-    """``sample``: labelled documents to learn from, for each language at most (the only bound on training data).
+    """``sample``: labelled documents to learn from, for each language at most (the only bound on training data); the
+    languages told apart are those of the labels met in it.
 
-    ``share``: part of a document's words that a language must cover to be one of its languages.
+    ``precision``: of the accepted held-out segments, so many must be right; ``strange``: share of the right ones that
+    are left out of account where it is set how many n-grams must have been met in training. ``share``: part of a document's words that a language must cover to be one of its languages.
     """
 
     sample: int = 300
@@ -51,6 +54,7 @@ class LangSpec:
     batch: int = 64
     held_out: float = 0.2
     precision: float = 0.995
+    strange: float = 0.002
     cleanings: int = 2
     share: float = 0.2
     seed: int = 5
@@ -153,16 +157,19 @@ def analyse(texts: list[str | None], buckets: int) -> Batch:
     return Batch(doc, begin, size, words, spelt, features, np.concatenate(segs) if segs else np.zeros(0, np.int64))
 
 
-def segment_scores(batch: Batch, table: np.ndarray) -> np.ndarray:
-    """(segments, languages): average of the table's rows over each segment's features; zeros without features."""
-    n = len(batch.doc)
+def group_scores(features: np.ndarray, group: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+    """(groups, languages): average of the table's rows over each group's features; zeros without features."""
     out = np.zeros((n, table.shape[1]), np.float64)
-    count = np.bincount(batch.segment, minlength=n)
+    count = np.bincount(group, minlength=n)
     for k in range(table.shape[1]):
-        out[:, k] = np.bincount(batch.segment, weights=table[:, k][batch.features], minlength=n)
+        out[:, k] = np.bincount(group, weights=table[:, k][features], minlength=n)
     return out / np.maximum(count, 1)[:, None]
 
 
+def segment_scores(batch: Batch, table: np.ndarray) -> np.ndarray:
+    return group_scores(batch.features, batch.segment, len(batch.doc), table)
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -170,19 +177,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    names: tuple[str, ...]  # the languages
     table: np.ndarray  # (buckets, languages) float32
     temperature: float
     least: float  # confidence below which a segment is rejected
+    seen: np.ndarray  # (buckets,) 1.0 for n-grams met in training
+    familiar: float  # share of n-grams met in training below which a segment is rejected
 
 
-def _sgd(feats: list[np.ndarray], y: np.ndarray, spec: LangSpec, level: bool) -> np.ndarray:
+def _sgd(feats: list[np.ndarray], y: np.ndarray, n: int, spec: LangSpec, level: bool) -> np.ndarray:
     """Trained table: embeddings times softmax weights. ``level``: languages weigh equally. Steps are scaled per row (AdaGrad)."""
     rng = np.random.default_rng(spec.seed)
     emb = rng.uniform(-1 / spec.dim, 1 / spec.dim, (spec.buckets, spec.dim)).astype(np.float32)
-    w = rng.uniform(-0.1, 0.1, (spec.dim, len(LANGUAGES))).astype(np.float32)
+    w = rng.uniform(-0.1, 0.1, (spec.dim, n)).astype(np.float32)
     seen_e, seen_w = np.full(spec.buckets, 1e-8, np.float32), np.full(w.shape, 1e-8, np.float32)
-    freq = np.bincount(y, minlength=len(LANGUAGES))
-    weight = (len(y) / np.maximum(freq, 1) / max(1, np.count_nonzero(freq))).astype(np.float32) if level else np.ones(len(LANGUAGES), np.float32)
+    freq = np.bincount(y, minlength=n)
+    weight = (len(y) / np.maximum(freq, 1) / max(1, np.count_nonzero(freq))).astype(np.float32) if level else np.ones(n, np.float32)
     for _ in range(spec.epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), spec.batch):
@@ -210,10 +220,12 @@ def _sgd(feats: list[np.ndarray], y: np.ndarray, spec: LangSpec, level: bool) ->
 
 def train(texts: list[str], labels: list[str], spec: LangSpec = LangSpec()) -> Model:
     """A calibrated model from labelled texts; labels and texts may be partly wrong and mixed."""
+    names = tuple(sorted(set(labels)))
+    n = len(names)
     if not texts:
-        return Model(np.zeros((spec.buckets, len(LANGUAGES)), np.float32), 1.0, 1.0)
+        return Model(names, np.zeros((spec.buckets, n), np.float32), 1.0, 1.0, np.zeros(spec.buckets), 0.0)
     batch = analyse(texts, spec.buckets)
-    y = np.array([LANGUAGES.index(x) for x in labels])[batch.doc]
+    y = np.array([names.index(x) for x in labels])[batch.doc]
     order = np.argsort(batch.segment, kind="stable")
     flat = batch.features[order]
     count = np.bincount(batch.segment, minlength=len(y))
@@ -225,20 +237,24 @@ def train(texts: list[str], labels: list[str], spec: LangSpec = LangSpec()) -> M
     if not len(fit) or not len(test):
         fit = test = good
     if not len(fit):
-        return Model(np.zeros((spec.buckets, len(LANGUAGES)), np.float32), 1.0, 1.0)
+        return Model(names, np.zeros((spec.buckets, n), np.float32), 1.0, 1.0, np.zeros(spec.buckets), 0.0)
     # Wrong labels are a minority of all segments of a language, if not of those with a label: the first models see
     # the segments as they are, and only segments that they agree with are learned from by the last.
     kept = fit
     for cleaning in range(spec.cleanings):
-        scores = segment_scores(batch, _sgd([feats[i] for i in kept], y[kept], spec, level=False).astype(np.float32))
+        scores = segment_scores(batch, _sgd([feats[i] for i in kept], y[kept], n, spec, level=False).astype(np.float32))
         agrees = scores.argmax(axis=1) == y
         kept = fit[agrees[fit]] if agrees[fit].any() else fit
-    table = _sgd([feats[i] for i in kept], y[kept], spec, level=True).astype(np.float32)
-    fit2 = kept
+    table = _sgd([feats[i] for i in kept], y[kept], n, spec, level=True).astype(np.float32)
+    seen = (np.bincount(np.concatenate([feats[i] for i in kept]), minlength=spec.buckets) >= 2).astype(np.float64)
     scores = segment_scores(batch, table)
-    test = test[agrees[test]] if len(test) else fit2
+    test = test[agrees[test]] if len(test) else kept
     if not len(test):
-        return Model(table, 1.0, 0.5)
+        return Model(names, table, 1.0, 0.5, seen, 0.0)
+    # Confidence is relative among the languages known: what is none of them shows by its unknown n-grams.
+    known = np.array([seen[feats[i]].mean() for i in test])
+    # Half way from what random letters have to what all but ``strange`` of the held-out segments have.
+    familiar = float(seen.mean() + np.quantile(known, spec.strange)) / 2
     truth = y[test]
     grid = 2.0 ** np.arange(-3, 4, 0.25)
     loss = [-np.log(softmax(scores[test] * t)[np.arange(len(test)), truth] + 1e-12).mean() for t in grid]
@@ -248,45 +264,57 @@ def train(texts: list[str], labels: list[str], spec: LangSpec = LangSpec()) -> M
     rank = np.argsort(-conf)
     ok = np.flatnonzero(np.cumsum(right[rank]) / np.arange(1, len(rank) + 1) >= spec.precision)
     least = float(conf[rank[ok[-1]]]) if len(ok) else 0.9
-    return Model(table, t, float(np.clip(least, 0.4, 0.9)))
+    return Model(names, table, t, float(np.clip(least, 0.4, 0.9)), seen, familiar)
 
 
 def labelled_sample(docs: DataFrame, spec: LangSpec) -> list[tuple[str, str]]:
     """At most ``spec.sample`` (text, language) of each language, a fixed pseudorandom choice by id."""
     known = docs.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(spec.seed)), F.lit(1 << 24))
-    out: list[tuple[str, str]] = []
-    picked: DataFrame | None = None
-    for code, n in sorted(sizes.items()):
-        most = int(min(1.0, 1.3 * spec.sample / n) * (1 << 24)) + 1
-        part = known.where((F.col("label") == code) & (draw < most)).select("text", "label").limit(spec.sample)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is not None:
-        out = [(r["text"], r["label"]) for r in picked.collect()]
-    return sorted(out)
+    # One scan: each task hands on no more than ``sample`` of each language, those of the lowest draws.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(spec.seed)), "doc_id", "text")
+    picked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= spec.sample).select("text", "label")
+    return sorted((r["text"], r["label"]) for r in picked.collect())
 
 
 def decide(batch: Batch, model: Model, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(language, confidence) of each segment; a rejected one takes its neighbours' language, at its own confidence in it."""
-    n = len(batch.doc)
-    scores = segment_scores(batch, model.table) * model.temperature
-    p = softmax(scores) if n else np.zeros((0, len(LANGUAGES)))
-    best, conf = (p.argmax(axis=1), p.max(axis=1)) if n else (np.zeros(0, int), np.zeros(0))
-    count = np.bincount(batch.segment, minlength=n)
-    sure = (conf >= model.least) & (batch.spelt >= SPELT)
-    # The language of the nearest accepted segment before, else after, else of the whole text.
-    idx = np.arange(n)
-    before = np.maximum.accumulate(np.where(sure, idx, -1)) if n else idx
-    after = np.minimum.accumulate(np.where(sure, idx, n)[::-1])[::-1] if n else idx
-    has_before = (before >= 0) & (batch.doc[np.maximum(before, 0)] == batch.doc)
-    has_after = (after < n) & (batch.doc[np.minimum(after, n - 1)] == batch.doc)
-    total = np.zeros((n_docs, len(LANGUAGES)))
-    for k in range(len(LANGUAGES)):
-        total[:, k] = np.bincount(batch.doc, weights=scores[:, k] * count, minlength=n_docs)
-    whole = total.argmax(axis=1)[batch.doc]
-    lang = np.where(sure, best, np.where(has_before, best[np.maximum(before, 0)], np.where(has_after, best[np.minimum(after, n - 1)], whole)))
-    return lang, p[idx, lang] if n else conf
+    """(language, confidence) of each segment; language ``len(model.names)`` is that of what is rejected.
+
+    Short segments in a row are judged as one. What is too short takes the language of the nearest accepted segment of
+    its text before it, else after it. What is long enough but not sure takes it as well, if it is as likely as any by
+    chance there. A text with nothing accepted is judged as a whole. All else is rejected, at its confidence in its best.
+    """
+    n, k = len(batch.doc), len(model.names)
+    if not n or not k:
+        return np.full(n, k), np.zeros(n)
+    short = batch.spelt < SPELT
+    new = np.r_[True, (batch.doc[1:] != batch.doc[:-1]) | ~short[1:] | ~short[:-1]]
+    group = np.cumsum(new) - 1
+    doc, n_groups = batch.doc[new], int(group[-1]) + 1
+    spelt = np.bincount(group, weights=batch.spelt, minlength=n_groups)
+    of = group[batch.segment]
+    scores = group_scores(batch.features, of, n_groups, model.table) * model.temperature
+    p = softmax(scores)
+    best, conf = p.argmax(axis=1), p.max(axis=1)
+    count = np.bincount(of, minlength=n_groups)
+    met = np.bincount(of, weights=model.seen[batch.features], minlength=n_groups)
+    strange = met < model.familiar * count
+    sure = (conf >= model.least) & (spelt >= SPELT) & ~strange
+    idx = np.arange(n_groups)
+    before = np.maximum.accumulate(np.where(sure, idx, -1))
+    after = np.minimum.accumulate(np.where(sure, idx, n_groups)[::-1])[::-1]
+    has_before = (before >= 0) & (doc[np.maximum(before, 0)] == doc)
+    has_after = (after < n_groups) & (doc[np.minimum(after, n_groups - 1)] == doc)
+    mass = np.stack([np.bincount(doc, weights=scores[:, j] * count, minlength=n_docs) for j in range(k)], axis=1)
+    whole = softmax(mass / np.maximum(np.bincount(doc, weights=count, minlength=n_docs), 1)[:, None])
+    in_doc = [np.bincount(doc, weights=x, minlength=n_docs) for x in (met, count, spelt)]
+    alien = (in_doc[0] < model.familiar * in_doc[1]) & (in_doc[2] >= SPELT)
+    as_whole = np.where((whole.max(axis=1) >= model.least) & ~alien, whole.argmax(axis=1), k)[doc]
+    near = np.where(has_before, best[np.maximum(before, 0)], np.where(has_after, best[np.minimum(after, n_groups - 1)], as_whole))
+    fits = (near < k) & ((spelt < SPELT) | (~strange & (p[idx, np.minimum(near, k - 1)] >= 1 / k)))
+    lang = np.where(sure, best, np.where(fits, near, k))
+    alone = ~(has_before | has_after) & (lang < k)
+    given = np.where(alone, whole[doc, np.minimum(lang, k - 1)], p[idx, np.minimum(lang, k - 1)])
+    return lang[group], np.where(lang < k, given, conf)[group]
 
 
 SEGMENT_SCHEMA = "doc_id long, segment_no int, begin int, length int, words int, lang string, confidence double"
@@ -295,7 +323,7 @@ DOCUMENT_SCHEMA = "doc_id long, label string, lang string, words long, share dou
 
 def _scan(docs: DataFrame, model: Model, spec: LangSpec, whole: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = np.array(LANGUAGES, object)
+    names = np.array([*model.names, UNKNOWN], object)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -312,15 +340,15 @@ def _scan(docs: DataFrame, model: Model, spec: LangSpec, whole: bool) -> DataFra
                         names=["doc_id", "segment_no", "begin", "length", "words", "lang", "confidence"],
                     )
                     continue
-                cell = batch.doc * len(LANGUAGES) + lang
-                size = b.num_rows * len(LANGUAGES)
+                cell = batch.doc * len(names) + lang
+                size = b.num_rows * len(names)
                 words = np.bincount(cell, weights=batch.words, minlength=size)
                 mass = np.bincount(cell, weights=batch.words * conf, minlength=size)
                 total = np.bincount(batch.doc, weights=batch.words, minlength=b.num_rows)
                 at = np.flatnonzero(words)
-                doc = at // len(LANGUAGES)
+                doc = at // len(names)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(names[at % len(LANGUAGES)], pa.string()), pa.array(words[at].astype(np.int64)), pa.array(words[at] / total[doc]), pa.array(mass[at] / words[at])],
+                    [b.column(0).take(pa.array(doc)), b.column(2).take(pa.array(doc)), pa.array(names[at % len(names)], pa.string()), pa.array(words[at].astype(np.int64)), pa.array(words[at] / total[doc]), pa.array(mass[at] / words[at])],
                     names=["doc_id", "label", "lang", "words", "share", "confidence"],
                 )
 
@@ -341,15 +369,18 @@ def segments(docs: DataFrame, spec: LangSpec = LangSpec(), model: Model | None =
 def document_languages(docs: DataFrame, spec: LangSpec = LangSpec(), model: Model | None = None) -> DataFrame:
     """(doc_id, label, lang, words, share, confidence): each language of each document with the share of its words.
 
-    ``label`` is the language that the document's own label names, or null. Texts without words and null texts give
-    no rows. With no labelled documents at all every confidence is that of a guess. Repeated rows are repeated.
+    ``label`` is the language that the document's own label names, or null; ``lang`` is ``und`` for what is rejected.
+    Texts without words and null texts give no rows. With no labelled documents at all everything is rejected.
+    Repeated rows are repeated.
     """
     return _scan(docs, model or fit(docs, spec), spec, whole=True)
 
 
 def mislabelled(docs: DataFrame, spec: LangSpec = LangSpec()) -> DataFrame:
-    """(doc_id, lang): the languages covering at least ``spec.share`` of a document whose label doesn't name its one language."""
-    found = document_languages(docs, spec).where(F.col("share") >= spec.share)
+    """(doc_id, lang): the languages covering at least ``spec.share`` of a document whose label doesn't name its one language.
+
+    What is rejected is no language."""
+    found = document_languages(docs, spec).where((F.col("share") >= spec.share) & (F.col("lang") != UNKNOWN))
     per = found.groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.first("label").alias("label"))
     wrong = (F.size("langs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("langs")[0])
     return per.where(wrong).select("doc_id", F.explode("langs").alias("lang"))

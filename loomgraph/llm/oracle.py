@@ -40,7 +40,15 @@ p AS (SELECT query_id, node_id, (s[1] + s[2] + s[3] + s[4]) / 4 AS mean_rank,
 q AS (SELECT query_id, node_id, least(1.0, round(tail, 12)) AS rho, round(mean_rank, 12) AS mean_rank FROM p)
 """
 
+#: SQL has no compatibility normalisation; of what it does, these texts need the full-width letters and digits only.
+_WIDE = [chr(c) for lo, hi in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(lo, hi + 1)]
+_PLAIN = f"regexp_extract_all(lower(translate(nfc_normalize(regexp_replace({{0}}, '[\\p{{{{Cf}}}}]', '', 'g')), '{''.join(_WIDE)}', '{''.join(chr(ord(c) - 0xFEE0) for c in _WIDE)}')), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"
+
 ORACLE = {
+    "p7_found": f"""WITH i AS (SELECT item_id, {_PLAIN.format('text')} AS w FROM eval_items), d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents),
+grams AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12),
+found AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM found JOIN grams USING (g)""",
     "p4_found": _CANDIDATES + f"SELECT query_id, node_id FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.query_id IS NOT DISTINCT FROM x.query_id AND y.node_id IS DISTINCT FROM x.node_id AND {_wins('x', 'y')} < 3)",
     "p4_ranking": _RANKS + "SELECT query_id, node_id, round(rho, 9) AS rho, round(mean_rank, 9) AS mean_rank, row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, node_id NULLS FIRST) AS place FROM q",
     "p3_found": _VECTORS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE place <= 10",
@@ -59,4 +67,14 @@ s AS (SELECT a.id, b.id AS other, CASE WHEN len(a.e) = len(b.e) THEN round(list_
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, other) AS place FROM s)
 SELECT id, other, round(c, 6) AS cosine, place::INTEGER AS place FROM r WHERE place <= 10""",
     "p6_found": _WORDS + "SELECT id_a, id_b FROM common WHERE c * 10 >= 7 * (na + nb - c)",
+    "p6_groups": """
+WITH RECURSIVE t AS (SELECT id, list_sort(list_distinct(regexp_extract_all(lower(any_value(coalesce(label, '') || ' ' || coalesce(summary, ''))), '[\\p{L}\\p{N}]+'))) AS w FROM nodes WHERE id IS NOT NULL GROUP BY id),
+c AS (SELECT w, min(id) AS class_id, len(w) AS n FROM t WHERE len(w) > 0 GROUP BY w),
+words AS (SELECT class_id, n, unnest(w) AS word FROM c),
+common AS (SELECT a.class_id AS a, b.class_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM words a JOIN words b ON a.word = b.word AND a.class_id <> b.class_id AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8 GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE k * 10 >= 8 * (na + nb - k)),
+reach AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+groups AS (SELECT a, min(b) AS group_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT t.id, c.class_id, g.group_id, coalesce(d.n_links, 0) AS n_links FROM t JOIN c USING (w) JOIN groups g ON g.a = c.class_id LEFT JOIN degree d ON d.a = c.class_id""",
 }

@@ -8,6 +8,7 @@ probabilities, corrected for taking the smallest. Candidates are ranked by signi
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -130,6 +131,7 @@ def _place(ranked: DataFrame, heavy: list, spec: RankSpec) -> DataFrame:
     return both.withColumn("place", (F.col("local") + F.coalesce("before", F.lit(0))).cast("long")).drop("q", "p", "piece", "local", "before")
 
 
+@functools.lru_cache
 def rank_bound(n: int, m: int, least: int) -> float:
     """The largest rho that a candidate of a query of ``n`` can have and still beat each other one in ``least`` scores.
 
@@ -141,22 +143,22 @@ def rank_bound(n: int, m: int, least: int) -> float:
 
     def quantile(k: int, t: float) -> float:
         low, high = 0.0, 1.0
-        for _ in range(60):
+        for _ in range(40):
             mid = (low + high) / 2
             below = sum(math.comb(m, j) * mid**j * (1 - mid) ** (m - j) for j in range(k, m + 1)) < t
             low, high = (mid, high) if below else (low, mid)
         return high
 
     low, high = 0.0, 1.0
-    for _ in range(60):
+    for _ in range(40):
         mid = (low + high) / 2
         fits = sum(quantile(k, mid) for k in range(1, m + 1)) <= most
         low, high = (mid, high) if fits else (low, mid)
-    return min(1.0, m * high + 1e-9)
+    return min(1.0, m * high + 1e-6)
 
 
-#: Sizes of queries up to which the bound is computed; it falls with the size, so the last one serves larger queries.
-SIZES = 64
+#: Sizes of queries for which the bound is computed; it falls with the size, so each serves those up to the next one.
+SIZES = (1, 2, 3, 4, 6, 9, 14, 24, 48, 128, 1024)
 
 
 def _winners(query: np.ndarray, scores: np.ndarray, least: int) -> np.ndarray:
@@ -190,8 +192,10 @@ def dominant(scored: DataFrame, least: int = 3, spec: RankSpec = RankSpec()) ->
     rows = candidates(scored, spec)
     heavy = heavy_queries(rows, spec)
     ranked = aggregate_ranks(scored, spec, heavy, placed=False)
-    bounds = F.array(*[F.lit(rank_bound(n, m, least)) for n in range(1, SIZES + 1)])
-    possible = ranked.where(F.col("rho") <= F.element_at(bounds, F.least(F.col("n"), F.lit(SIZES)).cast("int"))).select("query_id", "node_id", *spec.scores)
+    bound = F.lit(1.0)
+    for n in SIZES:
+        bound = F.when(F.col("n") >= n, rank_bound(n, m, least)).otherwise(bound)
+    possible = ranked.where(F.col("rho") <= bound).select("query_id", "node_id", *spec.scores)
     schema = "query_id long, node_id string, " + ", ".join(f"{s} double" for s in spec.scores)
     names = ["query_id", "node_id", *spec.scores]
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, leakage, mixing
-from loomgraph.llm.words import words
+from loomgraph.llm.words import hash_words, words
 
 DOCS = "doc_id long, text string, lang string, source string, label string, tokens int, share string"
 ITEMS = "item_id long, text string, suite string, lang string"
@@ -44,11 +44,16 @@ def test_leaks_equal_brute_force(spark):
     assert (1, 1) in got and (1, 2) in got and (2, 1) in got and (10, 1) in got and (9, 1) in got and (3, 1) not in got and (4, 1) not in got
 
 
-def test_blocks_of_items_give_the_same(spark, data):
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_either_join_of_hashes_gives_the_same(spark, data, broadcast):
     docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/eval_items.parquet")
-    whole = {tuple(r) for r in leakage.leaks(docs, items).collect()}
-    parts = {tuple(r) for r in leakage.leaks(docs, items, leakage.LeakSpec(block=3000)).collect()}
-    assert whole == parts == brute_leaks([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        whole = {tuple(r) for r in leakage.leaks(docs, items).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert whole == brute_leaks([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()])
 
 
 def test_substitutions_are_tolerated(spark):
@@ -58,6 +63,40 @@ def test_substitutions_are_tolerated(spark):
     assert [(x.exact_run, x.overlap_words, x.equal_words) for x in r] == [(7, 15, 14)]
 
 
+def test_hashed_words_are_the_words():
+    texts = ["Plain words_and 12 more", None, "", "Straße ﬁne ＡＢＣ x²", "so\u00adft\u200bly", "日本 語 𝐁old 𠀋", "é e\u0301 İ", " \n", "a" * 5000]
+    flat, sizes = hash_words(texts)
+    want = [w for t in texts for w in words(t)]
+    assert sizes.tolist() == [len(words(t)) for t in texts] and len(flat) == len(want) and (flat != 0).all()
+    assert len({(int(h), w) for h, w in zip(flat, want)}) == len(set(flat.tolist())) == len(set(want))
+
+
+def brute_overlap(same, num, den):
+    best = (0, 0)
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            if same[i] and same[j - 1] and sum(same[i:j]) * den >= (j - i) * num:
+                best = max(best, (j - i, sum(same[i:j])))
+    return best
+
+
+def test_longest_overlap_equals_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        same = rng.random(rng.integers(1, 30)) < rng.choice([0.3, 0.7, 0.9])
+        exact, length, equal = leakage.overlap(same, (4, 5))
+        want = brute_overlap(same.tolist(), 4, 5)
+        assert length == want[0] and (equal, exact) == (int(equal), max((len(r) for r in "".join("x" if s else " " for s in same).split()), default=0)) and equal * 5 >= length * 4
+
+
+def test_a_scattered_tail_hides_no_exact_run(spark):
+    """Twelve words copied and then every third word: the pair is reported for the copied run."""
+    item = [f"i{k}" for k in range(30)]
+    text = item[:12] + [w if k % 3 == 0 else f"x{k}" for k, w in enumerate(item[12:])]
+    r = leakage.overlaps(spark.createDataFrame([doc(1, " ".join(text))], DOCS), spark.createDataFrame([(1, " ".join(item), None, None)], ITEMS)).collect()
+    assert r[0].exact_run >= 12 and r[0].overlap_words >= 12
+
+
 def test_no_items_or_documents(spark):
     assert leakage.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, ITEM, None, None)], ITEMS)).count() == 0
     assert leakage.leaks(spark.createDataFrame([doc(1, ITEM)], DOCS), spark.createDataFrame([], ITEMS)).count() == 0
@@ -162,3 +201,27 @@ def test_invisible_characters_part_no_words(spark, model):
     df = spark.createDataFrame([doc(1, text, None), doc(2, SENTENCES["de"], None)], DOCS)
     got = {r.doc_id: (r.lang, r.words) for r in langid.document_languages(df, model=model).collect()}
     assert got[1] == got[2] and got[1][0] == "de"
+
+
+def test_what_fits_no_language_is_rejected(spark, model):
+    noise = "qzx vvkp jjwq xkcd zzqr pqqx wvvz kkjx"
+    docs = [doc(1, noise, "en"), doc(2, f"{SENTENCES['fr']}\n{noise}\n{noise}\n{SENTENCES['fr']}", None), doc(3, SENTENCES["fr"], None)]
+    df = spark.createDataFrame(docs, DOCS)
+    rows = [(r.doc_id, r.lang, r.share) for r in langid.document_languages(df, model=model).collect()]
+    assert [x for x in rows if x[0] == 1] == [(1, langid.UNKNOWN, 1.0)] and {x[1] for x in rows if x[0] == 2} >= {"fr"} and (3, "fr", 1.0) in rows
+    assert {r.lang for r in langid.segments(df.where("doc_id = 1"), model=model).collect()} == {langid.UNKNOWN}
+
+
+def test_short_segments_in_a_row_are_judged_as_one(spark, model):
+    """A second language that comes in turns of three words only, under half of the words."""
+    turns = "niemand weiß warum. wir warten noch. das ist schlecht. bitte schnell antworten. danke für alles."
+    text = " ".join([SENTENCES["en"] + "."] * 2) + "\n" + turns.replace(". ", ".\n")
+    got = {r.lang: r.share for r in langid.document_languages(spark.createDataFrame([doc(1, text, None)], DOCS), model=model).collect()}
+    assert got.get("de", 0) >= 0.2 and got["en"] > 0.5
+
+
+def test_languages_are_those_of_the_labels(spark, data):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(langid.label_language(F.col("lang")).isin("de", "en"))
+    two = langid.fit(docs)
+    assert two.names == ("de", "en") and langid.labelled_sample(docs, langid.LangSpec(sample=5)) == langid.labelled_sample(docs.repartition(7), langid.LangSpec(sample=5))
+    assert len(langid.labelled_sample(docs, langid.LangSpec(sample=5))) == 10
