@@ -126,4 +126,4 @@ class Engine:
 
     def health(self) -> dict[str, object]:
         s = self.graph_summary().first()
-        return {"status": "ok", "nodes": s["total_nodes"], "edges": s["total_edges"], "embedder": getattr(self.embedder(), "status", "local"), "cycles": self.cycle.cycles}
+        return {"status": "ok", "nodes": s["total_nodes"], "edges": s["total_edges"], "bytes": self.store.size(), "embedder": getattr(self.embedder(), "status", "local"), "cycles": self.cycle.cycles}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hmac
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,3 +47,16 @@ def decrypt(text: Column, master: str) -> Column:
 
 def mask(text: Column, secret: Column, include: bool = False) -> Column:
     return text if include else F.when(secret | text.startswith(PREFIX), F.lit(MASK)).otherwise(text)
+
+
+#: Paths that need no key.
+PUBLIC_PATHS = ("/health", "/api/v1/health")
+
+
+def authorised(path: str, headers: Mapping[str, str], key: str) -> bool:
+    """Whether a request may pass: no key is set, the path is public, or ``X-API-Key`` or a bearer token is the key."""
+    if not key or path in PUBLIC_PATHS:
+        return True
+    low = {k.lower(): v for k, v in headers.items()}
+    given = low.get("x-api-key") or low.get("authorization", "").removeprefix("Bearer ")
+    return hmac.compare_digest(given.encode(), key.encode())

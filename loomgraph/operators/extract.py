@@ -184,7 +184,12 @@ def extract(traces: DataFrame) -> Extraction:
     return Extraction(entities, relations, t["anchors"])
 
 
+def session_traces(traces: DataFrame, session_id: str) -> DataFrame:
+    """The traces of a session; ids are compared trimmed and without case."""
+    return traces.where(clean_id(F.col("session_id")) == session_id.strip().lower())
+
+
 def session_scope(traces: DataFrame, session_id: str) -> DataFrame:
     """(id): goal, decision and sensory nodes that the session's traces gave."""
-    e = extract(traces.where(clean_id(F.col("session_id")) == session_id.strip().lower())).entities
+    e = extract(session_traces(traces, session_id)).entities
     return e.where(F.col("entity_type").isin("task_goal", "decision", "sensory_fact")).select("id").distinct()

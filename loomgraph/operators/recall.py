@@ -131,23 +131,39 @@ def lexical_shares(tf: np.ndarray, doc_len: np.ndarray, phrases: np.ndarray, ter
     return np.clip(raw / np.where(best > 0, best, 1.0), 0.0, 1.0)
 
 
-def dense_scores(index: DataFrame, requests: list[ResolvedRequest]) -> DataFrame:
-    """``index`` with ``dense``: the cosine with each request's vector, clamped to [0, 1]; 0 where lengths differ.
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, block: int = 4096) -> DataFrame:
+    """(query_id, id, cosine, place): the k rows of ``vectors`` (id, embedding) most similar to each of ``queries`` (id,
+    embedding), by the cosine clamped to [0, 1] and rounded, ties to the lower id; ids are numbers.
 
-    One matrix product per batch of nodes and vector length.
+    The queries are a stated set and go through the driver in blocks of bounded size; each block meets all rows as one
+    matrix product a batch, and a batch hands on no more than its k best of each query (and their ties).
     """
-    by_dim = query_vectors(requests)
-    if not by_dim:
-        return index.withColumn("dense", F.array_repeat(F.lit(0.0), len(requests)))
-    names = index.columns
-    at = names.index("embedding")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = dot_scores(b.column(at), by_dim, len(requests))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(requests), pa.int32()), pa.array(out.ravel()))], names=[*names, "dense"])
-
-    return index.mapInArrow(run, T.StructType([*index.schema.fields, T.StructField("dense", T.ArrayType(T.DoubleType()))]))
+    found: DataFrame | None = None
+    held: list[tuple[int, list[float]]] = []
+
+    def scan(rows: list[tuple[int, list[float]]]) -> DataFrame:
+        by_dim = query_vectors([RecallRequest(mode="dense").resolved().with_vector(tuple(v)) for _, v in rows])
+        ids = np.array([i for i, _ in rows], np.int64)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, by_dim))  # at most ``block`` vectors
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, dims = shared.value
+                cosine = dot_scores(b.column(1), dims, len(names))
+                least = np.partition(cosine, -k, axis=0)[-k] - 10.0**-digits if b.num_rows > k else np.full(len(names), -1.0)
+                row, q = np.nonzero(cosine >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), b.column(0).take(pa.array(row)), pa.array(cosine[row, q])], names=["query_id", "id", "cosine"])
+
+        return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, "query_id long, id long, cosine double")
+
+    for r in queries.select("id", "embedding").toLocalIterator():
+        held.append((r["id"], r["embedding"]))
+        if len(held) == block:
+            found, held = (scan(held) if found is None else found.unionByName(scan(held))), []
+    if held or found is None:
+        found = scan(held) if found is None else found.unionByName(scan(held))
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("cosine", F.round("cosine", digits)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 SCORE_SCHEMA = "query_no int, id string, sim_score double, dense_score double, bm25_score double, frequency_score double, recency_score double, importance_score double, anchor_score double, base_score double, total_score double, w_anchor double"

@@ -83,10 +83,11 @@ def find_orphans(refs: DataFrame, parents: DataFrame, n_refs: int) -> DataFrame:
     )
     if n_refs <= per_salt:  # no key can be that large
         return _join_back(refs, known, ["ref_key"])
-    # Keys above per_salt number at most 1/SALT_SHARE by counting, so this side may be broadcast.
+    # The salt is a running number, so equal rows part as well; every salt has its key on the other side, and a scan
+    # that is read again numbers its rows alike. Keys above per_salt number at most 1/SALT_SHARE by counting, so this side may be broadcast.
     heavy = orphan_keys.where(F.col("n") > per_salt).select("ref_key", F.ceil(F.col("n") / F.lit(float(per_salt))).cast("int").alias("heavy_salts"))
     salted = refs.join(F.broadcast(heavy), "ref_key", "left").withColumn(
-        "salt", F.when(F.col("heavy_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("ref_at", "side", *[c for c in refs.columns if c not in ("ref_key", "ref_at", "side")]), F.col("heavy_salts"))).cast("int")
+        "salt", F.when(F.col("heavy_salts").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("heavy_salts"))).cast("int")
     ).drop("heavy_salts")
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     return _join_back(salted, spread, ["ref_key", "salt"]).drop("salt")

@@ -1,23 +1,17 @@
-"""Queries of extraction, fusion, embeddings, secrets and the stream."""
+"""Queries of extraction, fusion and secrets."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import secure
-from loomgraph.functions.embed import HashEmbedder, with_embeddings
 from loomgraph.operators import graph as G
 from loomgraph.operators.extract import extract, log_events
 from loomgraph.operators.fuse import fuse
 from loomgraph.plans import consolidation_sql
-from loomgraph.plans.graph import NOW
 from loomgraph.plans.graph_sql import CUR
-from loomgraph.session import checkpoint_dir, spread, table
-from loomgraph.sources.store import TableStore
-from loomgraph.streaming.consolidate import Cycle, stream
+from loomgraph.session import spread, table
 
 
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +53,6 @@ def fuse_anchors(spark: SparkSession, d: str) -> DataFrame:
     return fuse(nodes, edges, extract(table(spark, d, "episodic_traces"))).anchors
 
 
-def embed_generate(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors for the current nodes that have none, from label and summary."""
-    nodes = G.current_nodes(table(spark, d, "nodes")).where(F.col("embedding").isNull()).select("id", F.concat_ws(" ", "label", "summary").alias("text"))
-    return with_embeddings(nodes, "text", "embedding", lambda: HashEmbedder(64)).select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
-
-
 def secret_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Summaries that aren't sealed yet, encrypted and read again: the same under the key, null under another one.
 
@@ -75,18 +63,7 @@ def secret_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return sealed.select("id", (secure.decrypt(F.col("sealed"), key) == F.col("summary")).alias("same"), F.col("sealed").startswith(secure.PREFIX).alias("sealed"), secure.decrypt(F.col("sealed"), key + "x").isNull().alias("closed"))
 
 
-def stream_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    """The trace table as a stream into an empty graph; the entities that it leaves."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    traces = table(spark, d, "episodic_traces").select("id", "session_id", "task_goal", "outcome", "trace_payload", F.lit(False).alias("consolidated"), "created_at", F.lit(None).cast("timestamp").alias("consolidated_at"))
-    traces.write.parquet(f"{root}/in")
-    store = TableStore(spark, f"{root}/store")
-    query = stream(spark, f"{root}/in", Cycle(store), f"{root}/progress", NOW)
-    query.awaitTermination()
-    return G.entity_histogram(store.read("nodes"))
-
-
-QUERIES = {f.__name__: f for f in (extract_entities, extract_relations, trace_line_sample, fuse_nodes, fuse_edges, fuse_anchors, embed_generate, secret_roundtrip, stream_consolidate)}
+QUERIES = {f.__name__: f for f in (extract_entities, extract_relations, trace_line_sample, fuse_nodes, fuse_edges, fuse_anchors, secret_roundtrip)}
 ORACLE = {
     **consolidation_sql.ORACLE,
     "secret_roundtrip": f"""WITH {CUR}, t AS (SELECT id, coalesce(summary, '') AS s FROM cur WHERE NOT coalesce(summary LIKE 'enc:v1:%', FALSE)),

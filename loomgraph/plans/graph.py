@@ -28,6 +28,11 @@ def cut() -> Column:
     return F.lit(datetime.fromisoformat(CUTOFF).replace(tzinfo=timezone.utc)).cast("timestamp")
 
 
+def _early(time: str = "created_at") -> Column:
+    """What is stored before the other half comes in; rows without a time are."""
+    return F.coalesce(F.col(time) < cut(), F.lit(True))
+
+
 def _cur(spark: SparkSession, d: str) -> DataFrame:
     return G.current_nodes(table(spark, d, "nodes"))
 
@@ -80,14 +85,14 @@ def anchor_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_nodes(spark: SparkSession, d: str) -> DataFrame:
     nodes = table(spark, d, "nodes").select(G.NODE_COLUMNS)
-    merged = G.upsert_nodes(nodes.where(F.col("last_accessed_at") < cut()), nodes.where(F.col("last_accessed_at") >= cut()))
+    merged = G.upsert_nodes(nodes.where(_early("last_accessed_at")), nodes.where(~_early("last_accessed_at")))
     return merged.select("id", "label", "is_archived", "last_accessed_at", F.round("stability_score", 6).alias("stability_score"), "importance_score", "access_count", "created_at", "last_reinforced_at")
 
 
 def _edge_halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = table(spark, d, "edges").select("source_id", "target_id", "relation_type", "weight", "created_at", "last_reinforced_at")
     empty = edges.limit(0)
-    return G.upsert_edges(empty, edges.where(F.col("created_at") < cut())), edges.where(F.col("created_at") >= cut())
+    return G.upsert_edges(empty, edges.where(_early())), edges.where(~_early())
 
 
 def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +101,7 @@ def upsert_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def attach_anchors(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "node_anchors").select("node_id", "anchor_tag", "created_at")
-    early = F.coalesce(F.col("created_at") < cut(), F.lit(True))
-    return G.attach_anchors(a.where(early), a.where(~early), table(spark, d, "nodes"))
+    return G.attach_anchors(a.where(_early()), a.where(~_early()), table(spark, d, "nodes"))
 
 
 def record_access(spark: SparkSession, d: str) -> DataFrame:
@@ -141,12 +145,12 @@ def pending_traces(spark: SparkSession, d: str) -> DataFrame:
 
 def queue_traces(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "episodic_traces").select("id", "session_id", "task_goal", "outcome", "trace_payload", "consolidated", "created_at", "consolidated_at")
-    return G.queue_traces(t.where(F.col("created_at") < cut()), t.where(F.col("created_at") >= cut())).select("id", "session_id", "consolidated", "created_at", "outcome")
+    return G.queue_traces(t.where(_early()), t.where(~_early())).select("id", "session_id", "consolidated", "created_at", "outcome")
 
 
 def mark_consolidated(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "episodic_traces").select("id", "session_id", "consolidated", "created_at", "consolidated_at")
-    done = G.mark_consolidated(t, t.where(F.col("created_at") < cut()).select("id"), now())
+    done = G.mark_consolidated(t, t.where(_early()).select("id"), now())
     return done.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"), F.every("consolidated").alias("consolidated"))
 
 
@@ -323,14 +327,9 @@ def recall_mixed_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def recall_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     """The vectors whose id is divisible by 20 against all vectors, in blocks of one matrix product each."""
-    e = table(spark, d, "embeddings")
-    queries = e.where(F.col("vec_id") % 20 == 0).select("vec_id", "embedding").orderBy("vec_id").collect()
-    requests = [RecallRequest(mode="dense").resolved().with_vector(tuple(q["embedding"])) for q in queries]
-    ids = F.array(*[F.lit(q["vec_id"]).cast("long") for q in queries])
-    scores = R.dense_scores(e.select("vec_id", "embedding"), requests).select(F.col("vec_id"), F.posexplode("dense").alias("query_no", "cosine"))
-    scores = scores.withColumn("cosine", F.round("cosine", 6))
-    w = Window.partitionBy("query_no").orderBy(F.desc("cosine"), "vec_id")
-    return scores.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= 20).select(ids[F.col("query_no")].alias("query_id"), "vec_id", "cosine", "place")
+    e = spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    found = R.dense_top(e, e.where(F.col("id") % 20 == 0), 20)
+    return found.select("query_id", F.col("id").alias("vec_id"), "cosine", F.col("place").cast("long"))
 
 
 def secret_mask(spark: SparkSession, d: str) -> DataFrame:

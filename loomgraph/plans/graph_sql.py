@@ -59,9 +59,19 @@ def quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def toks(col: str) -> str:
+def all_toks(col: str) -> str:
+    """Index tokens with repetitions, in order."""
     stop = ", ".join(map(quoted, T.INDEX_STOP_WORDS))
-    return f"list_distinct(list_filter(list_transform(regexp_extract_all({col}, '[a-zA-Z0-9_\\-.:]{{2,}}'), lambda x: lower(trim(x, '.,:;()[]\"''_-'))), lambda x: length(x) >= 2 AND NOT list_contains([{stop}], x)))"
+    return f"list_filter(list_transform(regexp_extract_all({col}, '[a-zA-Z0-9_\\-.:]{{2,}}'), lambda x: lower(trim(x, '.,:;()[]\"''_-'))), lambda x: length(x) >= 2 AND NOT list_contains([{stop}], x))"
+
+
+def toks(col: str) -> str:
+    return f"list_distinct({all_toks(col)})"
+
+
+def in_order(column: str) -> str:
+    """The distinct elements of a list column in the order of their first occurrence."""
+    return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
 
 
 INDEX = f"""
@@ -136,7 +146,7 @@ def ranked_sql(ctes: str, source: str, k: int, extra: str = "") -> str:
 
 
 _MERGED_EDGES = f"""
-WITH e AS (SELECT source_id, target_id, CASE WHEN coalesce(relation_type, '') = '' THEN 'relates_to' ELSE relation_type END AS relation_type, CASE WHEN weight > 0 THEN weight ELSE 1.0 END AS weight, created_at, last_reinforced_at, created_at >= {_CUT} AS is_new
+WITH e AS (SELECT source_id, target_id, CASE WHEN coalesce(relation_type, '') = '' THEN 'relates_to' ELSE relation_type END AS relation_type, CASE WHEN weight > 0 THEN weight ELSE 1.0 END AS weight, created_at, last_reinforced_at, coalesce(created_at >= {_CUT}, FALSE) AS is_new
            FROM edges WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> ''),
 g AS (SELECT source_id, target_id, relation_type, arg_max(weight, (is_new, created_at, weight)) AS weight, max(created_at) AS created_at, arg_max(last_reinforced_at, (is_new, created_at, weight)) FILTER (last_reinforced_at IS NOT NULL) AS last_reinforced_at FROM e GROUP BY 1, 2, 3)
 """
@@ -153,12 +163,12 @@ def scoped_sql(scope: str, threshold: float, half_life: float, grace: float) ->
     cond = {"all": "TRUE", "unanchored": "TRUE", "session": "contains(coalesce(summary, ''), 'breewyn') OR contains(coalesce(label, ''), 'breewyn')",
             "transient": "importance_score <= 0.5 OR entity_type IN ('sensory_fact', 'telemetry', 'telemetry_chunk', 'telemetry_rule', 'episodic_event', 'noise') OR regexp_matches(lower(label), 'transient|noise|jitter')"}[scope]
     return f"""WITH {CUR},
-n AS (SELECT node_id, count(*) AS c FROM node_anchors WHERE node_id IS NOT NULL GROUP BY node_id),
-s AS (SELECT cur.*, coalesce(n.c, 0) AS anchored, {_IDLE} AS idle FROM cur LEFT JOIN n ON cur.id = n.node_id),
-d AS (SELECT *, stability_score * exp(-ln(2.0) / {half_life} * idle) AS decayed FROM s),
-m AS (SELECT id, CASE WHEN is_archived THEN 'inactive' WHEN anchored > 0 OR importance_score >= 0.8 THEN 'protected' WHEN NOT coalesce({cond}, FALSE) THEN 'out_of_scope'
-                 WHEN idle >= {grace} AND (decayed < {threshold} OR importance_score < {threshold}) THEN 'archived' ELSE 'decayed' END AS action, decayed, stability_score FROM d)
-SELECT id, action, round(CASE WHEN action IN ('archived', 'decayed') THEN decayed ELSE stability_score END, 9) AS new_stability FROM m"""
+tagged_n AS (SELECT node_id, count(*) AS c FROM node_anchors WHERE node_id IS NOT NULL GROUP BY node_id),
+idle_n AS (SELECT cur.*, coalesce(tagged_n.c, 0) AS anchored, {_IDLE} AS idle FROM cur LEFT JOIN tagged_n ON cur.id = tagged_n.node_id),
+faded_n AS (SELECT *, stability_score * exp(-ln(2.0) / {half_life} * idle) AS decayed FROM idle_n),
+marked_n AS (SELECT id, CASE WHEN is_archived THEN 'inactive' WHEN anchored > 0 OR importance_score >= 0.8 THEN 'protected' WHEN NOT coalesce({cond}, FALSE) THEN 'out_of_scope'
+                 WHEN idle >= {grace} AND (decayed < {threshold} OR importance_score < {threshold}) THEN 'archived' ELSE 'decayed' END AS action, decayed, stability_score FROM faded_n)
+SELECT id, action, round(CASE WHEN action IN ('archived', 'decayed') THEN decayed ELSE stability_score END, 9) AS new_stability FROM marked_n"""
 
 
 def importance_case(kind: str, label: str, summary: str, anchored: str) -> str:
@@ -228,7 +238,7 @@ ORACLE = {
     "anchors_by_node": f"WITH {TAGS} SELECT node_id, array_to_string(anchors, ' ') AS anchors FROM tags",
     "nodes_by_anchor": f"SELECT DISTINCT node_id FROM node_anchors WHERE {anchor('anchor_tag')} IN ('#project:griipwyn', '#pattern:breinwyn')",
     "anchor_normalize": f"SELECT DISTINCT anchor_tag, {anchor('anchor_tag')} AS normal FROM node_anchors",
-    "upsert_nodes": f"""WITH r AS (SELECT * REPLACE (CASE WHEN last_accessed_at < {_CUT} OR stability_score > 0 THEN stability_score ELSE 1.0 END AS stability_score, CASE WHEN last_accessed_at < {_CUT} OR importance_score > 0 THEN importance_score ELSE 0.5 END AS importance_score) FROM nodes WHERE id <> ''),
+    "upsert_nodes": f"""WITH r AS (SELECT * REPLACE (CASE WHEN coalesce(last_accessed_at < {_CUT}, TRUE) OR stability_score > 0 THEN stability_score ELSE 1.0 END AS stability_score, CASE WHEN coalesce(last_accessed_at < {_CUT}, TRUE) OR importance_score > 0 THEN importance_score ELSE 0.5 END AS importance_score) FROM nodes WHERE id <> ''),
         g AS (SELECT id, arg_max(label, (last_accessed_at, access_count, stability_score)) AS label, arg_max(is_archived, (last_accessed_at, access_count, stability_score)) AS is_archived, max(last_accessed_at) AS last_accessed_at, round(arg_max(stability_score, (last_accessed_at, access_count, stability_score)), 6) AS stability_score, max(importance_score) AS importance_score,
               arg_min(access_count, (last_accessed_at, access_count, stability_score)) AS access_count, min(created_at) AS created_at, arg_max(last_reinforced_at, (last_accessed_at, access_count, stability_score)) FILTER (last_reinforced_at IS NOT NULL) AS last_reinforced_at FROM r GROUP BY id) SELECT * FROM g""",
     "upsert_edges": _MERGED_EDGES + "SELECT * FROM g",
@@ -245,8 +255,8 @@ ORACLE = {
     "decay_scope_transient": scoped_sql("transient", 0.4, 3600.0 * 480, 86400.0 * 30),
     "decay_scope_session": scoped_sql("session", 0.8, 259200.0, 0.0),
     "pending_traces": "SELECT id, session_id, created_at FROM (SELECT DISTINCT id, session_id, created_at FROM episodic_traces WHERE NOT consolidated) ORDER BY created_at, id LIMIT 100",
-    "queue_traces": f"SELECT id, min(session_id) AS session_id, arg_min(consolidated, (created_at >= {_CUT}, created_at, NOT consolidated)) AS consolidated, min(created_at) AS created_at, arg_max(CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, (created_at >= {_CUT}, created_at, CASE WHEN created_at >= {_CUT} AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, task_goal)) AS outcome FROM episodic_traces WHERE id IS NOT NULL GROUP BY id",
-    "mark_consolidated": f"SELECT id, count(*) AS n_rows, bool_and(consolidated OR created_at < {_CUT}) AS consolidated FROM episodic_traces GROUP BY id",
+    "queue_traces": f"SELECT id, min(session_id) AS session_id, arg_min(consolidated, (coalesce(created_at >= {_CUT}, FALSE), created_at, NOT consolidated)) AS consolidated, min(created_at) AS created_at, arg_max(CASE WHEN coalesce(created_at >= {_CUT}, FALSE) AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, (coalesce(created_at >= {_CUT}, FALSE), created_at, CASE WHEN coalesce(created_at >= {_CUT}, FALSE) AND coalesce(outcome, '') = '' THEN 'neutral' ELSE outcome END, task_goal)) AS outcome FROM episodic_traces WHERE id IS NOT NULL GROUP BY id",
+    "mark_consolidated": f"SELECT id, count(*) AS n_rows, bool_and(consolidated OR coalesce(created_at < {_CUT}, TRUE)) AS consolidated FROM episodic_traces GROUP BY id",
     "graph_summary": "WITH c AS (SELECT (SELECT count(DISTINCT id) FROM nodes) AS v, (SELECT count(*) FROM edges) AS e) SELECT v AS total_nodes, e AS total_edges, round(2.0 * e / v, 9) AS avg_degree, round(e / (v * (v - 1.0)), 12) AS density FROM c",
     "entity_histogram": f"WITH {CUR} SELECT entity_type, count(*) AS n_nodes FROM cur GROUP BY 1",
     "consolidation_stats": f"WITH {CUR} SELECT (SELECT count(*) FROM cur WHERE NOT is_archived) AS active_nodes, (SELECT count(*) FROM cur WHERE is_archived) AS archived_nodes, round((SELECT avg(stability_score) FROM cur WHERE NOT is_archived), 9) AS avg_stability, (SELECT count(*) FROM edges) AS total_edges, round((SELECT avg(weight) FROM edges), 6) AS avg_weight, (SELECT count(*) FROM episodic_traces WHERE consolidated) AS consolidated_traces, (SELECT count(*) FROM episodic_traces WHERE NOT consolidated) AS pending_traces",

@@ -97,6 +97,14 @@ class TableStore:
         self._clean([*numbers, number])
         return {name: versions[name] for name in tables}
 
+    def size(self) -> int:
+        """Bytes of the current snapshots."""
+        total = 0
+        for name, v in self.manifest()["tables"].items():
+            fs, p = self._fs(f"{self.root}/{name}/v={v}")
+            total += fs.getContentSummary(p).getLength()
+        return total
+
     def write(self, name: str, df: DataFrame) -> int:
         """A new current snapshot of one table."""
         return self.commit({name: df})[name]
