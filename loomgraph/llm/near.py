@@ -33,8 +33,9 @@ PRIOR = 1000
 class NearSpec:
     """``threshold`` as a fraction of integers; ``groups`` * ``width`` sketch positions; ``power`` of the word weight.
 
-    ``expand``: classes of equal word sets with at most so many ids are listed in full; larger ones by links to
-    their first id. No link between different word sets depends on it.
+    ``expand``: classes of equal word sets with at most so many ids are listed in full. In larger ones each text stands by
+    its first id, to which its copies are linked, and texts are listed in full if there are at most so many of them; else
+    they are linked to the class's first id. No link between different word sets depends on it.
     """
 
     numerator: int = 7
@@ -74,10 +75,11 @@ def word_array(label: Column, summary: Column) -> Column:
 
 
 def worded(nodes: DataFrame) -> DataFrame:
-    """(id, class, words): the rows with an id and at least one word (other texts overlap with nothing), their hashed
-    words, and the hash of the word set."""
-    rows = nodes.where(F.col("id").isNotNull()).select("id", word_array(F.col("label"), F.col("summary")).alias("w"))
-    return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("class"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+    """(id, class, copy, words): the rows with an id and at least one word (other texts overlap with nothing), their
+    hashed words, the hash of the word set and that of the texts as they are."""
+    exact = F.xxhash64(F.coalesce("label", F.lit("\0")), F.coalesce("summary", F.lit("\0")))
+    rows = nodes.where(F.col("id").isNotNull()).select("id", exact.alias("copy"), word_array(F.col("label"), F.col("summary")).alias("w"))
+    return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("class"), "copy", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
 
 
 def word_classes(rows: DataFrame) -> DataFrame:
@@ -206,33 +208,42 @@ def near_classes(classes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
 
 
 def near_ids(nodes: DataFrame, spec: NearSpec = NearSpec()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links between classes, classes, membership (id, class))."""
+    """(links between classes, classes, membership (id, class, copy))."""
     with shuffles(nodes.sparkSession, nodes.count()):
         rows = stage(worded(nodes), "near-words")
         classes = stage_by(word_classes(rows), "near-classes", "class")
         links = stage(near_classes(classes, spec), "near-links")
-        members = stage(rows.groupBy("id").agg(F.min("class").alias("class")), "near-members")
+        members = stage(rows.groupBy("id").agg(F.min(F.struct("class", "copy")).alias("m")).select("id", "m.*"), "near-members")
     return links, classes, members
 
 
 def near_pairs(nodes: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """(id_a, id_b), id_a < id_b: near-duplicate ids.
 
-    Between classes of at most ``expand`` ids, all pairs of ids come out; a larger class of copies stands by its
-    first id, to which its other ids are linked.
+    All pairs of ids come out, but for classes of more than ``expand`` ids (see :class:`NearSpec`): there the first id
+    of each text stands for its copies, which are linked to it.
     """
     links, classes, members = near_ids(nodes, spec)
     linked = links.select(F.col("class_a").alias("class")).union(links.select("class_b")).distinct()
-    several = members.groupBy("class").agg(F.count(F.lit(1)).alias("ids"), F.min("id").alias("rep")).where(F.col("ids") > 1)
-    copies = stage(join_sized(members, several, "class", "ids", members.count()).select("class", "id", "rep", "ids"), "near-copies")
-    single = classes.select("class", F.col("rep").alias("id")).join(linked, "class", "left_semi").join(copies, "class", "left_anti")
-    shown = single.unionByName(copies.where((F.col("ids") <= spec.expand) | (F.col("id") == F.col("rep"))).select("class", "id"))
+    total = members.count()
+    texts = members.groupBy("class", "copy").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    several = texts.groupBy("class").agg(F.sum("n").alias("ids"), F.min("first").alias("rep"), F.count(F.lit(1)).alias("texts")).where(F.col("ids") > 1)
+    copies = stage(join_sized(members, several, "class", "ids", total), "near-copies")
+    large = stage(texts.join(several.where(F.col("ids") > spec.expand), "class"), "near-texts")
+    few = F.col("texts") <= spec.expand
+    single = classes.select("class", F.col("rep").alias("id")).join(linked, "class", "left_semi").join(copies.select("class").distinct(), "class", "left_anti")
+    small = copies.where(F.col("ids") <= spec.expand).select("class", "id")
+    listed = large.where(few).select("class", F.col("first").alias("id"))
+    shown = single.unionByName(small).unionByName(listed).unionByName(large.where(~few).select("class", F.col("rep").alias("id")).distinct())
     a, b = shown.select(F.col("class").alias("class_a"), F.col("id").alias("x")), shown.select(F.col("class").alias("class_b"), F.col("id").alias("y"))
     between = links.join(a, "class_a").join(b, "class_b").select("x", "y")
-    small = copies.where(F.col("ids") <= spec.expand)
-    within = small.select("class", F.col("id").alias("x")).join(small.select("class", F.col("id").alias("y")), "class").where(F.col("x") < F.col("y")).select("x", "y")
-    star = copies.where((F.col("ids") > spec.expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("id").alias("y"))
-    pairs = between.unionByName(within).unionByName(star)
+    full = small.unionByName(listed)  # at most ``expand`` of each class
+    within = full.select("class", F.col("id").alias("x")).join(full.select("class", F.col("id").alias("y")), "class").where(F.col("x") < F.col("y")).select("x", "y")
+    mark = F.xxhash64("class", "copy").alias("mark")
+    firsts = large.select(mark, "first", "n")
+    of_text = join_sized(copies.where(F.col("ids") > spec.expand).select("id", mark), firsts, "mark", "n", total).select(F.col("first").alias("x"), F.col("id").alias("y"))
+    of_class = large.where(~few).select(F.col("rep").alias("x"), F.col("first").alias("y"))
+    pairs = between.unionByName(within).unionByName(of_text).unionByName(of_class).where(F.col("x") != F.col("y"))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

@@ -117,6 +117,18 @@ def test_large_class_of_copies_is_linked_to_its_first_id(spark):
     assert groups["z"] == ("k00", "z", 1) and groups["k07"] == ("k00", "k00", 1)
 
 
+def test_different_texts_of_one_word_set_are_all_paired(spark):
+    """Six texts of the same words, one of them in 20 copies: the texts are paired in full, copies go to their first."""
+    texts = ["alpha beta gamma", "beta alpha gamma", "Gamma beta alpha", "gamma, alpha beta", "ALPHA beta gamma", "beta gamma alpha"]
+    rows = [node(f"t{i}", t) for i, t in enumerate(texts)] + [node(f"u{i:02}", texts[0]) for i in range(20)] + [node("w", "alpha beta gamma delta")]
+    df = spark.createDataFrame(rows, NODES)
+    firsts = [f"t{i}" for i in range(6)]
+    star, other = {("t0", f"u{i:02}") for i in range(20)}, {(t, "w") for t in firsts}
+    assert {tuple(r) for r in near.near_pairs(df, near.NearSpec(expand=8)).collect()} == set(itertools.combinations(firsts, 2)) | star | other
+    assert {tuple(r) for r in near.near_pairs(df, near.NearSpec(expand=4)).collect()} == {("t0", t) for t in firsts[1:]} | star | {("t0", "w")}
+    assert {tuple(r) for r in near.near_pairs(df, near.NearSpec()).collect()} == brute_pairs(rows)
+
+
 def test_no_texts(spark):
     assert near.near_pairs(spark.createDataFrame([], NODES)).count() == 0
     assert near.near_groups(spark.createDataFrame([node("a")], NODES)).count() == 0
