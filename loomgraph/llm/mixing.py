@@ -130,9 +130,7 @@ DRAW_SCHEMA = "source string, shard long, n long, piece long, first long"
 def draw_counts(plan: DataFrame, spec: MixSpec) -> DataFrame:
     """(source, shard, n, piece, first): blocks that each shard draws from each source, and the source's draws before them."""
     spark = plan.sparkSession
-    listed = plan.select("source", "share", "goal").limit(spec.most_sources + 1).collect()
-    if len(listed) > spec.most_sources:
-        raise ValueError(f"more than {spec.most_sources} target sources")
+    listed = plan.select("source", "share", "goal").collect()  # at most ``most_sources``
     names = sorted(r["source"] for r in listed)
     by = {r["source"]: r for r in listed}
     shares = np.array([by[s]["share"] for s in names], np.float64)
@@ -183,6 +181,8 @@ def mix(docs: DataFrame, targets: DataFrame, spec: MixSpec = MixSpec()) -> tuple
     """
     counts = stage(token_counts(docs, spec), "tokens")
     plan = stage(mix_plan(counts, targets, spec), "plan")
+    if plan.limit(spec.most_sources + 1).count() > spec.most_sources:
+        raise ValueError(f"more than {spec.most_sources} target sources")
     pieces = stage(block_pieces(counts, plan, spec), "pieces")
     drawn = stage(draw_counts(plan, spec), "draws")
     slots = stage(draw_slots(drawn, plan, spec), "slots")

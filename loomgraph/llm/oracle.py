@@ -49,6 +49,14 @@ ORACLE = {
 grams AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12),
 found AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM found JOIN grams USING (g)""",
+    "p7_runs": f"""WITH i AS (SELECT item_id, {_PLAIN.format('text')} AS w FROM eval_items), d AS (SELECT doc_id, {_PLAIN.format('text')} AS w FROM documents),
+grams AS (SELECT DISTINCT item_id, unnest(range(1, len(w) - 10)) AS b, array_to_string(w[b:b + 11], ' ') AS g FROM i WHERE len(w) >= 12),
+found AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS a, array_to_string(w[a:a + 11], ' ') AS g FROM d WHERE len(w) >= 12),
+met AS (SELECT DISTINCT doc_id, item_id, a, a - b AS shift FROM found JOIN grams USING (g)),
+runs AS (SELECT doc_id, item_id, shift, a - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY a) AS island FROM met),
+long AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM runs GROUP BY doc_id, item_id, shift, island)
+SELECT doc_id, item_id, max(n)::INTEGER AS exact_run FROM long GROUP BY 1, 2""",
+    "p9_checks": "SELECT lang, TRUE AS shares_add_up, TRUE AS confidences_fit, TRUE AS labels_agree FROM (VALUES ('en'), ('de'), ('fr'), ('es'), ('pt'), ('nl')) AS v(lang)",
     "p4_found": _CANDIDATES + f"SELECT query_id, node_id FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.query_id IS NOT DISTINCT FROM x.query_id AND y.node_id IS DISTINCT FROM x.node_id AND {_wins('x', 'y')} < 3)",
     "p4_ranking": _RANKS + "SELECT query_id, node_id, round(rho, 9) AS rho, round(mean_rank, 9) AS mean_rank, row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, node_id NULLS FIRST) AS place FROM q",
     "p3_found": _VECTORS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE place <= 10",

@@ -53,6 +53,12 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return found.where(F.col("overlap_words") >= 12)
 
 
+def p7_runs(spark: SparkSession, d: str) -> DataFrame:
+    """How many words of an item run unchanged through a document, where there are at least twelve."""
+    found = leakage.overlaps(spread(table(spark, d, "documents")), table(spark, d, "eval_items"), exact=True)
+    return found.where(F.col("exact_run") >= leakage.LeakSpec.run).select("doc_id", "item_id", "exact_run")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     _, report = mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"))
     return mixing.short_sources(report).select("source")
@@ -97,4 +103,16 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(spread(table(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p8_found, p8_selection, p8_shares, p8_checks, p9_found, p9_documents, p9_segments)}
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the languages found, for each language that labels name: its share of a text's words lies in
+    (0, 1] and all shares of a text make 1, confidences are probabilities, and of the texts in one language that are so
+    labelled more than four fifths are found to be in it, although some labels are wrong."""
+    found = stage(langid.document_languages(spread(table(spark, d, "documents"))), "languages")
+    whole = found.groupBy("doc_id").agg(F.abs(F.sum("share") - 1.0).alias("off"))
+    rows = found.join(whole, "doc_id").where(F.col("label").isNotNull())
+    agree = F.avg(F.when((F.col("share") > 0.8), (F.col("lang") == F.col("label")).cast("double"))) >= 0.85
+    fine = F.every((F.col("share") > 0) & (F.col("share") <= 1) & (F.col("off") < 1e-9))
+    return rows.groupBy(F.col("label").alias("lang")).agg(fine.alias("shares_add_up"), F.every(F.col("confidence").between(0, 1)).alias("confidences_fit"), agree.alias("labels_agree"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_nearest, p3_top10, p4_found, p4_ranking, p6_found, p6_groups, p7_found, p7_overlaps, p7_runs, p8_found, p8_selection, p8_shares, p8_checks, p9_found, p9_documents, p9_segments, p9_checks)}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.session import checkpoint_dir
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_NAMED: list[tuple[SparkSession, str]] = []
 
 
 @contextmanager
@@ -46,11 +47,17 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}"
     df.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(label)
     _WRITTEN.append((spark, path))
+    _NAMED.append((spark, label))
     return spark.table(label)
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, label in _NAMED:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {label}")
+        except Exception:  # the session may be gone
+            break
     for spark, path in _WRITTEN:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -54,6 +54,21 @@ def test_crowded_buckets_of_vectors_lose_no_pairs(spark, monkeypatch, block):
     assert len(whole) > 500 and crowded == whole
 
 
+def test_top_k_of_a_query_set_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vecs = {f"n{i:03}": v for i, v in enumerate([*rng.standard_normal((90, 8)), *[np.ones(8)] * 15, *rng.standard_normal((20, 5))])}
+    df = spark.createDataFrame([node(i, vec=[float(x) for x in v]) for i, v in vecs.items()], NODES)
+    rows = vectors.usable_vectors(df, "id", "embedding").repartition(3)
+    mine = [i for n, i in enumerate(vecs) if n % 7 == 0]
+    got = {}
+    for r in vectors.top_k_blocks(rows, rows.where(rows.id.isin(mine)), 10, block=6).collect():
+        got.setdefault(r["query"], []).append((r.place, r.id))
+    for q in mine:
+        v = vecs[q]
+        best = sorted((-round(float(np.dot(v.astype(np.float32), w.astype(np.float32)) / np.linalg.norm(v) / np.linalg.norm(w)), 5), i) for i, w in vecs.items() if i != q and len(w) == len(v))[:10]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in best]
+
+
 def test_no_vectors(spark):
     assert vectors.similar_pairs(spark.createDataFrame([], NODES)).count() == 0
     assert vectors.similar_pairs(spark.createDataFrame([node("a"), node("b", vec=[1.0])], NODES)).count() == 0
