@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hmac
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,13 +50,16 @@ def mask(text: Column, secret: Column, include: bool = False) -> Column:
 
 
 #: Paths that need no key.
-PUBLIC_PATHS = ("/health", "/api/v1/health")
+PUBLIC_PATHS = ("/health", "/api/v1/memory/health", "/api/v1/consolidation/health")
 
 
-def authorised(path: str, headers: Mapping[str, str], key: str) -> bool:
-    """Whether a request may pass: no key is set, the path is public, or ``X-API-Key`` or a bearer token is the key."""
-    if not key or path in PUBLIC_PATHS:
+def authorised(path: str, headers: Mapping[str, str], key: str, public: Sequence[str] = PUBLIC_PATHS) -> bool:
+    """Whether a request may pass: no key is set, the path is public (a slash at its end doesn't matter), or the key
+    comes in ``X-API-Key`` or, where that is missing, as a bearer token."""
+    key = key.strip()
+    if not key or path.rstrip("/") in {p.strip().rstrip("/") for p in public}:
         return True
     low = {k.lower(): v for k, v in headers.items()}
-    given = low.get("x-api-key") or low.get("authorization", "").removeprefix("Bearer ")
-    return hmac.compare_digest(given.encode(), key.encode())
+    kind, _, bearer = low.get("authorization", "").partition(" ")
+    given = (low.get("x-api-key") or (bearer if kind.lower() == "bearer" else "")).strip()
+    return bool(given) and hmac.compare_digest(given.encode(), key.encode())

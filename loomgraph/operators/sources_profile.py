@@ -9,14 +9,14 @@ from loomgraph.functions.ids import clean_id
 from loomgraph.operators.skew import salted, two_stage
 
 
-def source_stats(edges: DataFrame, salts: int = 64) -> DataFrame:
+def source_stats(edges: DataFrame, salts: int = 64, total: int | None = None) -> DataFrame:
     """(source_id, n_edges, total_weight, max_weight, n_neighbours) for every non-blank source.
 
     Ids are trimmed and lower-cased. Null and NaN weights count as no weight: they add 0 to the total and are
-    ignored by the maximum (null if a source has none). Blank targets are no neighbours. Repeated edges count as
+    ignored by the maximum (null if a source has none). ``total``: the number of rows, where it is known. Blank targets are no neighbours. Repeated edges count as
     often as they come in ``n_edges`` and ``total_weight`` and once in ``n_neighbours``. An empty table gives no rows.
     """
-    total = edges.count()
+    total = edges.count() if total is None else total
     w = F.col("weight").cast("double")
     clean = edges.select(clean_id(F.col("source_id")).alias("source_id"), clean_id(F.col("target_id")).alias("target_id"), F.when(~F.isnan(w), w).alias("weight")).where(F.col("source_id") != "")
     spread, salt = salted(clean, "source_id", F.col("target_id"), total, salts=salts)
@@ -47,4 +47,4 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def dominant_sources(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """(source_id): non-blank sources with at least ``share`` of all rows of the table (blank ones included in all)."""
     total = edges.count()
-    return source_stats(edges).where(F.col("n_edges") >= F.lit(total * share)).select("source_id")
+    return source_stats(edges, total=total).where(F.col("n_edges") >= F.lit(total * share)).select("source_id")

@@ -92,14 +92,15 @@ def deadline(spark: SparkSession, seconds: float | None) -> Iterator[None]:
     sc, group = spark.sparkContext, f"deadline-{uuid.uuid4().hex}"
     timer = threading.Timer(seconds, sc.cancelJobGroup, (group,))
     timer.daemon = True
+    before = {key: sc.getLocalProperty(key) for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
     sc.setJobGroup(group, f"at most {seconds} s", interruptOnCancel=True)
     timer.start()
     try:
         yield
     finally:
         timer.cancel()
-        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
-            sc.setLocalProperty(key, None)
+        for key, value in before.items():  # a stream has a group of its own
+            sc.setLocalProperty(key, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

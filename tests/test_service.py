@@ -39,3 +39,22 @@ def test_life_of_a_graph(spark, tmp_path):
     stats = e.consolidation_stats().first()
     assert stats.consolidated_traces == 3 and stats.archived_nodes == counts.get("archived", 0)
     assert set(e.store.read("nodes").columns) == {c.split()[0] for c in SCHEMAS["nodes"].split(", ")}
+
+
+def test_recall_sees_what_came_since_the_last_call(spark, tmp_path):
+    e = Engine(TableStore(spark, str(tmp_path)), embedder=lambda: HashEmbedder(16))
+    rows = lambda *labels: spark.createDataFrame([(x, x) for x in labels], "id string, label string")
+    e.insert(rows("ring buffer", "write path"), now=NOW)
+    ask = [RecallRequest(query="retry budget")]
+    assert {r.id for r in e.recall(ask, NOW).collect()} == {"ring buffer", "write path"}
+    version = e.store.version("index")
+    assert e.recall(ask, NOW).count() == 2 and e.store.version("index") == version
+    e.insert(rows("retry budget"), now=NOW)
+    assert e.recall(ask, NOW).orderBy("place").first().id == "retry budget" and e.store.version("index") == version + 1
+
+
+def test_keys_of_requests():
+    from loomgraph.functions.secure import authorised
+
+    assert authorised("/x", {}, "") and authorised("/health", {}, "k") and not authorised("/x", {}, "k")
+    assert authorised("/x", {"x-api-key": "k"}, "k") and authorised("/x", {"Authorization": "Bearer k"}, "k") and not authorised("/x", {"X-API-Key": "j"}, "k")
