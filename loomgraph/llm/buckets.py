@@ -193,7 +193,7 @@ def salted_parts(doc: np.ndarray, key: np.ndarray, part: int, crowded: np.ndarra
 
 def bucket_pass(keys: DataFrame, keep: Keep, hot: int | None) -> DataFrame:
     """(a, b, nulls) pairs and, for crowded buckets, (document, null, key, sig, sig2, size) rows."""
-    rows = keys.select("doc", "part", "key", "sig", "sig2", "size").repartition("key", "part").sortWithinPartitions("key", "part")
+    rows = keys.select("doc", "part", "key", "sig", "sig2", "size").repartition("key", "part").sortWithinPartitions("key")
     return rows.mapInArrow(lambda batches: _runs(batches, keep, hot), PAIR_SCHEMA)
 
 
