@@ -69,17 +69,18 @@ def hit(width: int, agree: float) -> float:
 
 
 def word_array(label: Column, summary: Column) -> Column:
-    """Distinct words: runs of letters and digits of both texts, lower-cased (null as empty), in sorted order."""
+    """Hashes, in order, of the distinct words: runs of letters and digits of both texts, lower-cased (null as empty)."""
     text = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), F.coalesce(summary, F.lit(""))))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
 
 
 def worded(nodes: DataFrame) -> DataFrame:
     """(id, class, copy, words): the rows with an id and at least one word (other texts overlap with nothing), their
     hashed words, the hash of the word set and that of the texts as they are."""
     exact = F.xxhash64(F.coalesce("label", F.lit("\0")), F.coalesce("summary", F.lit("\0")))
-    rows = nodes.where(F.col("id").isNotNull()).select("id", exact.alias("copy"), word_array(F.col("label"), F.col("summary")).alias("w"))
-    return rows.where(F.size("w") > 0).select("id", F.xxhash64("w").alias("class"), "copy", F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
+    rows = nodes.where(F.col("id").isNotNull()).select("id", exact.alias("copy"), word_array(F.col("label"), F.col("summary")).alias("words"))
+    return rows.where(F.size("words") > 0).select("id", F.xxhash64("words").alias("class"), "copy", "words")
 
 
 def word_classes(rows: DataFrame) -> DataFrame:
