@@ -51,11 +51,16 @@ def heavy_queries(rows: DataFrame, spec: RankSpec) -> list[tuple[int | None, int
     return [(r["query_id"], r["n"]) for r in per.where(F.col("n") > least).collect()]
 
 
-def tail(ranks: list[Column]) -> Column:
-    """Corrected smallest beta order-statistic probability of the ranks."""
-    m = len(ranks)
-    ordered = F.array_sort(F.array(*ranks))
-    probability = [sum((math.comb(m, j) * F.pow(r, F.lit(j)) * F.pow(1.0 - r, F.lit(m - j)) for j in range(k, m + 1)), F.lit(0.0)) for k, r in ((k, ordered[k - 1]) for k in range(1, m + 1))]
+def _times(factor: Column, n: int) -> list[Column]:
+    return [factor] * n
+
+
+def tail(ordered: list[Column]) -> Column:
+    """Corrected smallest beta order-statistic probability of the ranks, which ascend."""
+    m = len(ordered)
+    probability = [
+        functools.reduce(Column.__add__, [functools.reduce(Column.__mul__, [F.lit(float(math.comb(m, j))), *_times(r, j), *_times(1.0 - r, m - j)]) for j in range(k, m + 1)]) for k, r in enumerate(ordered, 1)
+    ]
     return F.least(F.lit(1.0), F.round(F.least(*probability) * m, 12))
 
 
@@ -109,7 +114,9 @@ def aggregate_ranks(scored: DataFrame, spec: RankSpec = RankSpec(), heavy: list
     else:
         ranked = _positions(rows, spec)
     ranks = [F.col(f"at_least_{s}") / F.col("n") for s in spec.scores]
-    ranked = ranked.withColumn("rho", tail(ranks)).withColumn("mean_rank", F.round(sum(ranks, F.lit(0.0)) / len(ranks), 12))
+    # Sorted once a row, not once for each use.
+    ranked = ranked.withColumn("mean_rank", F.round(sum(ranks, F.lit(0.0)) / len(ranks), 12)).withColumn("ordered", F.sort_array(F.array(*ranks)))
+    ranked = ranked.withColumn("rho", tail([F.col("ordered")[i] for i in range(len(ranks))])).drop("ordered")
     return _place(ranked, heavy, spec) if placed else ranked
 
 
@@ -192,13 +199,17 @@ def dominant(scored: DataFrame, least: int = 3, spec: RankSpec = RankSpec()) ->
     rows = candidates(scored, spec)
     heavy = heavy_queries(rows, spec)
     ranked = aggregate_ranks(scored, spec, heavy, placed=False)
-    bound = F.lit(1.0)
-    for n in SIZES:
-        bound = F.when(F.col("n") >= n, rank_bound(n, m, least)).otherwise(bound)
-    possible = ranked.where(F.col("rho") <= bound).select("query_id", "node_id", *spec.scores)
     schema = "query_id long, node_id string, " + ", ".join(f"{s} double" for s in spec.scores)
     names = ["query_id", "node_id", *spec.scores]
 
+    bounds = np.array([rank_bound(n, m, least) for n in SIZES])
+
+    def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Here and not as a filter: the planner would repeat the whole formula of rho in it.
+        for b in batches:
+            rho, n = b.column("rho").to_numpy(), b.column("n").to_numpy()
+            yield b.filter(pa.array(rho <= bounds[np.searchsorted(SIZES, n, side="right") - 1])).select(names)
+
     def knock_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # at most one row for each query met so far
         for b in batches:
@@ -213,7 +224,7 @@ def dominant(scored: DataFrame, least: int = 3, spec: RankSpec = RankSpec()) ->
         if held is not None:
             yield from held.select(names).to_batches()
 
-    parts = possible.mapInArrow(knock_out, schema)
+    parts = ranked.select("rho", "n", *names).mapInArrow(lambda batches: knock_out(possible(batches)), schema)
     one = parts.repartition("query_id").mapInArrow(knock_out, schema)
     renamed = one.select(F.col("query_id").alias("q"), F.col("node_id").alias("x"), *[F.col(s).alias(f"x_{s}") for s in spec.scores])
     wins = sum((((F.col(f"x_{s}").isNotNull()) & (F.col(s).isNull() | (F.col(f"x_{s}") > F.col(s)))).cast("int") for s in spec.scores), F.lit(0))
