@@ -68,7 +68,7 @@ def trace_tables(traces: DataFrame) -> dict[str, DataFrame]:
         return flat.withColumn("o1", order).join(slim, "trace_id")
 
     payload = rows.where((F.col("table_name") == "payload") & (F.col("guards") == 1)).select(F.col("doc_id").alias("trace_id"), F.col("parent_row").alias("row_id"), F.concat_ws(" ", F.col("columns")["key"], F.coalesce(F.col("columns")["value"], F.lit(""))).alias("kv"))
-    payload = payload.groupBy("trace_id", "row_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("kv"))).alias("payload_text"))
+    payload = payload.groupBy("trace_id", "row_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("kv"))).alias("payload_text"))
     steps = child("trajectory", {"step_index": "stepindex", "thought": "thought", "action": "action", "observation": "observation", "secret": "issecret"})
     chunks = child("sensorycontext", {"text": "text", "salience": "salience", "secret": "issecret"})
     actions = child("candidateactions", {"aid": "id", "type": "type", "committed": "committed", "secret": "issecret"}).join(payload, ["trace_id", "row_id"], "left")

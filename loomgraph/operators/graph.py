@@ -34,7 +34,7 @@ def current_nodes(nodes: DataFrame) -> DataFrame:
 def anchors_by_node(anchors: DataFrame) -> DataFrame:
     """(node_id, anchors): the distinct normalised tags of each node in ascending order."""
     clean = anchors.select("node_id", normal_anchor(F.col("anchor_tag")).alias("tag")).where((F.col("tag") != "") & F.col("node_id").isNotNull())
-    return clean.groupBy("node_id").agg(F.array_sort(F.collect_set("tag")).alias("anchors"))
+    return clean.groupBy("node_id").agg(F.sort_array(F.collect_set("tag")).alias("anchors"))
 
 
 def nodes_for_anchors(anchors: DataFrame, tags: list[str]) -> DataFrame:
