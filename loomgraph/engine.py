@@ -35,24 +35,28 @@ class Engine:
         self.listeners = self.cycle.listeners
 
     def insert(self, nodes: DataFrame | None = None, edges: DataFrame | None = None, anchors: DataFrame | None = None, now: datetime | None = None) -> dict[str, int]:
-        """Nodes (with vectors filled in from their texts), edges and anchors into the graph; counts of rows taken."""
+        """Nodes (with vectors filled in from their texts), edges and anchors into the graph, in one commit; counts of rows taken."""
         at = F.lit(now or datetime.now(timezone.utc)).cast("timestamp")
-        counts = {}
+        counts: dict[str, int] = {}
+        tables: dict[str, DataFrame] = {}
+        known = self.store.read("nodes")
         if nodes is not None:
             rows = canonical(nodes, "nodes").withColumn("created_at", F.coalesce("created_at", at)).withColumn("last_accessed_at", F.coalesce("last_accessed_at", at))
             filled = with_embeddings(rows.withColumn("_text", F.concat_ws(" ", "label", "summary")), "_text", "embedding", self.embedder).drop("_text")
             if self.key:
                 filled = filled.withColumn("summary", F.when(F.col("is_secret"), secure.encrypt(F.col("summary"), self.key)).otherwise(F.col("summary")))
-            self.store.write("nodes", G.upsert_nodes(self.store.read("nodes"), filled))
+            known = tables["nodes"] = cut(G.upsert_nodes(known, filled), "nodes")
             counts["nodes"] = rows.where(F.coalesce("id", F.lit("")) != "").count()
         if edges is not None:
             rows = canonical(edges, "edges").withColumn("created_at", F.coalesce("created_at", at))
-            self.store.write("edges", G.upsert_edges(self.store.read("edges"), rows))
+            tables["edges"] = G.upsert_edges(self.store.read("edges"), rows)
             counts["edges"] = G.clean_edges(rows).count()
         if anchors is not None:
             rows = canonical(anchors, "node_anchors").withColumn("created_at", F.coalesce("created_at", at))
-            self.store.write("node_anchors", G.attach_anchors(self.store.read("node_anchors"), rows, self.store.read("nodes")))
+            tables["node_anchors"] = G.attach_anchors(self.store.read("node_anchors"), rows, known)
             counts["anchors"] = rows.count()
+        if tables:
+            self.store.commit(tables)
         return counts
 
     def _index(self) -> DataFrame | None:
