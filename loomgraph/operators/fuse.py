@@ -8,7 +8,8 @@ aggregation leaves of it.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,14 +20,27 @@ from loomgraph.operators.graph import EDGE_KEY, NODE_COLUMNS, best_match, boost_
 from loomgraph.session import cut
 
 
-@dataclass
 class Fused:
-    nodes: DataFrame
-    edges: DataFrame
-    canonical: DataFrame  # trace_id, id, canonical_id
-    anchors: DataFrame  # node_id, anchor_tag, created_at: each trace's tags on all nodes that it names
-    created: DataFrame  # id of new nodes
-    updated: DataFrame  # id of boosted stored nodes
+    """What fusion leaves. The mapping of ids, and the edges and anchors that need it, are made when they are asked for."""
+
+    def __init__(self, nodes: DataFrame, created: DataFrame, updated: DataFrame, canonical: DataFrame, edges: Callable[[DataFrame], DataFrame], anchors: Callable[[DataFrame], DataFrame]) -> None:
+        self.nodes = nodes
+        self.created, self.updated = created, updated  # id of new nodes, of boosted stored nodes
+        self._canonical, self._edges, self._anchors = canonical, edges, anchors
+
+    @functools.cached_property
+    def canonical(self) -> DataFrame:
+        """(trace_id, id, canonical_id)"""
+        return cut(self._canonical, "canonical")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges(self.canonical)
+
+    @property
+    def anchors(self) -> DataFrame:
+        """(node_id, anchor_tag, created_at): each trace's tags on all nodes that it names"""
+        return self._anchors(self.canonical)
 
 
 def _key(df: DataFrame) -> DataFrame:
@@ -78,13 +92,20 @@ def fuse(nodes: DataFrame, edges: DataFrame, found: Extraction, cfg: FusionConfi
         F.coalesce("old_created", "created_at").alias("created_at"), F.coalesce("old_count", "access_count").alias("access_count"), F.greatest("importance_score", "old_importance").alias("importance_score"), F.coalesce("embedding", "old_vector").alias("embedding"),
     )
     all_nodes = boosted.join(one.select("id"), "id", "left_anti").select(NODE_COLUMNS).unionByName(merged.select(NODE_COLUMNS))
-    canonical = e.select("trace_id", "id", *keys).distinct().join(matched.select(*keys, F.coalesce("match_id", "c.first.id").alias("canonical_id")), keys)
-    canonical = cut(canonical.groupBy("trace_id", "id").agg(F.min("canonical_id").alias("canonical_id")))
-    salience = e.where(F.col("section") == 0).groupBy("trace_id").agg(F.max("salience").alias("trace_salience"))
-    r = found.relations.join(salience, "trace_id")
-    for side in ("source_id", "target_id"):
-        names = canonical.select("trace_id", F.col("id").alias(side), F.col("canonical_id").alias(f"c_{side}"))
-        r = r.join(names, ["trace_id", side], "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
-    deltas = r.where(F.col("source_id") != F.col("target_id")).select(*EDGE_KEY, (cfg.rate * F.col("weight") * F.col("trace_salience")).alias("delta"), "at")
-    tagged = found.anchors.join(canonical.select("trace_id", F.col("canonical_id").alias("node_id")).distinct(), "trace_id").join(e.where(F.col("section") == 0).select("trace_id", F.col("at").alias("created_at")), "trace_id")
-    return Fused(all_nodes, reinforce_edges(edges, deltas, cfg.max_weight), canonical, tagged.groupBy("node_id", "anchor_tag").agg(F.min("created_at").alias("created_at")), one.select("id"), stored.select(F.col("match_id").alias("id")).distinct())
+    mapping = e.select("trace_id", "id", *keys).distinct().join(matched.select(*keys, F.coalesce("match_id", "c.first.id").alias("canonical_id")), keys)
+    mapping = mapping.groupBy("trace_id", "id").agg(F.min("canonical_id").alias("canonical_id"))
+    goals = e.where(F.col("section") == 0)
+
+    def new_edges(canonical: DataFrame) -> DataFrame:
+        r = found.relations.join(goals.groupBy("trace_id").agg(F.max("salience").alias("trace_salience")), "trace_id")
+        for side in ("source_id", "target_id"):
+            names = canonical.select("trace_id", F.col("id").alias(side), F.col("canonical_id").alias(f"c_{side}"))
+            r = r.join(names, ["trace_id", side], "left").withColumn(side, F.coalesce(f"c_{side}", side)).drop(f"c_{side}")
+        deltas = r.where(F.col("source_id") != F.col("target_id")).select(*EDGE_KEY, (cfg.rate * F.col("weight") * F.col("trace_salience")).alias("delta"), "at")
+        return reinforce_edges(edges, deltas, cfg.max_weight)
+
+    def tagged(canonical: DataFrame) -> DataFrame:
+        named = found.anchors.join(canonical.select("trace_id", F.col("canonical_id").alias("node_id")).distinct(), "trace_id")
+        return named.join(goals.select("trace_id", F.col("at").alias("created_at")), "trace_id").groupBy("node_id", "anchor_tag").agg(F.min("created_at").alias("created_at"))
+
+    return Fused(all_nodes, one.select("id"), stored.select(F.col("match_id").alias("id")).distinct(), mapping, new_edges, tagged)
