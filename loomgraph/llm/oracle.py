@@ -61,6 +61,13 @@ SELECT doc_id, item_id, max(n)::INTEGER AS exact_run FROM long GROUP BY 1, 2""",
     "p4_ranking": _RANKS + "SELECT query_id, node_id, round(rho, 9) AS rho, round(mean_rank, 9) AS mean_rank, row_number() OVER (PARTITION BY query_id ORDER BY rho, mean_rank, node_id NULLS FIRST) AS place FROM q",
     "p3_found": _VECTORS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM ranked WHERE place <= 10",
     "p3_nearest": _VECTORS + "SELECT id, other, round(cosine, 5) AS cosine, place::INTEGER AS place FROM ranked WHERE place <= 10",
+    "p3_neighbours": """
+WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM nodes WHERE embedding IS NOT NULL AND id IS NOT NULL GROUP BY id),
+u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(e) > 0 AND list_dot_product(e, e) > 0),
+s AS (SELECT a.id, b.id AS other, CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) END AS c
+      FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, other) AS place FROM s)
+SELECT id, other, round(c, 6) AS cosine, place::INTEGER AS place FROM r WHERE place <= 10""",
     # Sizes in characters stand for tokens: no source is near enough to its limit for the unit to matter.
     "p8_found": """
 WITH s AS (SELECT lower(trim(coalesce(source, ''))) AS source, sum(length(text)) AS size FROM documents GROUP BY 1),

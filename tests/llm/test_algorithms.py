@@ -43,6 +43,24 @@ def test_many_copies_answer_with_their_first_ids(spark):
     assert [r.other for r in places] == [f"c{i:03}" for i in range(11) if i != 5] and [r.place for r in places] == list(range(1, 11))
 
 
+@pytest.mark.parametrize(("block", "stream"), [(8192, 1 << 20), (40, 70)])
+def test_every_id_has_its_ten_nearest_however_far(spark, monkeypatch, block, stream):
+    monkeypatch.setattr(vectors, "BLOCK", block, raising=False)
+    monkeypatch.setattr(vectors, "STREAM", stream, raising=False)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((150, 16)).astype(np.float32)
+    vecs = [*base, *base[:20], *2 * base[:20], *np.eye(16)[rng.integers(0, 16, 40)], *-np.eye(16), *rng.standard_normal((12, 3)), *rng.standard_normal((30, 1)), *rng.standard_normal((4, 5))]
+    rows = [node(f"n{i:03}", vec=[float(np.float32(x)) for x in v]) for i, v in zip(rng.permutation(len(vecs)), vecs)]
+    live = {r[0]: np.array(r[3], np.float32).astype(float) for r in rows}
+    want = set()
+    for i, v in live.items():
+        near = sorted((-round(float(v @ w / math.sqrt((v @ v) * (w @ w))), 12), j) for j, w in live.items() if j != i and len(w) == len(v))
+        want |= {(i, j, place + 1) for place, (_, j) in enumerate(near[:10])}
+    rows += rows[:9] + [node("zero", vec=[0.0] * 16), node("none"), node("hole", vec=[None] * 16), node(None, vec=[1.0] * 16)]
+    got = [(r.id, r.other, r.place) for r in vectors.nearest(spark.createDataFrame(rows, NODES).repartition(3)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 @pytest.mark.parametrize("block", [16_384, 60])
 def test_crowded_buckets_of_vectors_lose_no_pairs(spark, monkeypatch, block):
     """Where a bucket is crowded, one agreeing substring is still enough."""
