@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import buckets, near, ranking, vectors
@@ -61,6 +62,47 @@ def test_every_id_has_its_ten_nearest_however_far(spark, monkeypatch, block, str
     assert len(got) == len(want) and set(got) == want
 
 
+def test_blocks_of_vectors_are_full(spark, monkeypatch):
+    """All vectors are streamed past each block, so there should be few, whatever the partitions."""
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    pack, sizes = vectors.vector_blocks, []
+
+    def spy(classes):
+        blocks = pack(classes)
+        sizes.extend(len(r.ids) // 8 for r in blocks.select("ids").collect())
+        return blocks
+
+    monkeypatch.setattr(vectors, "vector_blocks", spy)
+    rows = [node(f"n{i:03}", vec=[float(x) for x in v]) for i, v in enumerate(np.random.default_rng(8).standard_normal((500, 4)))]
+    name, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(name, "false")
+    try:
+        assert vectors.nearest(spark.createDataFrame(rows, NODES)).count() == 5000
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(sizes) == [20] + [40] * 12
+
+
+def test_few_cosines_are_computed_again(monkeypatch):
+    """Of a stream of 16,000 vectors, each of a block looks at few more than its ten best so far, exactly."""
+    rng = np.random.default_rng(2)
+    vecs, ids = rng.standard_normal((16_000, 16)).astype(np.float32), np.arange(16_000)
+    einsum, again = np.einsum, []
+    monkeypatch.setattr(np, "einsum", lambda how, *x: again.append(len(x[0])) or einsum(how, *x))
+    best = vectors.Best(16, ids[:400], vecs[:400], 10)
+    for i in range(0, len(ids), 4000):
+        at = slice(i, i + 4000)
+        best.meet(ids[at], np.ones(4000, np.int64), pa.array([f"n{j:05}" for j in ids[at]], pa.string()), vecs[at])
+    got = best.rows().to_pydict()
+    unit = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    cos = unit[:400] @ unit.T
+    cos[ids[:400], ids[:400]] = -2
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(-cos[i])[:10]}
+    assert len(got["class"]) == 4000 and set(zip(got["class"], got["other_class"])) == want
+    assert all(name == f"n{j:05}" for j, name in zip(got["other_class"], got["other_rep"]))
+    assert sum(again) < 50 * 400
+
+
 @pytest.mark.parametrize("block", [16_384, 60])
 def test_crowded_buckets_of_vectors_lose_no_pairs(spark, monkeypatch, block):
     """Where a bucket is crowded, one agreeing substring is still enough."""
