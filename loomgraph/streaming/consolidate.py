@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -24,7 +25,8 @@ class Cycle:
     """One consolidation cycle over a store. Each cycle is one commit of all tables it changes: a crash leaves the state
     before it, and a batch that was committed changes nothing when it comes again.
 
-    Cycles of one object run one after the other; ``timeout``: seconds after which a cycle's jobs are cancelled.
+    Cycles of one object run one after the other; ``timeout``: seconds after which the jobs of a cycle of ``batch_size``
+    traces are cancelled. What arrives in one batch is taken whole, so more traces have as many times that.
     """
 
     store: TableStore
@@ -45,9 +47,19 @@ class Cycle:
         ``arrived``: traces to queue in the same commit; then all pending ones are taken, whatever their number (fusion
         orders them by their times itself). ``batch``: (source, number) of a stream's batch.
         """
-        with self._alone, deadline(self.store.spark, self.timeout):
+        with self._alone, deadline(self.store.spark, self._seconds(limit, arrived)):
             return self._run(now, limit, arrived, batch)
 
+    def _seconds(self, limit: int | None, arrived: DataFrame | None) -> float | None:
+        """The cycle's time. A batch that is cancelled comes again as large as it was, so one limit for all sizes would stop
+        a stream for good."""
+        if not self.timeout:
+            return None
+        n = limit or 0
+        if arrived is not None:
+            n = arrived.count() + graph.open_traces(self.store.read("episodic_traces")).count()
+        return self.timeout * max(1, math.ceil(n / max(1, self.batch_size)))
+
     def _run(self, now: datetime, limit: int | None, arrived: DataFrame | None, batch: tuple[str, int] | None) -> dict[str, int]:
         done = self.store.manifest()["notes"].get("batches", {})
         if batch and done.get(batch[0], -1) >= batch[1]:

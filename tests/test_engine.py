@@ -441,6 +441,15 @@ def test_stream_leaves_the_same_state_as_a_batch(spark, tmp_path):
     assert a.read("episodic_traces").where("consolidated").count() == 12
 
 
+def test_the_time_of_a_cycle_follows_the_traces_that_arrive(spark, tmp_path):
+    rows = [(f"{n}-{r[0]}", *r[1:]) for n in range(5) for r in sample_traces()]
+    slow = frame(spark, "episodic_traces", rows).coalesce(1).withColumn("task_goal", F.pandas_udf(lambda x: __import__("time").sleep(5) or x, "string")("task_goal"))
+    # Three seconds for each trace: 60 of them have the five that they take at least, a whole batch of 500 has not.
+    assert Cycle(TableStore(spark, str(tmp_path / "a")), timeout=3.0, batch_size=1).run(NOW, arrived=slow)["traces"] == 60
+    with pytest.raises(Exception, match="(?i)cancel"):
+        Cycle(TableStore(spark, str(tmp_path / "b")), timeout=3.0).run(NOW, arrived=slow)
+
+
 def test_env_file(tmp_path, monkeypatch):
     p = tmp_path / "env"
     p.write_text("# note\nexport LG_A='1'\nLG_B=2\n")
